@@ -60,6 +60,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_digest
 
