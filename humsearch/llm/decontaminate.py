@@ -308,16 +308,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return spark.createDataFrame([], MATCHES) if out is None else out
 
 
+def holds_leak(model: Model):
+    """A function of a text column: whether it holds an item of the model's block."""
+
+    def run(text: pd.Series) -> pd.Series:
+        hit = np.zeros(len(text), bool)
+        hit[[t for t, *_ in search(model, text.tolist())]] = True
+        return pd.Series(hit)
+
+    run.__annotations__ = {"text": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, T.BooleanType())
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
     out = docs
     for model in models(docs, benchmark):
-
-        @F.pandas_udf(T.BooleanType())
-        def leaks(text: pd.Series, model: Model = model) -> pd.Series:
-            hit = np.zeros(len(text), bool)
-            hit[[t for t, *_ in search(model, text.tolist())]] = True
-            return pd.Series(hit)
-
-        out = out.where(~leaks(F.col("text").cast("string")))
+        out = out.where(~holds_leak(model)(F.col("text").cast("string")))
     return out

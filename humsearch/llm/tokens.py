@@ -13,8 +13,10 @@ Spark's committer: a lost executor or a repeated task leaves no half file.
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,35 +148,57 @@ class WaveletMatrix:
         return cls(n, np.frombuffer(alphabet, "<u4"), z, np.frombuffer(planes, np.uint8).reshape(shape), np.frombuffer(ranks, "<u4").reshape(shape))
 
 
+#: Marks that may follow a word's letters; no apostrophe, which starts contractions.
+_AFTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+
+
+class _Known(dict):
+    """Word -> its ids as bytes, encoded when first met."""
+
+    def __init__(self, tokenizer, older: dict[str, bytes]):
+        super().__init__()
+        self.tokenizer, self.older = tokenizer, older
+
+    def __missing__(self, word: str) -> bytes:
+        if (got := self.older.get(word)) is None:
+            core = word.rstrip(_AFTER)
+            # Latin letters, then marks: two pieces for the tokenizer, whatever their case
+            if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and unicodedata.is_normalized("NFC", core))):
+                low = core.lower()
+                if low != word:
+                    marks = word[len(core) :]
+                    got = self[word] = self[low] + self[marks] if marks else self[low]
+                    return got
+            got = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = got
+        return got
+
+
 class Encoder:
     """Ids of texts by a tokenizer file. White space never lies inside a token of
     the given vocabulary's pre-tokenizer, so texts are encoded word by word and
-    each word's ids are remembered in two generations of bounded size."""
+    each word's ids are remembered in two generations of bounded size. Texts with
+    the separators that Python and the tokenizer disagree on are encoded whole."""
 
     def __init__(self, path: str, remembered: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Known(self.tokenizer, {})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known, older = self.known, self.older
-        split = [t.split() for t in texts]
-        new = []
-        for w in set().union(*split) - known.keys():
-            if (got := older.get(w)) is None:
-                new.append(w)
+        out = []
+        for text in texts:
+            if any(c in text for c in _SEPARATORS):
+                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
             else:
-                known[w] = got
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.asarray(got.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
-        if len(known) > self.remembered:
-            self.older, self.known = known, {}
+                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), np.uint32))
+        if len(self.known) > self.remembered:
+            self.known.older = {}
+            self.known = _Known(self.tokenizer, self.known)
         return out
 
 
@@ -192,7 +216,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
     """Tokenize ``docs`` (doc_id, text) and write one wavelet matrix a file under ``path``.
 
     Rows are range-partitioned and sorted by doc_id (null first; rows of one
-    doc_id by text). Null and empty texts become the end id alone. Other
+    doc_id by their text's hash). Null and empty texts become the end id alone. Other
     columns play no part. An empty table writes no shard.
     """
 
@@ -234,7 +258,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
+    # rows of one doc_id go by the text's hash, so that boundaries hold numbers only
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(run, SHARD_SCHEMA).write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
 
 
 def open_shard(row) -> WaveletMatrix:
