@@ -47,7 +47,7 @@ def words(text: str | None) -> list[str]:
 class _Lookup(dict):
     """Word as it stands -> number in the vocabulary, -1 outside it, -2 for marks only."""
 
-    def __init__(self, vocabulary: dict[str, int], most: int = 1_000_000):
+    def __init__(self, vocabulary: dict[str, int], most: int = 250_000):
         super().__init__()
         self.vocabulary, self.most = vocabulary, most
 

@@ -126,7 +126,7 @@ def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -
     return float((1 / ((from_x + only_a) / x + (below_y + only_b) / y)).sum())
 
 
-def _pieces(batch: pa.RecordBatch, column: int, chars: int = 4_000_000) -> Iterator[tuple[int, int, list[str]]]:
+def _pieces(batch: pa.RecordBatch, column: int, chars: int = 1_000_000) -> Iterator[tuple[int, int, list[str]]]:
     """(from, to, texts) so that a piece has a bounded number of characters, or one text."""
     texts = [t or "" for t in batch.column(column).to_pylist()]
     start = held = 0
@@ -302,7 +302,7 @@ def sketches(base: DataFrame) -> DataFrame:
                 some[d] = True
                 rows = [r.tobytes() if ok else None for r, ok in zip(regs.astype("<u8"), some, strict=True)]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(rows, pa.binary())], ["doc_id", "fp", "regs"])
-                if len(known) > 1_000_000:
+                if len(known) > 250_000:
                     known.clear()
 
     return base.select("doc_id", "fp", "text").mapInArrow(run, "doc_id long, fp binary, regs binary")

@@ -182,7 +182,7 @@ class Encoder:
     each word's ids are remembered in two generations of bounded size. Texts with
     the separators that Python and the tokenizer disagree on are encoded whole."""
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered

@@ -59,7 +59,7 @@ class _Found(dict):
         hit = tuple(t for t in terms(word) if t in self.lexicon)
         if word.lower().strip(_MARKS) in SEED:
             hit = (*hit, "seed")
-        if len(self) < 1_000_000:
+        if len(self) < 250_000:
             self[word] = hit
         return hit
 
@@ -102,7 +102,7 @@ def mine_lexicon(rows: DataFrame) -> dict[str, int]:
                         got = known[w] = terms(w)
                     inside.update(got)
                 counts[label].update(inside)
-                if len(known) > 500_000:
+                if len(known) > 150_000:
                     known.clear()
         names = [*counts[1], *(t for t in counts[0] if t not in counts[1])]
         for at in range(0, len(names), 50_000):
