@@ -156,6 +156,8 @@ def weighted_sets(docs: DataFrame) -> DataFrame:
                 hs = [h[i:j].astype("<u8").tobytes() for i, j in zip(ends, ends[1:], strict=False)]
                 ws = [w[i:j].astype("<f4").tobytes() for i, j in zip(ends, ends[1:], strict=False)]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], ["fp", "hashes", "weights"])
+                if len(known) > 250_000:
+                    known.clear()
 
     return docs.select("fp", "text").mapInArrow(run, "fp binary, hashes binary, weights binary")
 

@@ -118,8 +118,7 @@ def label_model(patterns: dict[int, int], prior: float, rounds: int = 50) -> np.
     """Posterior of the toxic class for each of the 2 ** K vote patterns, from the patterns' counts.
 
     EM for the class prior and each voter's rate in either class. The voters'
-    correlations are taken within the classes as they stand after the first
-    estimate; each voter's evidence is divided by the sum of its correlations
+    correlations are taken within the classes that EM ends with; each voter's evidence is divided by the sum of its correlations
     with all, so a group of voters that say the same counts about once.
     """
     k = len(VOTERS)
@@ -137,21 +136,21 @@ def label_model(patterns: dict[int, int], prior: float, rounds: int = 50) -> np.
         a = logs(votes)
         return 1 / (1 + np.exp(np.clip(a[0] - a[1], -60, 60)))
 
-    for step in range(2):
-        for _ in range(rounds if len(seen) else 0):
-            p = posterior(v)
-            for c, w in ((0, n * (1 - p)), (1, n * p)):
-                rate[c] = np.clip((w @ v + 0.1) / (w.sum() + 0.2 + 0.1), 1e-4, 0.999)
-                share[c] = (w.sum() + 1) / (n.sum() + 2)
-        if step == 0 and len(seen):
-            p = posterior(v)
-            together = np.zeros((k, k))
-            for c, w in ((0, n * (1 - p)), (1, n * p)):
-                d = (v - rate[c]) * np.sqrt(w)[:, None]
-                cov = d.T @ d + 1e-6 * np.eye(k)
-                scale = np.sqrt(np.diag(cov))
-                together += (w.sum() / n.sum()) * np.abs(cov / np.outer(scale, scale)) if c == 0 else np.abs(cov / np.outer(scale, scale)) * (w.sum() / n.sum())
-            power = 1 / np.maximum(1, together.sum(1))
+    if not len(seen):
+        return posterior(every)
+    for _ in range(rounds):
+        p = posterior(v)
+        for c, w in ((0, n * (1 - p)), (1, n * p)):
+            rate[c] = np.clip((w @ v + 0.1) / (w.sum() + 0.3), 1e-4, 0.999)
+            share[c] = (w.sum() + 1) / (n.sum() + 2)
+    together = np.zeros((k, k))
+    p = posterior(v)
+    for c, w in ((0, n * (1 - p)), (1, n * p)):
+        d = (v - rate[c]) * np.sqrt(w)[:, None]
+        cov = d.T @ d + 1e-6 * np.eye(k)
+        scale = np.sqrt(np.diag(cov))
+        together += w.sum() / n.sum() * np.abs(cov / np.outer(scale, scale))
+    power = 1 / np.maximum(1, together.sum(1))
     return posterior(every)
 
 
