@@ -128,15 +128,17 @@ def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -
 
 def _pieces(batch: pa.RecordBatch, column: int, chars: int = 1_000_000) -> Iterator[tuple[int, int, list[str]]]:
     """(from, to, texts) so that a piece has a bounded number of characters, or one text."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
+    texts: list[str] = []
     start = held = 0
-    for k, t in enumerate(texts):
-        if held and held + len(t) > chars:
-            yield start, k, texts[start:k]
-            start, held = k, 0
+    for k, value in enumerate(batch.column(column)):
+        t = value.as_py() or ""
+        if texts and held + len(t) > chars:
+            yield start, k, texts
+            texts, start, held = [], k, 0
+        texts.append(t)
         held += len(t) + 64
-    if start < len(texts):
-        yield start, len(texts), texts[start:]
+    if texts:
+        yield start, batch.num_rows, texts
 
 
 def _key() -> Column:
