@@ -18,9 +18,11 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import shared_dir
@@ -150,57 +152,115 @@ class WaveletMatrix:
 
 #: Marks that may follow a word's letters; no apostrophe, which starts contractions.
 _AFTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: Latin letters: each is its own composed form, and lower case changes it to one letter.
+_LATIN = "".join(c for c in map(chr, range(65, 0x250)) if c.isalpha() and len(c.lower()) == 1 and unicodedata.is_normalized("NFC", c) and unicodedata.normalize("NFKC", c) == c)
 
-_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-
-
-class _Known(dict):
-    """Word -> its ids as bytes, encoded when first met."""
-
-    def __init__(self, tokenizer, older: dict[str, bytes]):
-        super().__init__()
-        self.tokenizer, self.older = tokenizer, older
-
-    def __missing__(self, word: str) -> bytes:
-        if (got := self.older.get(word)) is None:
-            core = word.rstrip(_AFTER)
-            # Latin letters, then marks: two pieces for the tokenizer, whatever their case
-            if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and unicodedata.is_normalized("NFC", core))):
-                low = core.lower()
-                if low != word:
-                    marks = word[len(core) :]
-                    got = self[word] = self[low] + self[marks] if marks else self[low]
-                    return got
-            got = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = got
-        return got
+#: White space that the tokenizer and Unicode's rule for splitting disagree on.
+_SEPARATORS = "[\x1c-\x1f]"
+#: Characters that are encoded at a time, unless one text has more.
+PIECE_CHARS = 4_000_000
 
 
 class Encoder:
     """Ids of texts by a tokenizer file. White space never lies inside a token of
-    the given vocabulary's pre-tokenizer, so texts are encoded word by word and
-    each word's ids are remembered in two generations of bounded size. Texts with
-    the separators that Python and the tokenizer disagree on are encoded whole."""
+    the given vocabulary's pre-tokenizer, so a piece of many texts is split into
+    words and each distinct word is encoded once. A word of Latin letters, then
+    marks, is two pieces for the tokenizer, whatever their case: its letters'
+    ids are remembered, in two generations of bounded size, and new ones go to
+    the tokenizer together, as one text in which a word's last token alone ends
+    a word. Texts with the separators that splitting and the tokenizer disagree
+    on are encoded whole."""
 
     def __init__(self, path: str, remembered: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.tokenizer.no_padding()
-        self.known = _Known(self.tokenizer, {})
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            if any(c in text for c in _SEPARATORS):
-                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+
+    def _one(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some lower-case words of Latin letters."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words):
+            return [self._one(w) for w in words]
+        packed = ids.tobytes()
+        return [packed[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        known, older = self.known, self.older
+        out = list(map(known.get, words))
+        new = []
+        for k in [k for k, got in enumerate(out) if got is None]:
+            got = out[k] = older.get(words[k])
+            if got is None:
+                new.append(k)
             else:
-                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), np.uint32))
-        if len(self.known) > self.remembered:
-            self.known.older = {}
-            self.known = _Known(self.tokenizer, self.known)
+                known[words[k]] = got
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            for k, got in zip(some, self._together([words[k] for k in some]), strict=True):
+                out[k] = known[words[k]] = got
+        if len(known) > self.remembered:
+            self.known, self.older = {}, known
         return out
 
+    def _piece(self, texts: pa.Array) -> list[np.ndarray]:
+        lists = pc.utf8_split_whitespace(texts)
+        words = pc.dictionary_encode(lists.flatten())
+        raw = words.dictionary
+        letters, marks = pc.utf8_rtrim(raw, characters=_AFTER), pc.utf8_ltrim(raw, characters=_LATIN)
+        plain = pc.equal(pc.add(pc.utf8_length(letters), pc.utf8_length(marks)), pc.utf8_length(raw))
+        odd = pc.filter(raw, pc.invert(plain)).to_pylist()
+        letters = pc.dictionary_encode(pc.if_else(plain, pc.utf8_lower(letters), ""))
+        marks = pc.dictionary_encode(pc.if_else(plain, marks, ""))
+        # a table of ids: letters, marks, other words; each word is an entry of the first or third part, then one of the second
+        heads, tails = letters.dictionary.to_pylist(), marks.dictionary.to_pylist()
+        table = self._letters([w for w in heads if w])
+        if "" in heads:
+            table.insert(heads.index(""), b"")
+        table += [self._one(w) if w else b"" for w in [*tails, *odd]]
+        first, second = np.asarray(letters.indices).astype(np.int64), np.asarray(marks.indices).astype(np.int64) + len(heads)
+        first[~np.asarray(plain)] = len(heads) + len(tails) + np.arange(len(odd))
+        at = np.asarray(words.indices)
+        entries = np.stack([first[at], second[at]], 1).ravel()
+        flat = np.frombuffer(b"".join(table), "<u4")
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        n = sizes[entries]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[entries] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        offsets = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
+        bounds = np.concatenate([[0], ends])[2 * offsets]
+        return [ids[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def pieces(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:
+        """Ids of texts (null: none), for pieces of bounded length or of one text."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + PIECE_CHARS, side="right")))
+            part = texts.slice(at, to - at)
+            whole = pc.match_substring_regex(part, _SEPARATORS)
+            got = self._piece(pc.if_else(whole, "", part))
+            for k in np.flatnonzero(np.asarray(whole)):
+                got[k] = np.frombuffer(self._one(part[int(k)].as_py()), "<u4")
+            yield got
+            at = to
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [ids for piece in self.pieces(pa.array(texts, pa.string())) for ids in piece]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -246,14 +306,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for key, got in zip(piece.column(0).to_pylist(), words.encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
-                    ids.append(got)
-                    doc_ids.append(key)
-                    held += len(got) + 1
-                    if held >= shard_tokens:
-                        yield flush()
+            keys = iter(batch.column(0).to_pylist())
+            for got in chain.from_iterable(words.pieces(batch.column(1))):
+                ids.append(got)
+                doc_ids.append(next(keys))
+                held += len(got) + 1
+                if held >= shard_tokens:
+                    yield flush()
         if ids:
             yield flush()
 
