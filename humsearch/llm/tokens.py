@@ -16,7 +16,6 @@ from __future__ import annotations
 import unicodedata
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -161,58 +160,71 @@ _SEPARATORS = "[\x1c-\x1f]"
 PIECE_CHARS = 4_000_000
 
 
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays end to end, and their lengths."""
+    return np.concatenate([np.zeros(0, "<u4"), *parts]), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def _taken(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs numbered ``at``, end to end, of runs that lie end to end in ``flat``."""
+    n = sizes[at]
+    ends = np.cumsum(n)
+    return flat[np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """Ids of texts by a tokenizer file. White space never lies inside a token of
     the given vocabulary's pre-tokenizer, so a piece of many texts is split into
     words and each distinct word is encoded once. A word of Latin letters, then
     marks, is two pieces for the tokenizer, whatever their case: its letters'
-    ids are remembered, in two generations of bounded size, and new ones go to
-    the tokenizer together, as one text in which a word's last token alone ends
-    a word. Texts with the separators that splitting and the tokenizer disagree
-    on are encoded whole."""
+    ids are remembered in columns of bounded length, and new ones go to the
+    tokenizer together, as one text in which a word's last token alone ends a
+    word. Texts with the separators that splitting and the tokenizer disagree on
+    are encoded whole."""
 
     def __init__(self, path: str, remembered: int = 200_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         if suffix:
             self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
-
-    def _one(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _together(self, words: list[str]) -> list[bytes]:
-        """Ids of each of some lower-case words of Latin letters."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        # words in lower case, parted by spaces, need no normalizing; none comes twice, so the model needs no memory
+        self.bare = Tokenizer.from_file(path)
+        self.bare.no_padding()
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bare.model._resize_cache(0)
+        self.words, self.flat, self.sizes = pa.array([""]), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _one(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words of Latin letters, end to end, and how many each has."""
+        ids = np.asarray(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
-            return [self._one(w) for w in words]
-        packed = ids.tobytes()
-        return [packed[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        known, older = self.known, self.older
-        out = list(map(known.get, words))
-        new = []
-        for k in [k for k, got in enumerate(out) if got is None]:
-            got = out[k] = older.get(words[k])
-            if got is None:
-                new.append(k)
-            else:
-                known[words[k]] = got
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for k, got in zip(some, self._together([words[k] for k in some]), strict=True):
-                out[k] = known[words[k]] = got
-        if len(known) > self.remembered:
-            self.known, self.older = {}, known
-        return out
+            return _joined([self._one(w) for w in words])
+        return ids, np.diff(ends, prepend=0)
+
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, end to end, and how many each has."""
+        found = pc.index_in(words, self.words)
+        new = pc.filter(words, pc.is_null(found))
+        parts = [self._together(new.slice(at, 4096).to_pylist()) for at in range(0, len(new), 4096)]
+        flat, sizes = (np.concatenate([old, *(p[k] for p in parts)]) for k, old in enumerate((self.flat, self.sizes)))
+        at = np.asarray(pc.fill_null(found, -1)).astype(np.int64)
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        if len(sizes) <= self.remembered:
+            self.words, self.flat, self.sizes = pa.concat_arrays([self.words, new]), flat, sizes
+            return _taken(flat, sizes, at), sizes[at]
+        # too many: the words of this piece replace all others
+        self.words, self.flat, self.sizes = words, _taken(flat, sizes, at), sizes[at]
+        return self.flat, self.sizes
 
     def _piece(self, texts: pa.Array) -> list[np.ndarray]:
         lists = pc.utf8_split_whitespace(texts)
@@ -224,20 +236,14 @@ class Encoder:
         letters = pc.dictionary_encode(pc.if_else(plain, pc.utf8_lower(letters), ""))
         marks = pc.dictionary_encode(pc.if_else(plain, marks, ""))
         # a table of ids: letters, marks, other words; each word is an entry of the first or third part, then one of the second
-        heads, tails = letters.dictionary.to_pylist(), marks.dictionary.to_pylist()
-        table = self._letters([w for w in heads if w])
-        if "" in heads:
-            table.insert(heads.index(""), b"")
-        table += [self._one(w) if w else b"" for w in [*tails, *odd]]
-        first, second = np.asarray(letters.indices).astype(np.int64), np.asarray(marks.indices).astype(np.int64) + len(heads)
-        first[~np.asarray(plain)] = len(heads) + len(tails) + np.arange(len(odd))
+        flat, sizes = self._letters(letters.dictionary)
+        others, more = _joined([self._one(w) for w in chain(marks.dictionary.to_pylist(), odd)])
+        flat, sizes = np.concatenate([flat, others]), np.concatenate([sizes, more])
+        first, second = np.asarray(letters.indices).astype(np.int64), np.asarray(marks.indices).astype(np.int64) + len(letters.dictionary)
+        first[~np.asarray(plain)] = len(sizes) - len(odd) + np.arange(len(odd))
         at = np.asarray(words.indices)
         entries = np.stack([first[at], second[at]], 1).ravel()
-        flat = np.frombuffer(b"".join(table), "<u4")
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        n = sizes[entries]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[entries] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids, ends = _taken(flat, sizes, entries), np.cumsum(sizes[entries])
         offsets = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
         bounds = np.concatenate([[0], ends])[2 * offsets]
         return [ids[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -254,7 +260,7 @@ class Encoder:
             whole = pc.match_substring_regex(part, _SEPARATORS)
             got = self._piece(pc.if_else(whole, "", part))
             for k in np.flatnonzero(np.asarray(whole)):
-                got[k] = np.frombuffer(self._one(part[int(k)].as_py()), "<u4")
+                got[k] = self._one(part[int(k)].as_py())
             yield got
             at = to
 
