@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 WINDOW, STRIDE = 64, 16
@@ -39,29 +40,41 @@ COMMON = 0.05
 _MARKS = ".,;:!?\"()[]{}"
 
 
-def words(text: str | None) -> list[str]:
-    """Words between white space, lower-cased, without punctuation marks around them."""
-    return [x for w in (text or "").split() if (x := w.lower().strip(_MARKS))]
-
+#: Characters that are worked on at a time, unless one text has more.
+PIECE_CHARS = 1_000_000
 
-class _Lookup(dict):
-    """Word as it stands -> number in the vocabulary, -1 outside it, -2 for marks only."""
 
-    def __init__(self, vocabulary: dict[str, int], most: int = 250_000):
-        super().__init__()
-        self.vocabulary, self.most = vocabulary, most
+def _plain(raw: pa.Array) -> pa.Array:
+    """Words lower-cased, without punctuation marks around them."""
+    return pc.utf8_trim(pc.utf8_lower(raw), characters=_MARKS)
 
-    def __missing__(self, word: str) -> int:
-        plain = word.lower().strip(_MARKS)
-        found = self.vocabulary.get(plain, -1) if plain else -2
-        if len(self) < self.most:
-            self[word] = found
-        return found
 
-    def ids(self, text: str | None) -> np.ndarray:
-        split = (text or "").split()
-        out = np.fromiter(map(self.__getitem__, split), np.int32, len(split))
-        return out[out > -2]
+def words(text: str | None) -> list[str]:
+    """Words between white space, lower-cased, without punctuation marks around them."""
+    raw = pc.utf8_split_whitespace(pa.array([text or ""], pa.string())).flatten()
+    return [w for w in _plain(raw).to_pylist() if w]
+
+
+def coded(texts: pa.Array, vocabulary: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, ids, ends) for pieces of bounded length or of one text: the
+    numbers of all its words in the vocabulary, -1 outside it, text by text, and
+    where each text's begin and the last one's end."""
+    texts = pc.fill_null(texts, "")
+    chars = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(chars, (int(chars[at - 1]) if at else 0) + PIECE_CHARS, side="right")))
+        lists = pc.utf8_split_whitespace(texts.slice(at, to - at))
+        # each distinct word is looked up once
+        found = pc.dictionary_encode(lists.flatten())
+        plain = _plain(found.dictionary)
+        number = np.asarray(pc.fill_null(pc.index_in(plain, vocabulary), -1)).astype(np.int32)
+        number[np.asarray(pc.equal(plain, ""))] = -2
+        ids = number[np.asarray(found.indices)]
+        ends = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
+        real = ids > -2
+        yield at, ids[real], np.concatenate([[0], np.cumsum(real)])[ends]
+        at = to
 
 
 @dataclass
@@ -100,14 +113,16 @@ def _passages(items: list[tuple[int, str, str | None]]) -> list[tuple[int, list[
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
     """In how many documents each word stands, and the number of documents."""
-    size = len(vocabulary)
+    size, known = len(vocabulary), list(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n, lookup = np.zeros(size, np.int64), 0, _Lookup(vocabulary)
+        seen, n, terms = np.zeros(size, np.int64), 0, pa.array(known, pa.string())
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                ids = lookup.ids(t)
-                seen[np.unique(ids[ids >= 0])] += 1
+            for _, ids, ends in coded(batch.column(0), terms):
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    here = np.zeros(size + 1, bool)
+                    here[ids[a:b]] = True
+                    seen += here[:-1]
             n += batch.num_rows
         some = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(seen[some], n))], ["term", "n"])
@@ -204,21 +219,15 @@ def _has(window: np.ndarray, answer: np.ndarray) -> bool:
     return bool((np.lib.stride_tricks.sliding_window_view(window, n) == answer).all(1).any())
 
 
-def search(model: Model, texts: list[str | None]) -> list[tuple[int, int, float, float, bool, int]]:
+def search(model: Model, texts: pa.Array) -> list[tuple[int, int, float, float, bool, int]]:
     """(text, item, cosine, common share, answer found, first word) of every confirmed item: its best window."""
     found: dict[tuple[int, int], tuple[float, float, bool, int]] = {}
-    lookup, k = _Lookup(model.vocabulary), 0
-    while k < len(texts):  # pieces of bounded size, or one text
-        chars, start = 0, k
-        while k < len(texts) and (k == start or chars + len(texts[k] or "") < 1_000_000):
-            chars += len(texts[k] or "")
-            k += 1
-        _search_piece(model, [lookup.ids(t) for t in texts[start:k]], start, found)
+    for first, ids, ends in coded(texts, pa.array(list(model.vocabulary), pa.string())):
+        _search_piece(model, ids, ends, first, found)
     return [(t, i, *v) for (t, i), v in sorted(found.items())]
 
 
-def _search_piece(model: Model, texts: list[np.ndarray], first: int, found: dict) -> None:
-    ids, ends = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+def _search_piece(model: Model, ids: np.ndarray, ends: np.ndarray, first: int, found: dict) -> None:
     # strides of STRIDE words, counted from each text's start; a window is WINDOW / STRIDE of them
     per = WINDOW // STRIDE
     strides = [np.arange(a, b, STRIDE) for a, b in zip(ends, ends[1:], strict=False)]
@@ -226,7 +235,7 @@ def _search_piece(model: Model, texts: list[np.ndarray], first: int, found: dict
     if not sizes.sum():
         return
     start = np.concatenate(strides)
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
     last = np.repeat(np.cumsum(sizes), sizes)  # stride after the text's last
     number = np.arange(len(start))
     begins = (number + per <= last) | (number == last - np.repeat(sizes, sizes))
@@ -298,7 +307,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                got = search(model, batch.column(1).to_pylist())
+                got = search(model, batch.column(1))
                 t, item, cosine, common, answer, first = zip(*got, strict=True) if got else [[]] * 6
                 ids = batch.column(0).take(pa.array(t, pa.int64()))
                 yield pa.record_batch([ids, pa.array(item, pa.int64()), pa.array(cosine, pa.float64()), pa.array(common, pa.float64()), pa.array(answer, pa.bool_()), pa.array(first, pa.int32())], [x.split()[0] for x in MATCHES.split(", ")])
@@ -313,7 +322,7 @@ def holds_leak(model: Model):
 
     def run(text: pd.Series) -> pd.Series:
         hit = np.zeros(len(text), bool)
-        hit[[t for t, *_ in search(model, text.tolist())]] = True
+        hit[[t for t, *_ in search(model, pa.array(text, pa.string(), from_pandas=True))]] = True
         return pd.Series(hit)
 
     run.__annotations__ = {"text": pd.Series, "return": pd.Series}
