@@ -1,12 +1,14 @@
 """The corpus operators against brute force, on edge cases and small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +258,36 @@ def test_personal_data(spark, docs):
     assert pii.redact(docs).columns == docs.columns and pii.report(docs.limit(0)).count() == 0
 
 
+def test_encoder_equals_whole_texts():
+    """Splitting, remembering and encoding words together changes no id, also when the memory overflows."""
+    rng = random.Random(3)
+    marks = "aZ éÉİıΣς'’s't 12 \u0085\x1c\t\n,.!--_ßǅªºŉ×÷é中文ﬁĿ\u200b\ufeff"
+    texts: list = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += ["".join(rng.choice("aeiounrst ,E") for _ in range(rng.randint(0, 300))) for _ in range(500)]
+    coder = tokens.Encoder(tokenizer_path(), remembered=2000)
+    for at in range(0, len(texts), 700):
+        part = texts[at : at + 700]
+        for text, ids in zip(part, coder.encode(part), strict=True):
+            assert list(ids) == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert [len(x) for x in coder.encode([None, "", "  "])] == [0, 0, 0] and coder.encode([]) == []
+
+
+def test_coded_words(docs):
+    """Columnar lookup numbers the same words as a plain loop."""
+    texts = [r["text"] for r in docs.select("text").collect()] + [None, "", " .. ", "(The) THE the, İx ÉTÉ!"]
+    plain = [[w for x in (t or "").split() if (w := x.lower().strip(".,;:!?\"()[]{}"))] for t in texts]
+    known = sorted({w for p in plain for w in p})[::2]
+    number = {w: k for k, w in enumerate(known)}
+    at = 0
+    for first, ids, ends in decontaminate.coded(pa.array(texts, pa.string()), pa.array(known, pa.string())):
+        assert first == at
+        for a, b in zip(ends, ends[1:], strict=False):
+            want = [number.get(w, -1) for w in plain[at]]
+            assert ids[a:b].tolist() == want or "İ" in texts[at]
+            at += 1
+    assert at == len(texts)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for ids in (rng.integers(0, 50_000, 3000), rng.integers(0, 3, 1500), np.array([7]), np.array([5] * 600)):
