@@ -41,22 +41,39 @@ def listed_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] =
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """A fixed number of kinds of tokens, at most one of each, sorted: scheme, top
-    domain, two-label domain, first label, first path part, file extension, first
-    query key, fragment. So a url has at most 2 ** 8 token combinations."""
-    last = F.substring_index(host, ".", -1)
-    kinds = {
+    """Distinct tokens, sorted: scheme, top domain, two-label domain, first label,
+    file extension and fragment, one of each; every host label, every path part
+    and every query key."""
+    one = {
         "scheme": F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)),
-        "top": last,
+        "top": F.substring_index(host, ".", -1),
         "domain": F.substring_index(host, ".", -2),
         "first": F.substring_index(host, ".", 1),
-        "part": F.regexp_replace(F.regexp_extract(path, r"^/([^/]*)", 1), r"[0-9]+", "#"),
         "ext": F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1),
-        "key": F.regexp_extract(url, r"^[^?#]*\?([^=&#]*)", 1),
         "fragment": F.when(F.instr(url, "#") > 0, F.lit("yes")).otherwise(F.lit("")),
     }
-    made = F.array(*[F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(k + "="), v)) for k, v in kinds.items()])
-    return F.array_sort(F.array_distinct(F.array_compact(made)))
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    each = {
+        "label": F.split(host, r"\."),
+        "part": F.transform(F.split(path, "/"), lambda x: F.regexp_replace(x, r"[0-9]+", "#")),
+        "key": F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1)),
+    }
+
+    def named(kind: str, values: Column) -> Column:
+        held = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: x != "")
+        return F.transform(held, lambda x: F.concat(F.lit(kind + "="), x))
+
+    made = [named(k, F.array(v)) for k, v in one.items()] + [named(k, v) for k, v in each.items()]
+    return F.array_sort(F.array_distinct(F.concat(*made)))
+
+
+def alike(sets: DataFrame, least: float) -> list[list[str]]:
+    """Tokens that stand in at least ``least`` urls of ``sets`` (items, verdict, n), and
+    together those that stand in the very same urls. A url has few tokens, so the
+    least support bounds the list, whatever the number of urls."""
+    each = sets.select(F.explode("items").alias("item"), "n", F.xxhash64("items", "verdict").alias("h"), F.xxhash64("verdict", "items", F.lit(1)).alias("g"))
+    held = each.groupBy("item").agg(F.sum("n").alias("n"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g")).where(F.col("n") >= least)
+    return [sorted(r[0]) for r in held.groupBy("n", "h", "g").agg(F.collect_list("item")).drop("n", "h", "g").collect()]
 
 
 _RULES = "rule_id long, items array<string>, size int, verdict string, confidence double, support double"
@@ -65,19 +82,22 @@ _RULES = "rule_id long, items array<string>, size int, verdict string, confidenc
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Pruned rules (rule_id, items, size, verdict, confidence, support) from (items, verdict).
 
-    A url has at most 2 ** 9 combinations of its items, so at most
-    2 ** 9 / support of them are frequent, whatever the number of urls. A rule
-    falls if a rule of a proper subset of its items is at least as confident,
-    for either verdict.
+    Only the least support bounds what is mined. Items that stand in the very
+    same urls go to the miner as one, and each rule that is left is written for
+    every one of them. A rule falls if a rule of a proper subset of its items is
+    at least as confident, for either verdict.
     """
     spark = labelled.sparkSession
-    baskets = keep(labelled.select(F.concat("items", F.array(F.concat(F.lit(_VERDICT), "verdict"))).alias("items")), "baskets")
-    if baskets.isEmpty():
+    sets = keep(labelled.groupBy("items", "verdict").agg(F.count("*").alias("n")), "sets")
+    groups = {g[0]: g for g in alike(sets, support * (sets.agg(F.sum("n")).first()[0] or 0))}
+    if not groups:
         return spark.createDataFrame([], _RULES)
+    known = F.array(*[F.lit(x) for x in sorted(groups)])
+    baskets = keep(labelled.select(F.concat(F.array_intersect("items", known), F.array(F.concat(F.lit(_VERDICT), "verdict"))).alias("items")), "baskets")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0].startswith(_VERDICT) & ~F.exists("antecedent", lambda x: x.startswith(_VERDICT)))
     rules = keep(found.select(F.array_sort("antecedent").alias("items"), F.size("antecedent").alias("size"), F.substring(F.col("consequent")[0], len(_VERDICT) + 1, 100).alias("verdict"), "confidence", "support"), "rules")
-    # a smaller rule's items are looked up among the subsets of the larger one: at most 2 ** 8
+    # a smaller rule's items are looked up among the larger one's
     a, b = rules.alias("a"), rules.alias("b")
     shared = F.size(F.array_intersect("a.items", "b.items")) == F.col("b.size")
     useless = a.join(b, (F.element_at("a.items", 1) == F.element_at("b.items", 1)) & (F.col("b.size") < F.col("a.size")) & shared & (F.col("b.confidence") >= F.col("a.confidence")), "left_semi")
@@ -85,6 +105,12 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     short = rules.where("size = 1").select(F.col("items")[0].alias("item"), F.col("confidence").alias("of_one")).groupBy("item").agg(F.max("of_one").alias("of_one"))
     beaten = by_any.where("size > 1").join(short, "item").where("of_one >= confidence").select("items", "verdict").union(useless.select("a.items", "a.verdict")).distinct()
     left = rules.join(beaten, ["items", "verdict"], "left_anti")
+    more = [g for g in groups.values() if len(g) > 1]
+    if more:
+        members = F.map_from_arrays(F.array(*[F.lit(g[0]) for g in more]), F.array(*[F.array(*[F.lit(x) for x in g]) for g in more]))
+        names = lambda x: F.coalesce(F.element_at(members, x), F.array(x))
+        every = F.aggregate("items", F.array(F.array().cast("array<string>")), lambda made, x: F.flatten(F.transform(made, lambda m: F.transform(names(x), lambda y: F.concat(m, F.array(y))))))
+        left = left.withColumn("items", F.explode(every)).withColumn("items", F.array_sort("items"))
     return left.select(F.xxhash64("items", "verdict").alias("rule_id"), "items", "size", "verdict", "confidence", "support")
 
 

@@ -122,6 +122,26 @@ def test_mined_rules(spark):
     assert [(r["mined_verdict"], r["mined_rule"]) for r in best] == [("block", "b=1")]
 
 
+def test_every_label_part_and_key_is_a_token(spark):
+    rows = spark.createDataFrame([("x://www.Casino.example.com/en/a7/slots.html?ref=1&bet=2&ref#t",)], "url string")
+    host, path = urls.host_and_path(F.col("url"))
+    got = rows.select(urls.tokens(F.col("url"), host, path)).first()[0]
+    assert {"label=www", "label=casino", "label=example", "label=com", "part=en", "part=a#", "part=slots.html", "key=ref", "key=bet", "ext=html", "first=www", "fragment=yes"} <= set(got)
+    assert got == sorted(set(got))
+    # the only tokens that tell the verdict are a middle label, a later part and a later key
+    of = {"net": ("pills", "buy", "bet"), "com": ("books", "read", "page")}
+    urls_ = [f"h://w.{of[t][0]}.example.{t}/{k % 2}/{of[t][1]}?a=1&{of[t][2]}=2" for t in of for k in range(30)]
+    pages = spark.createDataFrame(enumerate([*urls_, "h://w.pills.example.org/", "h://w.x.example.org/1/buy", "h://w.x.example.org/1?a=1&bet=3"]), "page_id long, url string")
+    said = {r["page_id"]: r["verdict"] for r in urls.judge(pages, (("net/", "block"), ("com/", "allow"))).collect()}
+    assert [said[k] for k in (60, 61, 62)] == ["block"] * 3
+
+
+def test_rules_name_every_token_of_the_same_urls(spark):
+    items = [(["a=1", "b=1", "c=1"], "block")] * 30 + [(["c=1"], "allow")] * 30
+    got = {(tuple(r["items"]), r["verdict"]) for r in urls.mine(spark.createDataFrame(items, "items array<string>, verdict string")).collect()}
+    assert got == {(("a=1",), "block"), (("b=1",), "block")}
+
+
 def test_toxicity(spark, docs, labels):
     rng = np.random.default_rng(4)
     words = [f"word{k}" for k in range(300)]
