@@ -23,6 +23,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Mean number of documents in a block of the reduction tree.
 BLOCK = 256
+#: Copies of a repeated row that are written together.
+PIECE = 256
 _TINY = 1e-9
 
 
@@ -128,15 +130,21 @@ def round_pivotal(parts: DataFrame, counts: dict[str, int] | None = None, most_i
     return out.select("source", "d.id", F.col("d.p").cast("long").alias("extra"))
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """The same for rows that are equal in every column."""
+    return F.sha2(F.to_json(F.struct(*docs.columns)), 256)
+
+
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """(row_key, doc_id, source, size, source_size, target, copies), one row for
-    each distinct (doc_id, source, text) and how often it stands in the input.
+    """(row_key, doc_id, source, size, times, source_size, target, copies): ``times``
+    equal rows of the input that are taken ``copies`` times each.
 
-    Repeated rows share a key and are taken alike, so that reruns agree. Null
-    texts have no words; documents without words get no copies.
+    Rows that are equal in every column share a key and can't be told apart, so
+    reruns agree. Of ``times * p`` expected extra copies the whole part is certain
+    and goes to as many of those rows, and one row is rounded for what is left.
+    Null texts have no words; documents without words get no copies.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = keep(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.sha2(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x02")), F.coalesce(F.col("source").cast("string"), F.lit("\x02")), text), 256).alias("row_key")), "sizes")
+    sized = keep(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _row_key(docs).alias("row_key")), "sizes")
     rows = sized.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("times"))
     rows = keep(rows, "sizes")
     sources = keep(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.count("*").alias("n_docs")), weights, most), "targets")
@@ -144,10 +152,13 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
     held = rows.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     share = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     held = held.drop("of").withColumn("share", share).withColumn("whole", F.floor(F.col("share") + _TINY)).withColumn("p", F.greatest(F.lit(0.0), F.col("share") - F.col("whole")))
-    open_rows = held.where((F.col("p") > _TINY) & (F.col("size") > 0)).select("source", "n_docs", F.col("row_key").alias("id"), (F.col("size") * F.col("times")).alias("size"), "p")
+    held = held.withColumn("sure", F.floor(F.col("times") * F.col("p") + _TINY)).withColumn("left", F.greatest(F.lit(0.0), F.col("times") * F.col("p") - F.col("sure")))
+    open_rows = held.where((F.col("left") > _TINY) & (F.col("size") > 0)).select("source", "n_docs", F.col("row_key").alias("id"), "size", F.col("left").alias("p"))
     largest = sources.agg(F.max("n_docs")).first()[0] or 0
     extra = round_pivotal(open_rows, most_in_group=int(largest)).select(F.col("id").alias("row_key"), "extra")
-    return held.join(extra, "row_key", "left").select("row_key", "doc_id", "source", "size", "times", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.coalesce(F.col("extra"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("copies"))
+    some = F.col("sure") + F.coalesce(F.col("extra"), F.lit(0))
+    shares = F.when(F.col("size") > 0, F.array(F.struct(some.cast("long").alias("times"), (F.col("whole") + 1).cast("long").alias("copies")), F.struct((F.col("times") - some).cast("long").alias("times"), F.col("whole").cast("long").alias("copies")))).otherwise(F.array(F.struct(F.col("times").cast("long").alias("times"), F.lit(0).cast("long").alias("copies"))))
+    return held.join(extra, "row_key", "left").withColumn("of", F.explode(F.filter(shares, lambda x: x["times"] > 0))).select("row_key", "doc_id", "source", "size", "of.times", "source_size", "target", "of.copies")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -160,7 +171,12 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, all columns as they are."""
     columns = docs.columns
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.sha2(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x02")), F.coalesce(F.col("source").cast("string"), F.lit("\x02")), text), 256)
-    taken = plan(docs).where("copies > 0").select(F.col("row_key").alias("__key"), F.col("copies").alias("__copies"))
-    return docs.withColumn("__key", key).join(taken, "__key").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*columns)
+    p = plan(docs).groupBy("row_key").agg(F.sum("times").alias("__times"), F.sum(F.col("times") * F.col("copies")).alias("__copies"))
+    held = docs.withColumn("__key", _row_key(docs)).join(keep(p.where("__copies > 0").withColumnRenamed("row_key", "__key"), "taken"), "__key")
+    again = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
+    single = held.where("__times = 1").withColumn("__k", again(F.col("__copies"))).select(*columns)
+    # equal rows are gathered to one, whose copies are dealt out in pieces
+    one = held.where("__times > 1").groupBy("__key").agg(F.first(F.struct(*columns)).alias("__row"), F.first("__copies").alias("__copies"))
+    pieces = one.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1, F.lit(PIECE).cast("long")))).repartition("__key", "__piece")
+    repeated = pieces.withColumn("__k", again(F.least(F.lit(PIECE).cast("long"), F.col("__copies") - F.col("__piece")))).select("__row.*")
+    return single.unionByName(repeated)

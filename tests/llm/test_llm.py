@@ -242,6 +242,22 @@ def test_mixing(spark, docs):
     assert (empty.taken == 0).all()
 
 
+def test_mixing_of_repeated_rows(spark):
+    rows = [(-1, "w " * 20, "a", 5)] * 1000 + [(k, "w " * 20, "a", 5) for k in range(2000)] + [(9000 + k, "v " * 20, "b", 5) for k in range(700)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    sizes = {"a": 60_000, "b": 14_000}
+    got = mixing.mix_report(d).toPandas()
+    assert len(got) == 3700
+    for s, g in (("a", got[got.source_size == sizes["a"]]), ("b", got[got.source_size == sizes["b"]])):
+        assert abs(g.taken.sum() - fill(sizes)[s]) <= 20
+    share = fill(sizes)["a"] / sizes["a"]
+    same = got[got.doc_id == -1].copies
+    assert len(same) == 1000 and set(same) <= {int(share), int(share) + 1} and abs(same.sum() - 1000 * share) <= 1
+    mixed, again = (Counter(map(tuple, mixing.mix_documents(d).collect())) for _ in range(2))
+    want = got.groupby("doc_id").copies.sum()
+    assert mixed == again and {r[0]: n for r, n in mixed.items()} == {int(k): int(n) for k, n in want.items() if n}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
