@@ -8,7 +8,12 @@ is confirmed by the longest common subsequence of words, weighted by squared IDF
 itself if nearly the whole passage is there, and for paraphrases together with
 the passage's answer.
 
-The benchmark is worked off in blocks of a fixed number of items, so what goes
+The latent space of a block has as many dimensions as passages, so the product of
+a window and a passage is exact in it: the sum of squared IDF of the words they
+share, which no common subsequence outweighs. So no confirmed window is missed,
+whatever else stands in it.
+
+The benchmark is worked off in blocks of about as many passages, so what goes
 to the executors stays bounded whatever the size of the benchmark.
 """
 
@@ -26,10 +31,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 WINDOW, STRIDE = 64, 16
 #: Longest passage; every run of this many words lies within one window.
 PASSAGE = WINDOW - STRIDE
-RANK = 192
-BLOCK_ITEMS = 500
-#: A window is a candidate for a passage at this cosine, if its projection on the passage is at least this share of it.
-COSINE, PROJECTED = 0.5, 0.4
+#: Passages in a block of the benchmark; its latent space has a dimension for each.
+BLOCK_PASSAGES = 256
+#: For rounding errors, in shares of a passage's weight.
+SPARE = 0.01
 #: Share of the passage's weight (sum of squared IDF) in the common subsequence: alone, and if the answer is found too.
 WHOLE, PARAPHRASE = 0.75, 0.5
 ANSWER_WORDS = 5
@@ -174,7 +179,7 @@ def randomised_svd(rows: DataFrame, n_terms: int, rank: int, seed: int = 7) -> n
     return right @ vectors[:, np.argsort(-values)]
 
 
-def fit(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Model | None:
+def fit(docs: DataFrame, items: DataFrame) -> Model | None:
     """The model of one block of items (item_id, text, answer); None if no item has words."""
     rows = sorted((r["item_id"], r["text"] or "", r["answer"]) for r in items.collect())
     parts = _passages(rows)
@@ -194,7 +199,7 @@ def fit(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Model | None:
     rows_ = [(*(x.tolist() for x in np.unique(c, return_counts=True)),) for c in coded]
     spark = docs.sparkSession
     matrix = spark.createDataFrame([(t, [float(c * idf[k]) for k, c in zip(t, m, strict=True)]) for t, m in rows_], "terms array<int>, values array<double>")
-    basis = randomised_svd(matrix, len(vocabulary), rank)
+    basis = randomised_svd(matrix, len(vocabulary), len(parts))
     projection = (idf[:, None] * basis).astype(np.float32)
     latent = np.array([projection[c].sum(0) for c in coded])
     norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-6)
@@ -264,7 +269,8 @@ def _search_piece(model: Model, ids: np.ndarray, ends: np.ndarray, first: int, f
             window = window + np.where((w + k < last[w])[:, None], vectors[w + k], 0)
         dot = window @ model.latent.T
         length = np.linalg.norm(window, axis=1, keepdims=True)
-        hit = (dot >= COSINE * length) & (dot >= PROJECTED * model.norm)
+        # the product bounds the weight of any common subsequence
+        hit = dot * model.norm >= (PARAPHRASE - SPARE) * model.weight
         for row, p in zip(*np.nonzero(hit), strict=True):
             i = w[row]
             text, passage, weight = ids[start[i] : stop[i]], model.passages[p], model.weight[p]
@@ -283,14 +289,15 @@ def _search_piece(model: Model, ids: np.ndarray, ends: np.ndarray, first: int, f
                     found[key] = new
 
 
-def models(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> list[Model]:
+def models(docs: DataFrame, benchmark: DataFrame, block_passages: int = BLOCK_PASSAGES) -> list[Model]:
     """One model for each block of the benchmark. Items with a null id or without
     words take no part; repeated ids count as one item with all their texts."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer")).where(F.col("item_id").isNotNull() & (F.length(F.trim("text")) > 0)).distinct()
-    n = items.count()
-    blocks = max(1, -(-n // block_items))
-    made = [fit(docs, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)) for b in range(blocks)]
+    n = items.agg(F.sum(F.ceil(F.regexp_count("text", F.lit(r"\S+")) / PASSAGE))).first()[0] or 0
+    # items are dealt by hash, so a block may hold somewhat more passages; its rank follows
+    blocks = 1 if n <= block_passages else -(-int(n) * 5 // (block_passages * 4))
+    made = [fit(docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)) for b in range(blocks)]
     return [m for m in made if m is not None]
 
 

@@ -190,6 +190,32 @@ def test_leaks(spark, docs):
     assert decontaminate.drop_leaks(docs, b).columns == docs.columns
 
 
+def test_leaks_of_full_blocks_and_short_items(spark):
+    rng = np.random.default_rng(11)
+    words = np.array([f"t{k}" for k in range(3000)])
+    share = 1 / np.arange(1, 3001)
+    text = lambda n: " ".join(rng.choice(words, n, p=share / share.sum()))
+    short = [(k, " ".join(rng.choice(words, int(rng.integers(8, 13)), replace=False))) for k in range(40)]
+    items = short + [(k, text(int(rng.integers(15, 60)))) for k in range(40, 500)]
+    clean = [text(400) for _ in range(40)]
+    rows, must = list(enumerate(clean)), set()
+    # short items back to back, and each item of the full block in a long document
+    rows.append((1000, " ".join(t for _, t in short)))
+    must |= {(1000, k) for k, _ in short}
+    for k, t in items[::5]:
+        rows.append((2000 + k, f"{clean[k % 40]} {t} {clean[(k + 1) % 40]}"))
+        must.add((2000 + k, k))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, b).collect()}
+    assert must <= got
+    for m in decontaminate.models(d, b):
+        # candidates are exact: the latent products are those of the weighted words
+        counts = np.array([np.bincount(p, minlength=len(m.vocabulary)) * m.idf for p in m.passages])
+        latent = m.latent * m.norm[:, None]
+        assert np.allclose(latent @ latent.T, counts @ counts.T, rtol=1e-3, atol=1e-2)
+
+
 def test_common_weight():
     rng = np.random.default_rng(2)
     idf = np.ones(6)
