@@ -143,12 +143,16 @@ def packed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def align_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole alignments of the first eight voiced frames of each track with those of track 0."""
-    voiced = _contours(spark, sf_dir).select("track_id", F.slice(F.filter("contour", lambda c: c.isNotNull()), 1, 8).alias("c")).where(F.size("c") == 8)
+    """Whole alignments of all voiced frames of each track with those of track 0.
+    The cost is null for tracks without voiced frames, and for all if track 0 has none."""
+    voiced = _contours(spark, sf_dir).select("track_id", F.filter("contour", lambda c: c.isNotNull()).alias("c"))
     first = voiced.where("track_id = 0").select("c").first()
-    y = F.array(F.array(*[F.lit(float(v)) for v in (first[0] if first else [0.0])]))
-    pairs = voiced.select("track_id", F.array("c").alias("x"), y.alias("y"))
-    return align_pairs(pairs, Warping()).select("track_id", F.round("cost", 6).alias("cost"))
+    query = [float(v) for v in first[0]] if first else []
+    y = F.array(F.array(*[F.lit(v) for v in query]).cast("array<double>"))
+    can = (F.size("c") > 0) & F.lit(bool(query))
+    pairs = voiced.where(can).select("track_id", F.array("c").alias("x"), y.alias("y"))
+    costs = align_pairs(pairs, Warping()).select("track_id", F.round("cost", 6).alias("cost"))
+    return costs.unionByName(voiced.where(~can).select("track_id", F.lit(None).cast("double").alias("cost")))
 
 
 def hummed_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
