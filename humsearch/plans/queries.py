@@ -104,7 +104,9 @@ def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of all vectors to vector 0, which is a row of a few numbers."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     first = rows.where("vec_id = 0").select("x").first()
-    y = F.array(*[F.lit(float(v)) for v in first[0]])
+    if first is None:
+        rows, first = rows.limit(0), [[]]
+    y = F.array(*[F.lit(float(v)) for v in first[0]]).cast("array<double>")
     gap = F.zip_with("x", y, lambda a, b: F.abs(a - b))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
     square = total(F.transform(gap, lambda g: g * g))
@@ -113,7 +115,7 @@ def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = _bins(spark, sf_dir)
-    return matching.match_costs(bins, _query(bins)).select("track_id", F.round("cost", 6).alias("cost"))
+    return matching.match_costs(bins, _query(bins)).where("cost is not null").select("track_id", F.round("cost", 6).alias("cost"))
 
 
 def match_costs_by_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
