@@ -431,6 +431,44 @@ def test_near_duplicates(spark, docs):
     assert probminhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def dense_rows(n, seed=5):
+    """Near copies of one text with two to nine changes each, some of them shared and some
+    cuts of its end: most pairs lie below 0.8, in buckets that hold hundreds of texts."""
+    rng = np.random.default_rng(seed)
+    first = [f"v{k}" for k in range(150)]
+    shared = [(int(rng.integers(0, 150)), f"shared{k}") for k in range(12)]
+    rows = []
+    for k in range(n):
+        w = list(first)
+        for at, word in (shared[j] for j in rng.choice(12, int(rng.integers(0, 5)), replace=False)):
+            w[at] = word
+        for at in rng.integers(0, 150, int(rng.integers(2, 6))):
+            w[at] = f"new{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(w[: 150 - 8 * int(rng.integers(0, 5))])))
+    return rows
+
+
+def test_dense_group(spark, monkeypatch):
+    # small parts and few rare shingles, so that cells and both kinds of residual pairs occur
+    monkeypatch.setattr(probminhash, "PART", 32)
+    monkeypatch.setattr(probminhash, "RARE", 20)
+    rows = dense_rows(400)
+    want = exact_classes(rows)
+    assert len({c for _, c in want}) > 20
+    got = probminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(want)
+
+
+def test_bound():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        ha, hb = (np.unique(rng.integers(0, 40, 60).astype(np.uint64)) for _ in range(2))
+        wa, wb = (1 + np.log(rng.integers(1, 4, len(h))) for h in (ha, hb))
+        only_a, only_b = wa[~np.isin(ha, hb)].sum(), wb[~np.isin(hb, ha)].sum()
+        most = (wa.sum() - only_a) / (wa.sum() + only_b / wb.max())
+        assert probminhash.similarity(ha, wa, hb, wb) <= most + 1e-12
+
+
 def test_similarity_and_sketch():
     rng = np.random.default_rng(3)
     for _ in range(5):
