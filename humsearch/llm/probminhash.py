@@ -47,6 +47,8 @@ ESTIMATE = 0.6
 RARE = 100
 #: Members of a large bucket that one cell of its joins holds, about.
 PART = 256
+#: Parts that the nodes of one label are dealt into.
+SALTS = 16
 #: For rounding errors of weights and similarities.
 SPARE = 1e-6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -250,9 +252,10 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         around = both.join(labels.select(F.col("fp").alias("b"), "label"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("near"))
         taken = labels.join(around, "fp", "left").select("fp", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        # all nodes of one label follow the least that any of them saw
-        lowest = taken.where("label < old").groupBy(F.col("old").alias("was")).agg(F.min("label").alias("to"))
-        moved = keep(taken.join(lowest, taken.old == lowest.was, "left").select("fp", "old", F.least("label", F.coalesce("to", "label")).alias("label")), "labels")
+        # all nodes of one label follow the least that any of them saw; a large label's nodes are dealt over salts
+        lowest = taken.where("label < old").groupBy(F.col("old").alias("was")).agg(F.min("label").alias("to")).withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = taken.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+        moved = keep(salted.join(lowest, (F.col("old") == F.col("was")) & (F.col("salt") == F.col("of")), "left").select("fp", "old", F.least("label", F.coalesce("to", "label")).alias("label")), "labels")
         discard(last)
         labels = last = moved
         if moved.where("label < old").isEmpty():
@@ -330,9 +333,10 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     centres = keep(centres.select("bucket", F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("part"), F.col("c.fp").alias("c")), "centres")
     stars = keep(buckets.join(centres, ["bucket", "part"]).where("fp != c").select(F.col("fp").alias("a"), F.col("c").alias("b")).distinct(), "stars")
     nodes = keep(buckets.groupBy("fp").agg(F.lit(1).alias("one")).join(copies.select("fp", "least"), "fp").select("fp", "least"), "nodes")
-    # the text of one row for each text of a bucket; copies are dealt by their doc_id too
+    # the text of one row for each text of a bucket; copies are dealt by their doc_id too,
+    # and by a shuffle at any size, as the buckets' texts grow with the corpus
     whole = base.select("doc_id", "fp", "text")
-    one = whole.join(nodes.select(F.col("fp").alias("of"), "least"), (whole.fp == F.col("of")) & whole.doc_id.eqNullSafe(F.col("least")), "left_semi").dropDuplicates(["fp"])
+    one = whole.join(nodes.select(F.col("fp").alias("of"), "least").hint("merge"), (whole.fp == F.col("of")) & whole.doc_id.eqNullSafe(F.col("least")), "left_semi").dropDuplicates(["fp"])
     sets = keep(weighted_sets(one), "sets")
     compared = keep(_compared(stars, sets), "compared")
     linked = lambda found: found.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
