@@ -1,10 +1,12 @@
-"""Pairwise distances of rows of two matrices, by the usual names."""
+"""Pairwise distances by the usual names: of rows of matrices, and of vectors in DataFrames."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 
 def _each(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -44,3 +46,41 @@ def pairwise(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.ndar
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     return METRICS[metric](np.asarray(x, float), np.asarray(y, float))
+
+
+def distances(vectors: DataFrame, queries: DataFrame, metrics: Sequence[str] = tuple(METRICS)) -> DataFrame:
+    """(query_id, vec_id, metric, distance) of all vectors (vec_id, v) to all queries (query_id, v).
+
+    A block of queries goes with the function and meets every vector in place;
+    nothing is shuffled. Vectors of another length than a query have no distance to it.
+    """
+    from .matching import blocks
+
+    names = tuple(metrics)
+    for name in names:
+        if name not in METRICS:
+            raise ValueError(f"unknown metric {name!r}")
+    schema = "query_id long, vec_id long, metric string, distance double"
+    narrow = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).where("v is not null")
+
+    def of(ids: np.ndarray, x: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                long_enough = batch.filter(pa.array(np.asarray(batch.column(1).value_lengths()) == x.shape[1]))
+                for at in range(0, long_enough.num_rows, 256):
+                    piece = long_enough.slice(at, 256)
+                    y = np.asarray(piece.column(1).flatten()).reshape(-1, x.shape[1])
+                    for name in names:
+                        d = pairwise(x, y, name).ravel()
+                        vec = np.tile(np.asarray(piece.column(0)), len(x))
+                        yield pa.record_batch([pa.array(np.repeat(ids, len(y))), pa.array(vec), pa.array([name] * len(d)), pa.array(d)], ["query_id", "vec_id", "metric", "distance"])
+
+        return narrow.mapInArrow(run, schema)
+
+    found = vectors.sparkSession.createDataFrame([], schema)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<double>").alias("v")).where("query_id is not null and size(v) > 0")
+    for rows in blocks(asked, "query_id"):
+        for size in {len(r["v"]) for r in rows}:
+            same = [r for r in rows if len(r["v"]) == size]
+            found = found.union(of(np.array([r["query_id"] for r in same], np.int64), np.array([r["v"] for r in same], float)))
+    return found

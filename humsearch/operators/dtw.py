@@ -48,6 +48,8 @@ class Warping:
 
 @dataclass(frozen=True)
 class Alignment:
+    """Accumulated cost, the step into each cell (0 where a path starts) and the path from its end."""
+
     cost: np.ndarray
     steps: np.ndarray
     path: np.ndarray | None
@@ -65,47 +67,31 @@ def band(cost: np.ndarray, radius: float) -> np.ndarray:
 def accumulate(cost: np.ndarray, w: Warping) -> tuple[np.ndarray, np.ndarray]:
     """(accumulated cost, number of the step that led there, -1 at a start).
 
-    Rows are done in order and, within one, all steps from earlier rows at once;
-    only steps along the row go cell by cell. Equal costs keep the earlier step.
+    Every step comes from an earlier antidiagonal, so the cells of one are done
+    together, in the order of operations of a plain loop over cells. Equal costs
+    keep the earlier step, and a start before any step.
     """
     n, m = cost.shape
-    total = np.full((n, m), np.inf)
-    taken = np.full((n, m), -1, np.int32)
     moves = w.moves()
-    for i in range(n):
-        if i == 0:
-            if w.subsequence:
-                total[0] = cost[0]
-            else:
-                total[0, 0] = cost[0, 0]
-        best = np.where(np.isfinite(total[i]), total[i], np.inf)
-        step = taken[i].copy()
-        along = []
+    above, left = (max(move[k] for move in moves) for k in (0, 1))
+    width = m + left
+    total = np.full((n + above) * width, np.inf)
+    taken = np.full(total.shape, -1, np.int32)
+    begin = above * width + left
+    total[begin : begin + (m if w.subsequence else 1)] = cost[0] if w.subsequence else cost[0, 0]
+    for d in range(n + m - 1):
+        i = np.arange(max(0, d - m + 1), min(n, d + 1))
+        at, c = (i + above) * width + (d - i) + left, cost[i, d - i]
+        best, step = total[at], taken[at]
         for code, (di, dj, add, mul) in enumerate(moves):
             if not np.isfinite(mul):
                 continue
-            if di == 0:
-                along.append((code, dj, add, mul))
-                continue
-            if i - di < 0:
-                continue
-            came = np.full(m, np.inf)
-            came[dj:] = total[i - di, : m - dj] if dj else total[i - di]
-            came = came + mul * cost[i] + add
-            better = came < best if not along else (came < best)
-            best = np.where(better, came, best)
-            step = np.where(better, code, step)
-        if i == 0 and w.subsequence:
-            pass
-        elif along:
-            for j in range(m):
-                for code, dj, add, mul in along:
-                    if dj and j >= dj:
-                        came = best[j - dj] + mul * cost[i, j] + add
-                        if came < best[j] or (came == best[j] and np.isfinite(came) and 0 <= code < step[j]):
-                            best[j], step[j] = came, code
-        total[i], taken[i] = best, step
-    return total, taken
+            came = (total[at - (di * width + dj)] if di or dj else best) + (mul * c + add)
+            better = came < best
+            best, step = np.where(better, came, best), np.where(better, code, step)
+        total[at], taken[at] = best, step
+    whole, codes = (x.reshape(n + above, width)[above:, left:] for x in (total, taken))
+    return whole, codes
 
 
 def trace(steps: np.ndarray, w: Warping, start: int | None = None) -> np.ndarray:
@@ -140,7 +126,7 @@ def align(x: np.ndarray | None = None, y: np.ndarray | None = None, *, cost: np.
         cost = band(cost, warping.band_radius)
     total, steps = accumulate(cost, warping)
     if not backtrack:
-        return Alignment(total, steps, None)
+        return Alignment(total, np.maximum(steps, 0), None)
     if warping.subsequence:
         if np.isinf(total[-1]).all():
             raise ValueError("no path reaches the last row")
@@ -153,28 +139,40 @@ def align(x: np.ndarray | None = None, y: np.ndarray | None = None, *, cost: np.
             raise ValueError("the path doesn't reach the start")
     if warping.subsequence and (turned or (given and cost.shape[0] > cost.shape[1])):
         path = path[:, ::-1]
-    return Alignment(total, steps, path)
+    return Alignment(total, np.maximum(steps, 0), path)
 
 
-def align_pairs(pairs: DataFrame, warping: Warping = Warping(), x: str = "x", y: str = "y") -> DataFrame:
-    """``pairs`` with ``cost`` (end of the alignment) and ``path`` array<struct<i,j>>.
+def align_pairs(pairs: DataFrame, warping: Warping = Warping(), x: str = "x", y: str = "y", cost: str | None = None, paths: bool = True, matrices: bool = False) -> DataFrame:
+    """``pairs`` with ``cost`` (end of the alignment) and, where asked for, ``path``
+    array<struct<i,j>> from the end, and the matrices ``total`` and ``steps`` by rows.
 
-    ``x`` and ``y`` hold arrays of feature rows, array<array<double>>. Each row is
-    one task's work on its own; nothing is shuffled.
+    ``x`` and ``y`` hold arrays of feature rows, or ``cost`` a cost matrix; all are
+    array<array<double>>. Without a path from start to end ``paths`` is an error,
+    otherwise the cost is null. Each row is one task's work on its own; nothing is
+    shuffled.
     """
+    made = {"cost": "double"} | ({"path": "array<struct<i:int,j:int>>"} if paths else {}) | ({"total": "array<array<double>>", "steps": "array<array<int>>"} if matrices else {})
+    kinds = {"cost": pa.float64(), "path": pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])), "total": pa.list_(pa.list_(pa.float64())), "steps": pa.list_(pa.list_(pa.int32()))}
+    sides = [cost] if cost else [x, y]
+    others = [c for c in pairs.columns if c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            costs, paths = [], []
-            for a, b in zip(batch.column(x).to_pylist(), batch.column(y).to_pylist(), strict=True):
-                got = align(np.array(a), np.array(b), warping=warping)
-                end = got.cost[-1].min() if warping.subsequence else got.cost[-1, -1]
-                costs.append(float(end))
-                paths.append([{"i": int(i), "j": int(j)} for i, j in got.path])
-            kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
-            yield pa.record_batch([*batch.columns, pa.array(costs, pa.float64()), pa.array(paths, kind)], [*batch.schema.names, "cost", "path"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", cost double, path array<struct<i:int,j:int>>"
+            out: dict[str, list] = {k: [] for k in made}
+            for given in zip(*(batch.column(c).to_pylist() for c in sides), strict=True):
+                of = {"cost": np.array(given[0])} if cost else dict(zip("xy", map(np.array, given), strict=True))
+                got = align(**of, warping=warping, backtrack=paths)
+                end = float(got.cost[-1].min() if warping.subsequence else got.cost[-1, -1])
+                out["cost"].append(end if np.isfinite(end) else None)
+                if paths:
+                    out["path"].append([{"i": int(i), "j": int(j)} for i, j in got.path])
+                if matrices:
+                    out["total"].append(got.cost.tolist())
+                    out["steps"].append(got.steps.tolist())
+            yield pa.record_batch([batch.column(c) for c in others] + [pa.array(out[k], kinds[k]) for k in made], [*others, *made])
+
+    # a column that is named like a result gives way to it
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name in others] + [f"{k} {v}" for k, v in made.items()])
     return pairs.mapInArrow(run, schema)
 
 

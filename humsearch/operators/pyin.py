@@ -7,7 +7,8 @@ file's frames together, in order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,7 @@ class PitchSettings:
     frame_length: int = 2048
     hop_length: int | None = None
     n_thresholds: int = 100
+    beta_parameters: tuple[float, float] = (2, 18)
     boltzmann: float = 2.0
     resolution: float = 0.1
     max_transition_rate: float = 35.92
@@ -33,7 +35,7 @@ class PitchSettings:
     pad_mode: str = "constant"
 
     def hop(self) -> int:
-        return self.hop_length or self.frame_length // 4
+        return self.frame_length // 4 if self.hop_length is None else self.hop_length
 
     def check(self, sr: int) -> None:
         if None in (self.fmin, self.fmax):
@@ -77,19 +79,31 @@ def padded(samples: Column, size: int, mode: str = "constant") -> Column:
     raise ValueError(f"unknown pad mode {mode!r}")
 
 
-def frames(audio: DataFrame, settings: PitchSettings) -> DataFrame:
-    """(audio_id, sr, frame_idx, frame): overlapping frames; too short audio has none."""
+def frames(audio: DataFrame, settings: PitchSettings, mode: str = "FAILFAST") -> DataFrame:
+    """(audio_id, sr, frame_idx, frame): overlapping frames of audio (audio_id, sr, samples).
+
+    Samples that are missing or not finite, and audio shorter than a frame, are an
+    error; with ``mode`` PERMISSIVE such audio has no frames.
+    """
+    if mode not in ("FAILFAST", "PERMISSIVE"):
+        raise ValueError(f"unknown mode {mode!r}")
     size, hop = settings.frame_length, settings.hop()
     if hop < 1:
         raise ValueError("the hop must be positive")
+    fine = F.coalesce(valid(F.col("samples")), F.lit(False))
     samples = padded(F.col("samples"), size // 2, settings.pad_mode) if settings.center else F.col("samples")
-    long_ = audio.where(valid(F.col("samples"))).select("audio_id", "sr", samples.alias("samples")).where(F.size("samples") >= size)
+    long_ = audio.select("audio_id", "sr", F.when(fine & (F.size(samples) >= size), samples).alias("samples"))
+    if mode == "PERMISSIVE":
+        long_ = long_.where("samples is not null")
+    else:
+        wrong = F.raise_error(F.concat(F.lit("audio is too short or not finite: "), F.coalesce(F.col("audio_id").cast("string"), F.lit("null"))))
+        long_ = long_.withColumn("samples", F.coalesce("samples", wrong.cast("array<double>")))
     starts = F.sequence(F.lit(0), F.size("samples") - size, F.lit(hop))
     return long_.select("audio_id", "sr", F.posexplode(F.transform(starts, lambda s: F.slice("samples", s + 1, size))).alias("frame_idx", "frame"))
 
 
-def normalised_difference(x: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Cumulative-mean-normalised difference of frames (rows) for lags low to high.
+def difference(x: np.ndarray, high: int) -> np.ndarray:
+    """Squared difference of frames (rows) and themselves for lags 0 to high.
 
     d(lag) = energy + energy of the part from lag on - 2 * autocorrelation, where
     the frame is followed by zeros.
@@ -99,9 +113,15 @@ def normalised_difference(x: np.ndarray, low: int, high: int) -> np.ndarray:
     f = np.fft.rfft(x, size, axis=1)
     auto = np.fft.irfft(f * np.conj(f), size, axis=1)[:, : high + 1]
     energy = np.cumsum((x * x)[:, ::-1], axis=1)[:, ::-1]
-    tail = np.concatenate([energy, np.zeros((len(x), 1))], axis=1)[:, : high + 1]
+    tail = np.concatenate([energy, np.zeros((len(x), max(1, high + 1 - n)))], axis=1)[:, : high + 1]
     d = np.maximum(energy[:, :1] + tail - 2 * auto, 0)
     d[d < 1e-12 * np.maximum(energy[:, :1], _TINY)] = 0
+    return d
+
+
+def normalised_difference(x: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Cumulative-mean-normalised difference of frames (rows) for lags low to high."""
+    d = difference(x, high)
     mean = np.cumsum(d[:, 1:], axis=1) / np.arange(1, high + 1)
     return d[:, low : high + 1] / np.where(mean[:, low - 1 :] == 0, 1e-12, mean[:, low - 1 :])
 
@@ -127,17 +147,46 @@ def troughs(y: np.ndarray) -> np.ndarray:
     return np.flatnonzero(low)
 
 
-def beta_steps(n: int) -> np.ndarray:
-    """Probability of each threshold: steps of the Beta(2, 18) distribution function."""
+def beta_steps(n: int, parameters: tuple[float, float] = (2, 18)) -> np.ndarray:
+    """Probability of each of n thresholds: steps of a Beta distribution function.
+
+    For whole parameters the distribution function is a binomial tail; otherwise
+    the density, a power series in x below the mean and in 1 - x above, is summed.
+    """
+    a, b = parameters
+    if a <= 0 or b <= 0:
+        raise ValueError("the beta parameters must be positive")
     x = np.linspace(0, 1, n + 1)
-    return np.diff(1 - (1 - x) ** 18 * (1 + 18 * x))
+    if float(a).is_integer() and float(b).is_integer():
+        a, b = int(a), int(b)
+        part = lambda ks: sum(math.comb(a + b - 1, k) * x**k * (1 - x) ** (a + b - 1 - k) for k in ks)
+        # the smaller of both tails, so that nothing is left of rounding errors near 1
+        return np.diff(np.maximum.accumulate(np.where(x < a / (a + b), part(range(a, a + b)), 1 - part(range(a)))))
+
+    def lower(z: np.ndarray, p: float, q: float) -> np.ndarray:
+        # z^p (1 - z)^q / (p B(p, q)) * sum_k prod_j (p + q + j) / (p + 1 + j) z^k
+        total = term = np.ones_like(z)
+        for k in range(10_000):
+            term = term * z * (p + q + k) / (p + 1 + k)
+            total = total + term
+            if term.max() < 1e-17 * total.max():
+                break
+        scale = math.lgamma(p + q) - math.lgamma(p + 1) - math.lgamma(q)
+        with np.errstate(divide="ignore"):
+            return np.exp(scale + p * np.log(z) + q * np.log1p(-z)) * total
+
+    below = x < (a + 1) / (a + b + 2)
+    out = np.ones_like(x)
+    out[below] = lower(x[below], a, b)
+    out[~below] = 1 - lower(1 - x[~below], b, a)
+    return np.diff(out)
 
 
 def trough_weights(heights: np.ndarray, s: PitchSettings) -> np.ndarray:
     """Probability of each trough over all thresholds: those below a threshold are
     weighed by a truncated exponential of their rank among them; the lowest one
     also gets a share of the thresholds that none is below."""
-    beta = beta_steps(s.n_thresholds)
+    beta = beta_steps(s.n_thresholds, s.beta_parameters)
     below = heights[:, None] < np.linspace(0, 1, s.n_thresholds + 1)[None, 1:]
     rank, count = np.cumsum(below, axis=0) - 1, below.sum(0)
     lam = s.boltzmann
@@ -166,37 +215,45 @@ def observe(y: np.ndarray, sr: int, low: int, s: PitchSettings) -> tuple[np.ndar
     return some, dense[some], float(np.clip(dense[:n].sum(), 0, 1))
 
 
-def local_transition(n: int, width: int, shape: str = "triangle", wrap: bool = False) -> np.ndarray:
-    """Row-stochastic matrix that moves at most half a width; a window of the given shape around each state."""
+def window(shape: str, width: int) -> np.ndarray:
+    """The usual periodic window functions."""
     m = np.arange(width)
     if shape == "triangle":
         half = (width + 1) // 2
         ramp = np.arange(1, half + 1)
-        window = np.concatenate([ramp, ramp[::-1][1:]]) / half if width % 2 else np.concatenate([2 * ramp - 1, (2 * ramp - 1)[::-1]]) / width
-    elif shape == "boxcar":
-        window = np.ones(width)
-    elif shape in ("hann", "hamming"):
+        return np.concatenate([ramp, ramp[::-1][1:]]) / half if width % 2 else np.concatenate([2 * ramp - 1, (2 * ramp - 1)[::-1]]) / width
+    if shape == "boxcar":
+        return np.ones(width)
+    if shape in ("hann", "hamming"):
         base = 0.5 if shape == "hann" else 0.54
-        window = base - (1 - base) * np.cos(2 * np.pi * m / width)
-    else:
-        raise ValueError(f"unknown window {shape!r}")
-    if width > n:
-        raise ValueError("the width exceeds the number of states")
+        return base - (1 - base) * np.cos(2 * np.pi * m / width)
+    raise ValueError(f"unknown window {shape!r}")
+
+
+def local_transition(n: int, width: int | Sequence[int], shape: str = "triangle", wrap: bool = False) -> np.ndarray:
+    """Row-stochastic matrix that moves at most half a width, which may differ by
+    state; a window of the given shape around each state."""
+    widths = np.broadcast_to(np.asarray(width), (n,)) if np.ndim(width) == 0 else np.asarray(width)
+    if n < 2 or widths.shape != (n,):
+        raise ValueError("two states or more, and one width or a width for each, are needed")
+    if (widths < 1).any() or (widths > n).any():
+        raise ValueError("widths must lie between 1 and the number of states")
     out = np.zeros((n, n))
-    for i in range(n):
-        to = ((n - width) // 2 + m + n // 2 + i + 1) % n
-        out[i, to] = window
+    for i, w in enumerate(widths.tolist()):
+        out[i, ((n - w) // 2 + np.arange(w) + n // 2 + i + 1) % n] = window(shape, w)
         if not wrap:
-            out[i, i + width // 2 + 1 :] = 0
-            out[i, : max(0, i - width // 2)] = 0
+            out[i, i + w // 2 + 1 :] = 0
+            out[i, : max(0, i - w // 2)] = 0
     return out / out.sum(1, keepdims=True)
 
 
-def loop_transition(n: int, stay: float) -> np.ndarray:
-    if n < 2 or not 0 <= stay <= 1:
-        raise ValueError("two states and a probability are needed")
-    out = np.full((n, n), (1 - stay) / (n - 1))
-    np.fill_diagonal(out, stay)
+def loop_transition(n: int, stay: float | Sequence[float]) -> np.ndarray:
+    """Row-stochastic matrix that stays with a probability, which may differ by state, and else goes anywhere alike."""
+    keep = np.broadcast_to(np.asarray(stay, float), (n,)) if np.ndim(stay) == 0 else np.asarray(stay, float)
+    if n < 2 or keep.shape != (n,) or (keep < 0).any() or (keep > 1).any():
+        raise ValueError("two states or more, and one probability or one for each, are needed")
+    out = np.repeat(((1 - keep) / (n - 1))[:, None], n, axis=1)
+    np.fill_diagonal(out, keep)
     return out
 
 
@@ -208,6 +265,8 @@ def viterbi(prob: np.ndarray, transition: np.ndarray, start: np.ndarray | None =
         raise ValueError("the transition matrix must be stochastic")
     if (prob < 0).any() or (prob > 1).any():
         raise ValueError("observations must be probabilities")
+    if start is not None and (start.shape != (n,) or (start < 0).any() or not np.allclose(start.sum(), 1)):
+        raise ValueError("the start must be a distribution over the states")
     move = np.log(transition + _TINY)
     if least_transition is not None:
         move = np.where(transition >= least_transition, move, -np.inf)
@@ -215,7 +274,7 @@ def viterbi(prob: np.ndarray, transition: np.ndarray, start: np.ndarray | None =
             raise ValueError("a state cannot be reached")
     seen = np.log(prob.T + _TINY)
     value = seen[0] + np.log((np.full(n, 1 / n) if start is None else start) + _TINY)
-    back = np.zeros((steps, n), np.int32)
+    back = np.zeros((steps, n), np.uint16 if n <= 65536 else np.int32)
     for t in range(1, steps):
         came = value[:, None] + move
         back[t] = came.argmax(0)
@@ -227,48 +286,96 @@ def viterbi(prob: np.ndarray, transition: np.ndarray, start: np.ndarray | None =
     return states, float(value.max())
 
 
-def pitch(audio: DataFrame, settings: PitchSettings = PitchSettings(), fill: float | None = None) -> DataFrame:
-    """(audio_id, frame_idx, f0, voiced, voiced_prob) of audio (audio_id, sr, samples).
+def differences(framed: DataFrame, high: int) -> DataFrame:
+    """(audio_id, frame_idx, differences): squared differences of frames (audio_id, frame_idx, frame) for lags 0 to high."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
+                d = difference(np.asarray(piece.column(2).flatten(), float).reshape(piece.num_rows, -1), high)
+                yield pa.record_batch([piece.column(0), piece.column(1), pa.array(d.tolist(), pa.list_(pa.float64()))], ["audio_id", "frame_idx", "differences"])
+
+    narrow = framed.select(F.col("audio_id").cast("long").alias("audio_id"), F.col("frame_idx").cast("int").alias("frame_idx"), F.col("frame").cast("array<double>").alias("frame"))
+    return narrow.mapInArrow(run, "audio_id long, frame_idx int, differences array<double>")
+
+
+def minima(series: DataFrame) -> DataFrame:
+    """(series_id, at): places of the local minima of series (series_id, values), from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [troughs(np.asarray(v.values, float)).tolist() for v in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["series_id", "at"])
+
+    narrow = series.select(F.col("series_id").cast("long").alias("series_id"), F.col("values").cast("array<double>").alias("values")).where("values is not null")
+    return narrow.mapInArrow(run, "series_id long, at array<int>").select("series_id", F.explode("at").alias("at"))
 
-    f0 is ``fill`` where unvoiced. Rates that the settings don't allow raise an error.
+
+def analysed(framed: DataFrame, settings: PitchSettings, detail: bool = False) -> DataFrame:
+    """(audio_id, sr, frame_idx, states, probs, voiced_prob) of frames (audio_id, sr,
+    frame_idx, frame): the voiced states that a frame may be in. With ``detail``
+    also the normalised differences by lag, their parabolic shifts, and the places
+    and weights of their troughs.
     """
     s = settings
-    n = s.n_bins()
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 piece = batch.slice(at, 64)
-                rates = piece.column("sr").to_pylist()
-                states, probs, voiced = [], [], []
-                x = np.array(piece.column("frame").to_pylist(), float)
-                for k, sr in enumerate(rates):
-                    if k == 0 or sr != rates[k - 1]:
-                        s.check(sr)
-                        low, high = s.periods(sr)
-                        same = [j for j in range(k, len(rates)) if rates[j] == sr]
-                        diff = dict(zip(same, normalised_difference(x[same], low, high), strict=True))
-                    a, b, c = observe(diff[k], sr, low, s)
-                    states.append(a.tolist())
-                    probs.append(b.tolist())
-                    voiced.append(c)
-                made = [pa.array(states, pa.list_(pa.int32())), pa.array(probs, pa.list_(pa.float64())), pa.array(voiced, pa.float64())]
-                yield pa.record_batch([piece.column("audio_id"), piece.column("sr"), piece.column("frame_idx"), *made], ["audio_id", "sr", "frame_idx", "states", "probs", "voiced_prob"])
+                rates = np.asarray(piece.column("sr"))
+                x = np.asarray(piece.column("frame").flatten(), float).reshape(len(rates), -1)
+                rows: list = [None] * len(rates)
+                for sr in np.unique(rates).tolist():
+                    s.check(sr)
+                    low, high = s.periods(sr)
+                    same = np.flatnonzero(rates == sr)
+                    for k, y in zip(same.tolist(), normalised_difference(x[same], low, high), strict=True):
+                        rows[k] = observe(y, sr, low, s)
+                        if detail:
+                            places = troughs(y)
+                            rows[k] += (y, parabola_shifts(y), places, trough_weights(y[places], s) if len(places) else np.zeros(0))
+                kinds = [pa.list_(pa.int32()), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64())]
+                made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
+                yield pa.record_batch([piece.column(c) for c in ("audio_id", "sr", "frame_idx")] + made, names)
+
+    schema = "audio_id long, sr int, frame_idx int, states array<int>, probs array<double>, voiced_prob double"
+    if detail:
+        schema += ", differences array<double>, shifts array<double>, troughs array<int>, weights array<double>"
+    names = [c.split()[0] for c in schema.split(", ")]
+    narrow = framed.select(F.col("audio_id").cast("long").alias("audio_id"), F.col("sr").cast("int").alias("sr"), F.col("frame_idx").cast("int").alias("frame_idx"), F.col("frame").cast("array<double>").alias("frame"))
+    return narrow.mapInArrow(run, schema)
+
+
+def decoded(seen: DataFrame, settings: PitchSettings, fill: float | None = None) -> DataFrame:
+    """(audio_id, frame_idx, f0, voiced, voiced_prob) of analysed frames: the
+    likeliest sequence of states of each recording, decoded in one task."""
+    s, n = settings, settings.n_bins()
+    moves: dict[int, np.ndarray] = {}
 
     def decode(group: pa.Table) -> pa.Table:
         group = group.sort_by("frame_idx")
         steps, sr = group.num_rows, group.column("sr")[0].as_py()
+        if sr not in moves:
+            moves[sr] = np.kron(loop_transition(2, 1 - s.switch_prob), local_transition(n, s.width(sr)))
         voiced = group.column("voiced_prob").to_numpy()
-        prob = np.empty((2 * n, steps))
-        prob[:n] = 0
+        prob = np.zeros((2 * n, steps))
         prob[n:] = (1 - voiced) / n
         for t, (a, b) in enumerate(zip(group.column("states").to_pylist(), group.column("probs").to_pylist(), strict=True)):
             prob[a, t] = np.minimum(b, 1)
-        moves = np.kron(loop_transition(2, 1 - s.switch_prob), local_transition(n, s.width(sr)))
-        states, _ = viterbi(prob, moves)
+        states, _ = viterbi(prob, moves[sr])
         f0 = s.fmin * 2.0 ** ((states % n) / (12 * s.bins_per_semitone()))
         on = states < n
         return pa.table({"audio_id": group.column("audio_id"), "frame_idx": group.column("frame_idx"), "f0": pa.array([float(f) if v else fill for f, v in zip(f0, on, strict=True)], pa.float64()), "voiced": pa.array(on), "voiced_prob": pa.array(voiced)})
 
-    seen = frames(audio, s).mapInArrow(candidates, "audio_id long, sr int, frame_idx int, states array<int>, probs array<double>, voiced_prob double")
-    return seen.groupBy("audio_id").applyInArrow(decode, "audio_id long, frame_idx int, f0 double, voiced boolean, voiced_prob double")
+    return seen.select("audio_id", "sr", "frame_idx", "states", "probs", "voiced_prob").groupBy("audio_id").applyInArrow(decode, "audio_id long, frame_idx int, f0 double, voiced boolean, voiced_prob double")
+
+
+def pitch(audio: DataFrame, settings: PitchSettings = PitchSettings(), fill: float | None = None, mode: str = "FAILFAST") -> DataFrame:
+    """(audio_id, frame_idx, f0, voiced, voiced_prob) of audio (audio_id, sr, samples).
+
+    f0 is ``fill`` where unvoiced. Rates that the settings don't allow raise an
+    error, and so does audio that cannot be framed, unless ``mode`` is PERMISSIVE.
+    """
+    return decoded(analysed(frames(audio, settings, mode), settings), settings, fill)

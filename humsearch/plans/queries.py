@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..config import EngineConfig
 from ..functions import pitch as P
 from ..operators import matching
+from ..operators.distance import distances
 from ..operators.dtw import Warping, align_pairs
-from ..operators.pyin import PitchSettings, padded, pitch
+from ..operators.pyin import PitchSettings, differences, minima, padded, pitch
 from ..sources import packed
+from . import tracking, warping
 
 #: Frames of track 0 that serve as the hummed query.
 QUERY_FRAMES = 12
@@ -79,38 +81,27 @@ def profile_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("track_id").orderBy("frame_idx")
-    rows = _f0(spark, sf_dir).where("f0 is not null").select("track_id", "frame_idx", "f0", F.lag("f0").over(order).alias("before"), F.lead("f0").over(order).alias("after"))
-    return rows.where("f0 < before and f0 <= after").select("track_id", "frame_idx", "f0")
-
-
-def audio_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Energy of overlapping frames of 16 samples, 8 apart."""
-    samples = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    starts = F.sequence(F.lit(0), F.size("x") - 16, F.lit(8))
-    each = samples.select("vec_id", F.posexplode(F.transform(starts, lambda s: F.slice("x", s + 1, 16))).alias("frame_idx", "frame"))
-    return each.select("vec_id", "frame_idx", F.round(F.aggregate("frame", F.lit(0.0), lambda a, b: a + b * b), 6).alias("energy"))
+    """Local minima of the voiced frequencies of each track, but for the first and last frame."""
+    voiced = _f0(spark, sf_dir).where("f0 is not null").groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "f0"))).alias("frames")).withColumn("values", F.col("frames.f0"))
+    found = minima(voiced.select(F.col("track_id").alias("series_id"), "values"))
+    joined = found.join(voiced, found.series_id == voiced.track_id).where((F.col("at") > 0) & (F.col("at") < F.size("frames") - 1))
+    return joined.select("track_id", F.get("frames", "at").alias("x")).select("track_id", "x.frame_idx", "x.f0")
 
 
 def period_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared differences of each piece of audio and itself, shifted by 1 to 8 samples; past its end it is 0."""
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("lag"))
-    later = F.concat(F.expr("slice(x, lag + 1, size(x))"), F.array_repeat(F.lit(0.0), F.col("lag")))
-    squares = F.zip_with("x", later, lambda a, b: (a - b) * (a - b))
-    return rows.select("vec_id", "lag", F.round(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b), 6).alias("difference"))
+    framed = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("audio_id"), F.lit(0).alias("frame_idx"), F.col("embedding").alias("frame"))
+    each = differences(framed, 8).select(F.col("audio_id").alias("vec_id"), F.posexplode("differences").alias("lag", "difference"))
+    return each.where("lag > 0").select("vec_id", "lag", F.round("difference", 6).alias("difference"))
 
 
 def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of all vectors to vector 0, which is a row of a few numbers."""
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    first = rows.where("vec_id = 0").select("x").first()
-    if first is None:
-        rows, first = rows.limit(0), [[]]
-    y = F.array(*[F.lit(float(v)) for v in first[0]]).cast("array<double>")
-    gap = F.zip_with("x", y, lambda a, b: F.abs(a - b))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
-    square = total(F.transform(gap, lambda g: g * g))
-    return rows.select("vec_id", F.round(F.sqrt(square), 5).alias("euclidean"), F.round(square, 5).alias("sqeuclidean"), F.round(total(gap), 5).alias("cityblock"), F.round(F.array_max(gap), 5).alias("chebyshev"))
+    """Distances of all vectors to vector 0."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    names = ("euclidean", "sqeuclidean", "cityblock", "chebyshev")
+    found = distances(rows, rows.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "v"), names)
+    of = [F.round(F.max(F.when(F.col("metric") == m, F.col("distance"))), 5).alias(m) for m in names]
+    return found.groupBy("vec_id").agg(*of)
 
 
 def match_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +127,14 @@ def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.with_metadata(top, _catalogue(spark, sf_dir)).withColumn("cost", F.round("cost", 6))
 
 
+def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best tracks, with metadata, for the whole contour of every track whose track_id is divisible by 100."""
+    bins = _bins(spark, sf_dir)
+    queries = bins.where("track_id % 100 = 0").select(F.col("track_id").alias("query_id"), "bins")
+    top = matching.match_many(bins, queries)
+    return matching.with_metadata(top, _catalogue(spark, sf_dir)).withColumn("cost", F.round("cost", 6))
+
+
 def packed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contours packed, then read back: header and samples."""
     blobs = packed.encode_tracks(_contours(spark, sf_dir))
@@ -144,6 +143,23 @@ def packed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("track_id", "version", "frames", "hop_microseconds", F.aggregate("contour", F.lit(0.0), lambda a, c: a + F.coalesce(c, F.lit(0.0))).cast("long").alias("sum_cents"), F.size(F.filter("contour", lambda c: c.isNull())).cast("long").alias("unvoiced"))
 
 
+def packed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contours packed in words of 16 bits (version 1), then read back."""
+    decoded = packed.decode_tracks(packed.encode_tracks(_contours(spark, sf_dir), version=1))
+    return decoded.select("track_id", F.posexplode("contour").alias("frame_idx", "cents")).select("track_id", F.col("frame_idx").cast("long").alias("frame_idx"), "cents")
+
+
+def packed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What PERMISSIVE reading says of blobs that are spoiled in one of nine ways, by track_id, and what it still reads."""
+    blob = F.col("pitch_track")
+    part = lambda start, n: F.substring(blob, start, n)
+    cut = F.expr("substring(pitch_track, 1, length(pitch_track) - 3)")
+    rest = F.expr("substring(pitch_track, 14, length(pitch_track) - 13)")
+    ways = [blob, F.concat(F.lit(b"XFPT"), F.expr("substring(pitch_track, 5, length(pitch_track) - 4)")), F.concat(part(1, 4), F.lit(b"\x03"), F.expr("substring(pitch_track, 6, length(pitch_track) - 5)")), cut, F.concat(part(1, 5), F.lit(b"\xff\xff\x00\x00"), part(10, 4), rest), F.concat(part(1, 5), F.lit(b"\x00\x00\x00\x00"), part(10, 4), rest), part(1, 5), F.lit(None).cast("binary"), F.concat(blob, F.lit(b"more"))]
+    spoiled = packed.encode_tracks(_contours(spark, sf_dir)).select("track_id", F.get(F.array(*ways), (F.col("track_id") % 9).cast("int")).alias("pitch_track"))
+    return packed.decode_tracks(spoiled, "PERMISSIVE").select("track_id", "error", F.size("contour").cast("long").alias("frames"))
+
+
 def align_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole alignments of all voiced frames of each track with those of track 0.
     The cost is null for tracks without voiced frames, and for all if track 0 has none."""
@@ -153,7 +169,7 @@ def align_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.array(F.array(*[F.lit(v) for v in query]).cast("array<double>"))
     can = (F.size("c") > 0) & F.lit(bool(query))
     pairs = voiced.where(can).select("track_id", F.array("c").alias("x"), y.alias("y"))
-    costs = align_pairs(pairs, Warping()).select("track_id", F.round("cost", 6).alias("cost"))
+    costs = align_pairs(pairs, Warping(), paths=False).select("track_id", F.round("cost", 6).alias("cost"))
     return costs.unionByName(voiced.where(~can).select("track_id", F.lit(None).cast("double").alias("cost")))
 
 
@@ -175,7 +191,7 @@ def padded_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", *[total(padded(F.col("x"), 4, m)).alias(m) for m in ("constant", "edge", "reflect")])
 
 
-QUERIES = {f.__name__: f for f in (pitch_cents, pitch_bins, quantised, delta_coded, pitch_histogram, profile_salience, local_minima, audio_frames, period_differences, vector_distances, match_costs, match_costs_by_columns, search_matches, packed_tracks, align_tracks, hummed_pitch, padded_audio)}
+QUERIES = {f.__name__: f for f in (pitch_cents, pitch_bins, quantised, delta_coded, pitch_histogram, profile_salience, local_minima, period_differences, vector_distances, match_costs, match_costs_by_columns, search_matches, search_all, packed_tracks, packed_words, packed_errors, align_tracks, hummed_pitch, padded_audio)} | warping.QUERIES | tracking.QUERIES
 
 _F0 = "f0 AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, CASE WHEN event_type <> 'error' THEN value END AS f0 FROM events)"
 _CENTS = "cents AS (SELECT track_id, frame_idx, CASE WHEN f0 > 0 THEN 1200 * log2(f0 / 55) END AS cents FROM f0)"
@@ -206,6 +222,47 @@ acc(track_id, shift, n, d) AS (
 """
 
 
+def _align_sql() -> str:
+    """Whole alignments with track 0 by a recursion over its frames."""
+    return f"""
+WITH RECURSIVE {_F0}, {_CENTS},
+tracks AS (SELECT track_id, list(cents ORDER BY frame_idx) FILTER (cents IS NOT NULL) AS c FROM cents GROUP BY track_id),
+hum AS (SELECT unnest(range(len(c))) AS n, unnest(c) AS q, len(c) AS size FROM tracks WHERE track_id = 0),
+cells AS (SELECT track_id, n, size, list_transform(c, lambda v: abs(q - v)) AS c FROM tracks, hum WHERE len(c) > 0),
+acc(track_id, n, d) AS (
+  SELECT track_id, n, list_reduce(list_transform(c, lambda v: [v]), lambda row, v: list_append(row, row[-1] + v[1])) FROM cells WHERE n = 0
+  UNION ALL
+  SELECT o.track_id, k.n, list_reduce(
+    list_concat([[o.d[1] + k.c[1]]], list_transform(range(2, len(k.c) + 1), lambda m: [k.c[m], least(o.d[m - 1], o.d[m])])),
+    lambda row, x: list_append(row, x[1] + least(row[-1], x[2])))
+  FROM acc o JOIN cells k ON k.track_id = o.track_id AND k.n = o.n + 1)
+SELECT track_id, round(d[-1], 6) AS cost FROM tracks LEFT JOIN (SELECT * FROM acc WHERE n = (SELECT max(n) FROM hum)) USING (track_id)"""
+
+
+def _search_all_sql() -> str:
+    """The search for many whole contours: the longer of two is run through by the shorter one."""
+    table = P.distance_table()
+    lut = "[" + ", ".join(repr(float(x)) for x in table[:24, 0]) + "]"
+    away = repr(float(table[0, 24]))
+    cell = f"CASE WHEN a[n + 1] IS NULL AND v IS NULL THEN 0.0 WHEN a[n + 1] IS NULL OR v IS NULL THEN {away} ELSE {lut}[((a[n + 1] + turn - v) % 24 + 24) % 24 + 1] END"
+    return f"""
+WITH RECURSIVE {_F0}, {_CENTS}, {_BINS},
+tracks AS (SELECT track_id, list(bin ORDER BY frame_idx) AS refs FROM bins GROUP BY track_id),
+sides AS (SELECT q.track_id AS query_id, t.track_id, shift, CASE WHEN len(q.refs) > len(t.refs) THEN t.refs ELSE q.refs END AS a, CASE WHEN len(q.refs) > len(t.refs) THEN q.refs ELSE t.refs END AS b, CASE WHEN len(q.refs) > len(t.refs) THEN -shift ELSE shift END AS turn
+  FROM tracks q JOIN tracks t ON q.track_id % 100 = 0, (SELECT unnest(range(0, 24, 2)) AS shift)),
+cells AS (SELECT query_id, track_id, shift, n, list_transform(b, lambda v: CAST({cell} AS DOUBLE)) AS c FROM (SELECT *, unnest(range(len(a))) AS n FROM sides)),
+acc(query_id, track_id, shift, n, d) AS (
+  SELECT query_id, track_id, shift, n, c FROM cells WHERE n = 0
+  UNION ALL
+  SELECT o.query_id, o.track_id, o.shift, k.n, list_reduce(
+    list_concat([[o.d[1] + k.c[1]]], list_transform(range(2, len(k.c) + 1), lambda m: [k.c[m], least(o.d[m - 1], o.d[m])])),
+    lambda row, x: list_append(row, x[1] + least(row[-1], x[2])))
+  FROM acc o JOIN cells k ON k.query_id = o.query_id AND k.track_id = o.track_id AND k.shift = o.shift AND k.n = o.n + 1),
+costs AS (SELECT query_id, track_id, min(list_min(d) / len(a)) AS cost FROM acc JOIN sides USING (query_id, track_id, shift) WHERE n = len(a) - 1 GROUP BY ALL),
+top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(cost, 9), track_id) AS INT) AS rank FROM costs)
+SELECT query_id, rank, round(cost, 6) AS cost, CAST(c_custkey AS BIGINT) AS id, c_name AS title, c_mktsegment AS raga, n_name AS tala FROM top JOIN customer ON c_custkey = track_id JOIN nation ON n_nationkey = c_nationkey WHERE rank <= 3"""
+
+
 ORACLE_SQL = {
     "pitch_cents": f"WITH {_F0}, {_CENTS} SELECT track_id, frame_idx, round(cents, 6) AS cents FROM cents",
     "pitch_bins": f"WITH {_F0}, {_CENTS}, {_BINS} SELECT track_id, frame_idx, bin FROM bins",
@@ -214,13 +271,16 @@ ORACLE_SQL = {
     "pitch_histogram": f"WITH {_F0}, {_CENTS}, {_BINS} SELECT track_id, bin, count(*) AS n FROM bins GROUP BY ALL",
     "profile_salience": f"WITH {_F0}, {_CENTS}, {_BINS}, n AS (SELECT track_id, bin, count(*) AS n FROM bins GROUP BY ALL) SELECT track_id, class, round(sum(CASE WHEN bin IS NULL THEN 0 ELSE n * {[float(x) for x in P.kernel()]}[(class - bin + 24) % 24 + 1] END), 6) AS salience FROM n, (SELECT CAST(unnest(range(24)) AS INT) AS class) GROUP BY ALL",
     "local_minima": f"WITH {_F0}, s AS (SELECT *, lag(f0) OVER w AS before, lead(f0) OVER w AS after FROM f0 WHERE f0 IS NOT NULL WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)) SELECT track_id, frame_idx, f0 FROM s WHERE f0 < before AND f0 <= after",
-    "audio_frames": "SELECT vec_id, CAST(s / 8 AS INT) AS frame_idx, round(list_sum(list_transform(embedding[s + 1 : s + 16], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))), 6) AS energy FROM embeddings, (SELECT unnest(range(0, 49, 8)) AS s)",
     "period_differences": "SELECT vec_id, CAST(lag AS INT) AS lag, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (CAST(embedding[i] AS DOUBLE) - coalesce(CAST(embedding[i + lag] AS DOUBLE), 0)) ** 2)), 6) AS difference FROM embeddings, (SELECT unnest(range(1, 9)) AS lag)",
     "vector_distances": "WITH p AS (SELECT a.vec_id, list_transform(range(1, 65), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))) AS g FROM embeddings a, embeddings b WHERE b.vec_id = 0) SELECT vec_id, round(sqrt(list_sum(list_transform(g, lambda x: x * x))), 5) AS euclidean, round(list_sum(list_transform(g, lambda x: x * x)), 5) AS sqeuclidean, round(list_sum(g), 5) AS cityblock, round(list_max(g), 5) AS chebyshev FROM p",
     "match_costs": _costs_sql() + "SELECT track_id, round(cost, 6) AS cost FROM costs",
     "match_costs_by_columns": _costs_sql() + "SELECT track_id, round(cost, 6) AS cost FROM costs",
     "search_matches": _costs_sql() + ", top AS (SELECT CAST(row_number() OVER (ORDER BY cost, track_id) AS INT) AS rank, * FROM costs ORDER BY cost, track_id LIMIT 3) SELECT rank, round(cost, 6) AS cost, CAST(c_custkey AS BIGINT) AS id, c_name AS title, c_mktsegment AS raga, n_name AS tala FROM top JOIN customer ON c_custkey = track_id JOIN nation ON n_nationkey = c_nationkey",
+    "search_all": _search_all_sql(),
+    "packed_words": f"WITH {_F0}, {_CENTS}, {_SAMPLES} SELECT track_id, frame_idx, CAST(nullif(sample, -32768) AS DOUBLE) AS cents FROM samples",
+    "packed_errors": "SELECT user_id AS track_id, CASE user_id % 9 WHEN 1 THEN 'bad magic' WHEN 2 THEN 'unknown version' WHEN 3 THEN 'bad deflate stream' WHEN 4 THEN 'truncated' WHEN 5 THEN 'trailing bytes' WHEN 6 THEN 'short header' WHEN 7 THEN 'short header' END AS error, CASE WHEN user_id % 9 IN (0, 8) THEN count(*) END AS frames FROM events GROUP BY user_id",
+    "align_tracks": _align_sql(),
     "packed_tracks": f"WITH {_F0}, {_CENTS}, {_SAMPLES} SELECT track_id, 2 AS version, count(*) AS frames, CAST(100000 AS BIGINT) AS hop_microseconds, CAST(sum(CASE WHEN sample = -32768 THEN 0 ELSE sample END) AS BIGINT) AS sum_cents, count(*) FILTER (sample = -32768) AS unvoiced FROM samples GROUP BY track_id",
     "hummed_pitch": "SELECT CAST(n_nationkey AS BIGINT) AS audio_id, true AS near FROM nation",
     "padded_audio": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings) SELECT vec_id, round(list_sum(x), 5) AS constant, round(list_sum(x) + 4 * x[1] + 4 * x[-1], 5) AS edge, round(list_sum(x) + list_sum(x[2:5]) + list_sum(x[-5:-2]), 5) AS reflect FROM e",
-}
+} | warping.ORACLE_SQL | tracking.ORACLE_SQL

@@ -23,10 +23,9 @@ def naive_dtw(cost, moves, subsequence):
     for i in range(n):
         for j in range(m):
             best = cost[i, j] if (i, j) == (0, 0) or (subsequence and i == 0) else np.inf
-            if not (subsequence and i == 0):
-                for di, dj, add, mul in moves:
-                    if i >= di and j >= dj and np.isfinite(mul):
-                        best = min(best, total[i - di, j - dj] + mul * cost[i, j] + add)
+            for di, dj, add, mul in moves:
+                if i >= di and j >= dj and np.isfinite(mul):
+                    best = min(best, total[i - di, j - dj] + mul * cost[i, j] + add)
             total[i, j] = best
     return total
 
@@ -41,6 +40,11 @@ def test_accumulation(shape, subsequence, steps):
     np.testing.assert_allclose(total, naive_dtw(cost, w.moves(), subsequence))
 
 
+def test_weights_along_the_first_row():
+    w = dtw.Warping(weights_mul=(1, 0.1, 1), subsequence=True)
+    assert dtw.accumulate(np.array([[0.2, 1, 1]]), w)[0][0] == pytest.approx([0.2, 0.3, 0.4])
+
+
 def test_alignment_path_and_errors():
     x = np.array([[0.0, 5, 7, 5]])
     y = np.array([[3.0, 0, 5, 5, 7, 5, 2, 2]])
