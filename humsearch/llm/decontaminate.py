@@ -1,20 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark texts are cut into passages; their TF-IDF matrix (document
-frequencies counted over the whole corpus) gets a randomised SVD, whose factors
-are summed by Spark. Windows of every document are folded into that latent
-space, and cosine similarity finds the passages they may contain. A candidate
-is confirmed by the longest common subsequence of words, weighted by squared IDF: by
-itself if nearly the whole passage is there, and for paraphrases together with
-the passage's answer.
+Benchmark texts are cut into passages, which are dealt by hash into blocks. The
+TF-IDF matrix of the passages (document frequencies counted over the whole corpus)
+gets a randomised SVD, block by block: each block is a task of Spark's, and its
+factors fold windows of every document into the block's latent space, where cosine
+similarity finds the passages they may contain. A candidate is confirmed by the
+longest common subsequence of words, weighted by squared IDF: by itself if nearly
+the whole passage is there, and for paraphrases together with the passage's answer.
 
 The latent space of a block has as many dimensions as passages, so the product of
 a window and a passage is exact in it: the sum of squared IDF of the words they
 share, which no common subsequence outweighs. So no confirmed window is missed,
-whatever else stands in it.
+whatever else stands in it. Words' weights follow from the corpus and the whole
+benchmark, so how passages are dealt changes no verdict.
 
-The benchmark is worked off in blocks of about as many passages, so what goes
-to the executors stays bounded whatever the size of the benchmark.
+Thousands of passages are worked off in one scan of the corpus for document
+frequencies and one for the search; a larger benchmark takes such pairs of scans
+by groups of items, so what goes to the executors stays bounded.
 """
 
 from __future__ import annotations
@@ -28,11 +30,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import keep
+
 WINDOW, STRIDE = 64, 16
 #: Longest passage; every run of this many words lies within one window.
 PASSAGE = WINDOW - STRIDE
-#: Passages in a block of the benchmark; its latent space has a dimension for each.
-BLOCK_PASSAGES = 256
+#: Passages in a block of the benchmark, about; its latent space has a dimension for each.
+BLOCK_PASSAGES = 205
+#: Passages that one pair of scans of the corpus serves, about. Their factors take some
+#: 25 KB a passage in every Python worker.
+GROUP_PASSAGES = 8192
 #: For rounding errors, in shares of a passage's weight.
 SPARE = 0.01
 #: Share of the passage's weight (sum of squared IDF) in the common subsequence: alone, and if the answer is found too.
@@ -84,9 +91,10 @@ def coded(texts: pa.Array, vocabulary: pa.Array) -> Iterator[tuple[int, np.ndarr
 
 @dataclass
 class Model:
-    """What is needed to search one block of the benchmark; its size follows the block only."""
+    """What is needed to search one block of the benchmark; its size follows the block
+    only, but for ``place``: a word's number in the group to its number here, -1 for none."""
 
-    vocabulary: dict[str, int]
+    place: np.ndarray
     idf: np.ndarray
     projection: np.ndarray  # term -> latent, with IDF
     latent: np.ndarray  # passage -> latent, length 1
@@ -101,24 +109,58 @@ class Model:
         self.least = PARAPHRASE * float(self.weight.min()) if len(self.weight) else np.inf
 
 
-def _passages(items: list[tuple[int, str, str | None]]) -> list[tuple[int, list[str], list[str]]]:
-    """(item, words, answer words): texts of up to PASSAGE words whole, longer ones
-    in passages that end with the text; the answer is the given one or the last words."""
-    out = []
-    for item, text, answer in items:
-        w = words(text)
-        if not w:
-            continue
-        starts = sorted({*range(0, max(1, len(w) - PASSAGE + 1), PASSAGE), max(0, len(w) - PASSAGE)})
-        for a in starts:
-            part = w[a : a + PASSAGE]
-            out.append((item, part, words(answer) or part[-ANSWER_WORDS:]))
-    return out
+@dataclass
+class Group:
+    """The words that the blocks of a group know, and the blocks' models."""
+
+    words: list[str]
+    models: list[Model]
+
+
+def _cut(text: str, answer: str | None) -> list[tuple[list[str], list[str]]]:
+    """(words, answer words): a text of up to PASSAGE words whole, a longer one in
+    passages that end with the text; the answer is the given one or the last words."""
+    w = words(text)
+    if not w:
+        return []
+    starts = sorted({*range(0, max(1, len(w) - PASSAGE + 1), PASSAGE), max(0, len(w) - PASSAGE)})
+    given = words(answer)
+    return [(w[a : a + PASSAGE], given or w[a : a + PASSAGE][-ANSWER_WORDS:]) for a in starts]
+
+
+def passages(benchmark: DataFrame) -> DataFrame:
+    """(item_id, part, words, answer) of benchmark rows (item_id, text and perhaps answer).
+    Items with a null id or without words have none; repeated ids count as one item
+    with all their texts."""
+    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer")).where("item_id is not null and text is not null").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, h, p, a) for i, h, t, given in zip(*(c.to_pylist() for c in batch.columns), strict=True) for p, a in _cut(t, given)]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], ["item_id", "text", "words", "answer"])
+
+    cut = items.select("item_id", F.xxhash64("text", "answer").alias("of"), "text", "answer").mapInArrow(run, "item_id long, text long, words array<string>, answer array<string>")
+    return cut.select("item_id", F.xxhash64("item_id", "text", "words").alias("part"), "words", "answer")
+
 
+def usual_words(cut: DataFrame) -> list[str]:
+    """Words that many passages of the benchmark use tell none of them and get no
+    weight, unless some passage has no others. Fewer than PASSAGE / COMMON words."""
+    n = cut.count()
+    uses = cut.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count()
+    usual = [r["word"] for r in uses.where(F.col("count") > max(3.0, COMMON * n)).collect()]
+    if not usual:
+        return []
+    only = cut.where(F.size(F.array_except("words", F.array(*map(F.lit, usual)))) == 0)
+    needed = {r["word"] for r in only.select(F.explode("words").alias("word")).distinct().collect()}
+    return sorted(set(usual) - needed)
 
-def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+
+def document_frequencies(docs: DataFrame, known: list[str]) -> tuple[np.ndarray, int]:
     """In how many documents each word stands, and the number of documents."""
-    size, known = len(vocabulary), list(vocabulary)
+    size = len(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n, terms = np.zeros(size, np.int64), 0, pa.array(known, pa.string())
@@ -143,68 +185,54 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
     return out, total
 
 
-def randomised_svd(rows: DataFrame, n_terms: int, rank: int, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (n_terms, rank) of a sparse matrix given as rows (terms array<int>, values array<double>).
+def randomised_svd(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, rank: int, seed: int = 7) -> np.ndarray:
+    """Right singular vectors (n_terms, rank) of a sparse matrix given as rows (terms, values).
 
     Three passes, each a sum over rows: sketch A'(A O) with Gaussian O, one
     power iteration, and the Gram matrix of A Q, whose eigenvectors turn Q.
     """
-
-    def summed(right: np.ndarray, gram: bool) -> np.ndarray:
-        width = right.shape[1]
-        names = ["term", *[f"z{k}" for k in range(width)]]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((width if gram else n_terms, width))
-            for batch in batches:
-                for t, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    y = np.asarray(v) @ right[t]
-                    if gram:
-                        out += np.outer(y, y)
-                    else:
-                        np.add.at(out, t, np.outer(v, y))
-            some = np.flatnonzero(np.abs(out).sum(1))
-            yield pa.record_batch([pa.array(some.astype(np.int32)), *[pa.array(out[some, k]) for k in range(width)]], names)
-
-        schema = "term int, " + ", ".join(f"{n} double" for n in names[1:])
-        got = rows.mapInArrow(run, schema).groupBy("term").agg(*[F.sum(n).alias(n) for n in names[1:]]).toPandas()
-        out = np.zeros((width if gram else n_terms, width))
-        out[got["term"].to_numpy()] = got[names[1:]].to_numpy()
-        return out
-
     right = np.random.default_rng(seed).standard_normal((n_terms, min(rank, n_terms)))
     for _ in range(2):
-        right, _ = np.linalg.qr(summed(right, False))
-    values, vectors = np.linalg.eigh(summed(right, True))
-    return right @ vectors[:, np.argsort(-values)]
-
-
-def fit(docs: DataFrame, items: DataFrame) -> Model | None:
-    """The model of one block of items (item_id, text, answer); None if no item has words."""
-    rows = sorted((r["item_id"], r["text"] or "", r["answer"]) for r in items.collect())
-    parts = _passages(rows)
-    if not parts:
-        return None
-    vocabulary = {w: k for k, w in enumerate(sorted({w for _, p, a in parts for w in (*p, *a)}))}
-    df, n = document_frequencies(docs, vocabulary)
-    idf = np.log((n + 1) / (df + 1)) + 0.05
-    coded = [np.array([vocabulary[w] for w in p], np.int32) for _, p, _ in parts]
-    # words that many passages use tell none of them; they get no weight, unless a passage has no others
-    uses = np.bincount(np.concatenate([np.unique(c) for c in coded]), minlength=len(vocabulary))
-    usual = uses > max(3, COMMON * len(coded))
-    for c in coded:
-        if usual[c].all():
-            usual[c] = False
-    idf[usual] = 0
-    rows_ = [(*(x.tolist() for x in np.unique(c, return_counts=True)),) for c in coded]
-    spark = docs.sparkSession
-    matrix = spark.createDataFrame([(t, [float(c * idf[k]) for k, c in zip(t, m, strict=True)]) for t, m in rows_], "terms array<int>, values array<double>")
-    basis = randomised_svd(matrix, len(vocabulary), len(parts))
-    projection = (idf[:, None] * basis).astype(np.float32)
-    latent = np.array([projection[c].sum(0) for c in coded])
-    norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-6)
-    answers = [np.array([vocabulary[w] for w in a], np.int32) for _, _, a in parts]
-    return Model(vocabulary, idf, projection, (latent / norm[:, None]).astype(np.float32), norm.astype(np.float32), [i for i, _, _ in parts], coded, answers, np.array([(idf[c] ** 2).sum() for c in coded]))
+        out = np.zeros_like(right)
+        for t, v in rows:
+            np.add.at(out, t, np.outer(v, v @ right[t]))
+        right, _ = np.linalg.qr(out)
+    seen = np.array([v @ right[t] for t, v in rows])
+    _, vectors = np.linalg.eigh(seen.T @ seen)
+    return right @ vectors[:, ::-1]
+
+
+_MODEL = "terms binary, projection binary, latent binary, norm binary, item array<bigint>, passages array<array<int>>, answers array<array<int>>"
+
+
+def fit(cut: DataFrame, known: list[str], idf: np.ndarray) -> list[Model]:
+    """The model of each block of passages (block, item_id, part, words, answer), a task for each."""
+    number = {w: k for k, w in enumerate(known)}
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("item_id", "ascending"), ("part", "ascending")])
+        whole, answers = ([np.array([number[w] for w in x], np.int32) for x in group.column(c).to_pylist()] for c in ("words", "answer"))
+        terms = np.unique(np.concatenate(whole + answers))
+        local, answers = ([np.searchsorted(terms, x) for x in xs] for xs in (whole, answers))
+        weight = idf[terms]
+        rows = [(t, n * weight[t]) for t, n in (np.unique(x, return_counts=True) for x in local)]
+        projection = (weight[:, None] * randomised_svd(rows, len(terms), len(rows))).astype(np.float32)
+        latent = np.array([projection[x].sum(0) for x in local])
+        norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-6).astype(np.float32)
+        packed = [x.tobytes() for x in (terms.astype("<i4"), projection, (latent / norm[:, None]).astype(np.float32), norm)]
+        lists = pa.list_(pa.list_(pa.int32()))
+        return pa.table([[x] for x in packed] + [pa.array([group.column("item_id").to_pylist()], pa.list_(pa.int64())), pa.array([[x.tolist() for x in local]], lists), pa.array([[x.tolist() for x in answers]], lists)], [c.split()[0] for c in _MODEL.split(", ")])
+
+    models = []
+    for r in cut.groupBy("block").applyInArrow(run, _MODEL).collect():
+        terms, norm = np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["norm"], np.float32)
+        place = np.full(len(known) + 1, -1, np.int32)  # the last one is for unknown words
+        place[terms] = np.arange(len(terms))
+        local = [np.array(x, np.int32) for x in r["passages"]]
+        latent = np.frombuffer(r["latent"], np.float32).reshape(len(norm), -1)
+        projection = np.frombuffer(r["projection"], np.float32).reshape(len(terms), -1)
+        models.append(Model(place, idf[terms], projection, latent, norm, r["item"], local, [np.array(x, np.int32) for x in r["answers"]], np.array([(idf[terms][x] ** 2).sum() for x in local])))
+    return models
 
 
 def common_weight(window: np.ndarray, passage: np.ndarray, idf: np.ndarray) -> float:
@@ -224,11 +252,12 @@ def _has(window: np.ndarray, answer: np.ndarray) -> bool:
     return bool((np.lib.stride_tricks.sliding_window_view(window, n) == answer).all(1).any())
 
 
-def search(model: Model, texts: pa.Array) -> list[tuple[int, int, float, float, bool, int]]:
+def search(group: Group, texts: pa.Array) -> list[tuple[int, int, float, float, bool, int]]:
     """(text, item, cosine, common share, answer found, first word) of every confirmed item: its best window."""
     found: dict[tuple[int, int], tuple[float, float, bool, int]] = {}
-    for first, ids, ends in coded(texts, pa.array(list(model.vocabulary), pa.string())):
-        _search_piece(model, ids, ends, first, found)
+    for first, ids, ends in coded(texts, pa.array(group.words, pa.string())):
+        for model in group.models:
+            _search_piece(model, model.place[ids], ends, first, found)
     return [(t, i, *v) for (t, i), v in sorted(found.items())]
 
 
@@ -289,47 +318,57 @@ def _search_piece(model: Model, ids: np.ndarray, ends: np.ndarray, first: int, f
                     found[key] = new
 
 
-def models(docs: DataFrame, benchmark: DataFrame, block_passages: int = BLOCK_PASSAGES) -> list[Model]:
-    """One model for each block of the benchmark. Items with a null id or without
-    words take no part; repeated ids count as one item with all their texts."""
-    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer")).where(F.col("item_id").isNotNull() & (F.length(F.trim("text")) > 0)).distinct()
-    n = items.agg(F.sum(F.ceil(F.regexp_count("text", F.lit(r"\S+")) / PASSAGE))).first()[0] or 0
-    # items are dealt by hash, so a block may hold somewhat more passages; its rank follows
-    blocks = 1 if n <= block_passages else -(-int(n) * 5 // (block_passages * 4))
-    made = [fit(docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)) for b in range(blocks)]
-    return [m for m in made if m is not None]
+def groups(docs: DataFrame, benchmark: DataFrame, block_passages: int = BLOCK_PASSAGES, group_passages: int = GROUP_PASSAGES) -> Iterator[Group]:
+    """The benchmark in groups of items, each with the models of its blocks. Items with a
+    null id or without words take no part; repeated ids count as one item with all
+    their texts."""
+    cut = keep(passages(benchmark), "passages")
+    n = cut.count()
+    if not n:
+        return
+    many = -(-n // group_passages)
+    # items are dealt by hash, so a group or block may hold somewhat more; a block's rank follows
+    blocks = max(1, -(-n // (many * block_passages)))
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("item_id"), F.lit(many))).withColumn("block", F.pmod(F.xxhash64("part", F.lit(1)), F.lit(blocks)).cast("int"))
+    usual = usual_words(cut)
+    for g in range(many):
+        own = dealt.where(F.col("group") == g)
+        known = sorted(r["word"] for r in own.select(F.explode(F.concat("words", "answer")).alias("word")).distinct().collect())
+        if known:
+            df, size = document_frequencies(docs, known)
+            idf = np.log((size + 1) / (df + 1)) + 0.05
+            idf[np.isin(known, usual)] = 0
+            yield Group(known, fit(own, known, idf))
 
 
 MATCHES = "doc_id long, item_id long, cosine double, common double, answer boolean, first_word int"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_passages: int = BLOCK_PASSAGES, group_passages: int = GROUP_PASSAGES) -> DataFrame:
     """doc_id, item_id, cosine, common, answer, first_word: one row for each
     document row and benchmark item that it holds. Null and empty texts hold
     none; an empty benchmark is found nowhere."""
-    spark = docs.sparkSession
-    out = None
-    for model in models(docs, benchmark):
+    out = docs.sparkSession.createDataFrame([], MATCHES)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    for group in groups(docs, benchmark, block_passages, group_passages):
 
-        def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], group: Group = group) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                got = search(model, batch.column(1))
+                got = search(group, batch.column(1))
                 t, item, cosine, common, answer, first = zip(*got, strict=True) if got else [[]] * 6
                 ids = batch.column(0).take(pa.array(t, pa.int64()))
                 yield pa.record_batch([ids, pa.array(item, pa.int64()), pa.array(cosine, pa.float64()), pa.array(common, pa.float64()), pa.array(answer, pa.bool_()), pa.array(first, pa.int32())], [x.split()[0] for x in MATCHES.split(", ")])
 
-        hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, MATCHES)
-        out = hits if out is None else out.union(hits)
-    return spark.createDataFrame([], MATCHES) if out is None else out
+        out = out.union(narrow.mapInArrow(run, MATCHES))
+    return out
 
 
-def holds_leak(model: Model):
-    """A function of a text column: whether it holds an item of the model's block."""
+def holds_leak(group: Group):
+    """A function of a text column: whether it holds an item of the group."""
 
     def run(text: pd.Series) -> pd.Series:
         hit = np.zeros(len(text), bool)
-        hit[[t for t, *_ in search(model, pa.array(text, pa.string(), from_pandas=True))]] = True
+        hit[[t for t, *_ in search(group, pa.array(text, pa.string(), from_pandas=True))]] = True
         return pd.Series(hit)
 
     run.__annotations__ = {"text": pd.Series, "return": pd.Series}
@@ -339,6 +378,6 @@ def holds_leak(model: Model):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
     out = docs
-    for model in models(docs, benchmark):
-        out = out.where(~holds_leak(model)(F.col("text").cast("string")))
+    for group in groups(docs, benchmark):
+        out = out.where(~holds_leak(group)(F.col("text").cast("string")))
     return out

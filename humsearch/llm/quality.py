@@ -102,11 +102,9 @@ def score_vectors(model: Discriminant, x: Column) -> Column:
     return run(x)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Discriminant, DataFrame]:
-    """The model learned from the labelled training rows, and (doc_id, x) of every document."""
-    vectors = keep(docs.select("doc_id", statistics_udf(F.col("text").cast("string")).alias("x")), "quality")
-    known = vectors.where(learns()).join(one_label(labels, "quality"), "doc_id")
-    return fit(known), vectors
+def train(vectors: DataFrame, labels: DataFrame) -> Discriminant:
+    """The model learned from the labelled training rows of (doc_id, x)."""
+    return fit(vectors.select("doc_id", "x").where(learns()).join(one_label(labels, "quality"), "doc_id"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -114,12 +112,15 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     row; repeated rows repeat). Null or empty texts are scored like any other;
     a null doc_id is not held out and never learned from. Without labels every
     score is the prior, 0.5."""
-    model, vectors = train(docs, labels)
+    vectors = keep(docs.select("doc_id", statistics_udf(F.col("text").cast("string")).alias("x")), "quality")
+    model = train(vectors, labels)
     scored = vectors.select("doc_id", (~F.coalesce(learns(), F.lit(True))).alias("held_out"), score_vectors(model, F.col("x")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, all columns as they are."""
-    model, _ = train(docs, labels)
-    return docs.where(score_vectors(model, statistics_udf(F.col("text").cast("string"))) >= THRESHOLD)
+    """The rows of ``docs`` whose score reaches the threshold, all columns as they are.
+    The statistics are computed once and stand beside the rows until they are scored."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = keep(docs.select("doc_id", statistics_udf(F.col("text").cast("string")).alias("x"), own), "quality")
+    return rows.where(score_vectors(train(rows, labels), F.col("x")) >= THRESHOLD).select("row.*")

@@ -84,12 +84,95 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix aims at: each source's size and target."""
+    from .mixing import targets, word_count
+
+    sizes = _table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"), F.count("*").alias("n_docs"))
+    return targets(sizes).select("source", "source_size", "n_docs", F.round("target", 3).alias("target"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and listed rule of every page, with the rule's verdict."""
+    from .urls import host_and_path, listed_rule
+
+    host, path = host_and_path(F.col("url"))
+    rule, verdict = listed_rule(F.col("host"), F.col("path"))
+    return _table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("listed"))
+
+
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many base spans of each kind a document holds, and how many characters they have."""
+    from .pii import KINDS, base_spans
+
+    spans = _table(spark, sf_dir, "documents").select("doc_id", base_spans(F.coalesce("text", F.lit(""))).alias("base"))
+    of = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
+    chars = F.aggregate("base", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return spans.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS], chars.alias("chars"))
+
+
 def queries() -> dict:
     """Name -> function of (spark, sf_dir), for __spark_entry__."""
-    names = ("op1_chat", "op2_neighbours", "op3_quality", "op4_urls", "op5_toxicity", "op6_decontaminate", "op7_mixing", "op8_personal_data", "op9_tokens", "op10_near_duplicates", "pipeline")
+    names = ("op1_chat", "op2_neighbours", "op3_quality", "op4_urls", "op5_toxicity", "op6_decontaminate", "op7_mixing", "op8_personal_data", "op9_tokens", "op10_near_duplicates", "pipeline", "mix_targets", "url_rules", "personal_data_counts")
     return {name: globals()[name] for name in names}
 
 
+_CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role AS r, text AS t, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  -- a control string or backslash inside a text takes one character more
+  CAST(sum(17 + length(role) + length(text) + len(regexp_extract_all(role || ' ' || text, '\[INST\]|\[/INST\]|<s>|</s>|\\'))) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS rewritten_turns
+FROM turns GROUP BY conv_id"""
+
+_TARGETS = r"""
+WITH sizes AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size, count(*) AS n_docs FROM documents GROUP BY source),
+ranked AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, 3.0::DOUBLE * source_size AS cap FROM sizes),
+-- the level at which capped shares add up to all words: that of the first source whose cap is not reached
+levels AS (SELECT a.cap / a.w AS bar, ((SELECT sum(source_size) FROM sizes) - coalesce((SELECT sum(b.cap) FROM ranked b WHERE b.cap / b.w < a.cap / a.w), 0)) / (SELECT sum(b.w) FROM ranked b WHERE b.cap / b.w >= a.cap / a.w) AS level FROM ranked a),
+final AS (SELECT min_by(level, bar) AS level FROM levels WHERE level < bar)
+SELECT source, source_size, n_docs, round(least(cap, level * w), 3) AS target FROM ranked, final"""
+
+_URLS = r"""
+WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM rest),
+rules(rule, of, start, listed) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+fits AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(listed, length(rule)) AS listed FROM parts JOIN rules ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY page_id)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, listed FROM parts LEFT JOIN fits USING (page_id)"""
+
+_PERSONAL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email,
+  list_filter(regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda m: len(list_filter(string_split(m, '.'), lambda p: coalesce(TRY_CAST(p AS BIGINT), 256) > 255)) = 0) AS ip,
+  list_filter(list_transform(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), lambda m: {'said': m, 'd': list_transform(string_split(reverse(regexp_replace(m, '[^0-9]', '', 'g')), ''), lambda c: CAST(c AS INT))}), lambda m: len(m.d) >= 16 AND len(m.d) <= 19) AS runs,
+  list_filter(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 8 AND 15) AS phone FROM t),
+checked AS (SELECT *, list_transform(list_filter(runs, lambda m: list_sum(list_transform(range(1, len(m.d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN m.d[i] WHEN m.d[i] > 4 THEN 2 * m.d[i] - 9 ELSE 2 * m.d[i] END)) % 10 = 0), lambda m: m.said) AS card FROM found)
+SELECT doc_id, len(email) AS n_email, len(ip) AS n_ip, len(card) AS n_card, len(phone) AS n_phone, CAST(coalesce(list_sum(list_transform(list_concat(email, ip, card, phone), lambda m: length(m))), 0) AS BIGINT) AS chars FROM checked"""
+
+
+_NEAR = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT row_number() OVER (ORDER BY min(doc_id)) AS id, min(doc_id) AS least, text FROM d GROUP BY text),
+w AS (SELECT id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM t),
+s AS (SELECT id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+sh AS (SELECT id, s, 1 + ln(count(*)) AS v FROM s GROUP BY id, s),
+total AS (SELECT id, sum(v) AS v FROM sh GROUP BY id),
+-- common shingles weigh at least the threshold's share of either text
+near AS (SELECT a.id AS a, b.id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id JOIN total x ON x.id = a.id JOIN total y ON y.id = b.id GROUP BY a.id, b.id, x.v, y.v HAVING sum(a.v) >= 0.799 * x.v AND sum(b.v) >= 0.799 * y.v),
+paired AS (SELECT a, b, coalesce(x.v, 0) AS x, coalesce(y.v, 0) AS y FROM (SELECT a, b, s, v FROM near JOIN sh ON sh.id = a) x FULL JOIN (SELECT a, b, s, v FROM near JOIN sh ON sh.id = b) y USING (a, b, s)),
+alike AS (SELECT k.a, k.b, sum(p) AS j FROM (SELECT c.a, c.b, 1 / sum(greatest(o.x / c.x, o.y / c.y)) AS p FROM (SELECT *, row_number() OVER () AS r FROM paired WHERE x > 0 AND y > 0) c JOIN paired o ON o.a = c.a AND o.b = c.b GROUP BY c.r, c.a, c.b) k GROUP BY k.a, k.b),
+links AS (SELECT a, b FROM alike WHERE j >= 0.8 - 1e-9 UNION SELECT b, a FROM alike WHERE j >= 0.8 - 1e-9),
+reach(id, other) AS (SELECT id, id FROM t UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other),
+class AS (SELECT reach.id, min(t.least) AS class_id FROM reach JOIN t ON t.id = reach.other GROUP BY reach.id)
+SELECT doc_id, class_id, doc_id = class_id AS kept FROM d JOIN t USING (text) JOIN class USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express; the others are tested by brute force."""
-    return {}
+    return {"op1_chat": _CHAT, "op10_near_duplicates": _NEAR, "mix_targets": _TARGETS, "url_rules": _URLS, "personal_data_counts": _PERSONAL}

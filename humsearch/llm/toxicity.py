@@ -1,21 +1,26 @@
 """Toxicity by weak supervision.
 
-1. Words and word beginnings that stand in toxic training texts and hardly in
-   others form lexicons. Each lexicon, and each of some fixed patterns, is a
-   voter: it votes toxic or abstains.
-2. A generative label model is estimated without labels from how the voters
-   vote together on all documents: their rates given either class by EM, and
-   their correlations within a class, by which voters that repeat one another
-   count less. Twelve voters have at most 2 ** 12 vote patterns, so the counts
-   of patterns are all that the driver sees.
-3. The posterior of each document is the soft label for a logistic classifier
-   over the lexicon's entries found in a text, which gives the scores.
+1. Words, beginnings and endings that stand in toxic training texts and hardly in
+   others form lexicons. Each lexicon is a voter, and so are patterns of writing:
+   some look at what the lexicons find (how much, how dense, shouted, close to a
+   second person), some at the text alone (exclaiming, shouting, masked letters,
+   drawn-out letters, address). A voter votes toxic or abstains.
+2. A generative label model says how votes come about: within either class a voter
+   has a rate, and it depends on one other voter, the tree of which is chosen by
+   mutual information (Chow and Liu). EM estimates class share, rates and the
+   dependences from how the voters vote together on all documents; documents
+   that may be learned from count with their label. Sixteen voters have at most
+   2 ** 16 vote patterns, so their counts are all that the driver sees.
+3. The posterior of each document is the soft label for a logistic classifier over
+   the lexicons' entries found in a text and the votes, which gives the scores.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,74 +31,100 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import keep, learns, one_label
 
 THRESHOLD = 0.5
-#: Expected number of labelled rows that lexicons and the classifier are learned from, at most.
+#: Expected number of labelled rows that lexicons are mined from, and of rows with
+#: votes that the classifier is fit on, at most. Rows are drawn by a hash of doc_id.
 SAMPLE_ROWS = 20_000
-MIN_DOCS, MIN_PRECISION, MOST_TERMS = 4, 0.9, 20_000
+MIN_DOCS, MIN_PRECISION, HIGH_PRECISION = 4, 0.9, 0.98
 #: Buckets of the classifier's hashed lexicon entries.
 BUCKETS = 256
 #: English insults as a seed lexicon, which the mined ones extend.
 SEED = frozenset("idiot moron stupid trash scum loser clown pathetic worthless disgusting".split())
-_KINDS = ("word", "start4", "start5", "start6")
-VOTERS = (*(f"{k}:{half}" for k in _KINDS for half in (0, 1)), "seed", "two_terms", "dense", "shouted_term")
+#: Second persons of some languages.
+SECOND = frozenset("you your yours yourself du dich dir dein deine deinen euch tu te toi ton ta tes vous votre vos usted ustedes ti tus".split())
+LEXICONS = ("word", "fair_word", "start4", "start5", "start6", "end4", "seed")
+VOTERS = (*LEXICONS, "two_entries", "dense", "shouted_entry", "entry_near_you", "exclaiming", "shouting", "masked", "drawn_out", "address")
+_BIT = {name: 1 << k for k, name in enumerate(VOTERS)}
 _MARKS = ".,;:!?\"'()[]{}*%$#&|"
+_MASKED, _DRAWN = re.compile(r"[^\W\d_][*@$#]+[^\W\d_]"), re.compile(r"([^\W\d_])\1\1")
 
 
 def terms(word: str) -> tuple[str, ...]:
-    """A lower-cased word without marks around it, and its beginnings, as lexicon entries."""
+    """A lower-cased word without marks around it, its beginnings and its ending, as lexicon entries."""
     w = word.lower().strip(_MARKS)
-    return (f"word={w}", *[f"start{k}={w[:k]}" for k in (4, 5, 6) if len(w) >= k]) if w else ()
-
-
-def _hash(term: str) -> int:
-    return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass"))
+    if not w:
+        return ()
+    return (f"word={w}", *[f"start{k}={w[:k]}" for k in (4, 5, 6) if len(w) >= k], *([f"end4={w[-4:]}"] if len(w) >= 6 else []))
 
 
 class _Found(dict):
-    """Word as it stands -> lexicon entries in it."""
+    """Word as it stands -> (votes of its lexicon entries, their buckets)."""
 
-    def __init__(self, lexicon: dict[str, int]):
+    def __init__(self, lexicon: dict[str, bool]):
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        hit = tuple(t for t in terms(word) if t in self.lexicon)
+    def __missing__(self, word: str) -> tuple[int, tuple[int, ...]]:
+        bits, buckets = 0, []
+        for t in terms(word):
+            precise = self.lexicon.get(t)
+            if precise is not None:
+                kind = t.partition("=")[0]
+                bits |= _BIT["fair_word" if kind == "word" and not precise else kind]
+                buckets.append(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) & (BUCKETS - 1))
         if word.lower().strip(_MARKS) in SEED:
-            hit = (*hit, "seed")
+            bits |= _BIT["seed"]
+        out = (bits, tuple(buckets))
         if len(self) < 250_000:
-            self[word] = hit
-        return hit
+            self[word] = out
+        return out
 
 
 def read(text: str | None, found: _Found) -> tuple[int, list[int]]:
     """(votes as bits, buckets of the entries found) of one whole text; null counts as empty."""
-    words = (text or "").split()
+    text = text or ""
+    words = text.split()
+    if not words:
+        return 0, []
     distinct = set(words)
-    hits: set[str] = set()
-    holders = []
+    bits, buckets, holders = 0, set(), set()
     for w in distinct:
-        if got := found[w]:
-            hits.update(got)
-            holders.append(w)
-    if not hits:
-        return 0, []
-    bits = 0
-    for t in hits:
-        kind, _, rest = t.partition("=")
-        bits |= 1 << (VOTERS.index("seed") if kind == "seed" else VOTERS.index(f"{kind}:{_hash(t) & 1}"))
-    entries = {w.lower().strip(_MARKS) for w in holders}
-    bits |= (len(entries) >= 2) << VOTERS.index("two_terms")
-    bits |= (100 * len(entries) >= len(words)) << VOTERS.index("dense")
-    bits |= any(w.isupper() or "!" in w for w in holders) << VOTERS.index("shouted_term")
-    return bits, sorted({_hash(t) >> 8 & (BUCKETS - 1) for t in hits})
-
-
-def mine_lexicon(rows: DataFrame) -> dict[str, int]:
+        votes, places = found[w]
+        if votes:
+            bits |= votes
+            buckets.update(places)
+            holders.add(w)
+    if holders:
+        bits |= _BIT["two_entries"] * (len({w.lower().strip(_MARKS) for w in holders}) >= 2)
+        at = [k for k, w in enumerate(words) if w in holders]
+        bits |= _BIT["dense"] * (50 * len(at) >= len(words))
+        bits |= _BIT["shouted_entry"] * any(w.isupper() or "!" in w for w in holders)
+        bits |= _BIT["entry_near_you"] * any(w.lower().strip(_MARKS) in SECOND for k in at for w in words[max(0, k - 3) : k + 4])
+    bits |= _BIT["exclaiming"] * (50 * text.count("!") >= len(words) and "!" in text)
+    loud = {w for w in distinct if len(w) > 1 and w.isupper()}
+    bits |= _BIT["shouting"] * (bool(loud) and 10 * sum(1 for w in words if w in loud) >= len(words))
+    bits |= _BIT["masked"] * bool(_MASKED.search(text))
+    bits |= _BIT["drawn_out"] * bool(_DRAWN.search(text))
+    bits |= _BIT["address"] * (20 * sum(1 for w in words if w.lower().strip(_MARKS) in SECOND) >= len(words))
+    return bits, sorted(buckets)
+
+
+def mine_lexicon(rows: DataFrame) -> dict[str, bool]:
     """Entries that stand in at least MIN_DOCS toxic texts of (text, label), with
-    MIN_PRECISION of their texts toxic; at most MOST_TERMS, the most frequent ones."""
+    MIN_PRECISION of their texts toxic; whether their precision is high. The sample
+    of texts bounds their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, ...]] = {}
         counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = [*counts[1], *(t for t in counts[0] if t not in counts[1])]
+            for at in range(0, len(names), 50_000):
+                part = names[at : at + 50_000]
+                yield pa.record_batch([pa.array(part, pa.string()), pa.array([counts[1][t] for t in part], pa.int64()), pa.array([counts[0][t] for t in part], pa.int64())], ["term", "toxic", "other"])
+            for c in counts:
+                c.clear()
+
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 inside: set[str] = set()
@@ -104,54 +135,92 @@ def mine_lexicon(rows: DataFrame) -> dict[str, int]:
                 counts[label].update(inside)
                 if len(known) > 150_000:
                     known.clear()
-        names = [*counts[1], *(t for t in counts[0] if t not in counts[1])]
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            yield pa.record_batch([pa.array(part, pa.string()), pa.array([counts[1][t] for t in part], pa.int64()), pa.array([counts[0][t] for t in part], pa.int64())], ["term", "toxic", "other"])
+                if len(counts[0]) + len(counts[1]) > 1_000_000:
+                    yield from flush()
+        yield from flush()
 
     sums = rows.select(F.col("text").cast("string"), "label").mapInArrow(run, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    good = sums.where((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("other"))))
-    return {r["term"]: r["toxic"] for r in good.orderBy(F.col("toxic").desc(), "term").limit(MOST_TERMS).collect()}
-
-
-def label_model(patterns: dict[int, int], prior: float, rounds: int = 50) -> np.ndarray:
-    """Posterior of the toxic class for each of the 2 ** K vote patterns, from the patterns' counts.
-
-    EM for the class prior and each voter's rate in either class. The voters'
-    correlations are taken within the classes that EM ends with; each voter's evidence is divided by the sum of its correlations
-    with all, so a group of voters that say the same counts about once.
+    share = F.col("toxic") / (F.col("toxic") + F.col("other"))
+    return {r["term"]: r["high"] for r in sums.where((F.col("toxic") >= MIN_DOCS) & (share >= MIN_PRECISION)).select("term", (share >= HIGH_PRECISION).alias("high")).collect()}
+
+
+@dataclass(frozen=True)
+class LabelModel:
+    """How votes come about in classes 0 and 1: class share, each voter's parent (-1: none),
+    and its rate by class and by the parent's vote."""
+
+    share: np.ndarray
+    parent: np.ndarray
+    rate: np.ndarray  # class x parent's vote x voter
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of class 1 for rows of votes."""
+        of = np.where(self.parent >= 0, votes[:, np.maximum(self.parent, 0)], 0).astype(int)
+        logs = []
+        for c in (0, 1):
+            rate = self.rate[c][of, np.arange(votes.shape[1])]
+            logs.append(np.log(self.share[c]) + np.where(votes > 0, np.log(rate), np.log(1 - rate)).sum(1))
+        return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
+
+
+def dependences(votes: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+    """Each voter's parent in the tree of greatest mutual information given the class."""
+    k = votes.shape[1]
+    gain = np.zeros((k, k))
+    for w in weights:
+        total = w.sum() + 4
+        both = (votes * w[:, None]).T @ votes + 1
+        one = w @ votes + 2
+        for a in (0, 1):
+            for b in (0, 1):
+                joint = {(1, 1): both, (1, 0): one[:, None] - both, (0, 1): one[None, :] - both, (0, 0): total - one[:, None] - one[None, :] + both}[a, b]
+                left, right = (one if a else total - one)[:, None], (one if b else total - one)[None, :]
+                joint = np.maximum(joint, 1e-9)
+                gain += joint * np.log(joint * total / (left * right))
+    parent, best, todo = np.full(k, -1), np.full(k, -np.inf), set(range(1, k))
+    last, by = 0, np.full(k, -1)
+    while todo:
+        for v in todo:
+            if gain[last, v] > best[v]:
+                best[v], by[v] = gain[last, v], last
+        last = max(todo, key=lambda v: (best[v], -v))
+        parent[last] = by[last]
+        todo.remove(last)
+    return parent
+
+
+def label_model(patterns: dict[tuple[int, int | None], int], prior: float, n_voters: int = len(VOTERS), leading: int = len(LEXICONS), rounds: int = 200) -> LabelModel:
+    """The model from counts of (vote bits, label or None), by EM.
+
+    Rows with a label keep it; the others begin as toxic where one of the first
+    ``leading`` voters votes.
     """
-    k = len(VOTERS)
-    every = ((np.arange(1 << k)[:, None] >> np.arange(k)) & 1).astype(float)
-    seen = np.array(sorted(patterns), int)
-    n = np.array([patterns[p] for p in seen], float)
-    v = every[seen] if len(seen) else np.zeros((0, k))
-    rate = np.array([np.full(k, 0.01), np.full(k, 0.5)])
-    share, power = np.array([1 - prior, prior]), np.ones(k)
-
-    def logs(votes: np.ndarray) -> np.ndarray:
-        return np.stack([np.log(share[c]) + (power * (votes * np.log(rate[c]) + (1 - votes) * np.log(1 - rate[c]))).sum(1) for c in (0, 1)])
-
-    def posterior(votes: np.ndarray) -> np.ndarray:
-        a = logs(votes)
-        return 1 / (1 + np.exp(np.clip(a[0] - a[1], -60, 60)))
-
-    if not len(seen):
-        return posterior(every)
+    keys = sorted(patterns, key=lambda x: (x[0], -1 if x[1] is None else x[1]))
+    n = np.array([patterns[x] for x in keys], float)
+    votes = ((np.array([x[0] for x in keys], int)[:, None] >> np.arange(n_voters)) & 1).astype(float).reshape(-1, n_voters)
+    known = np.array([np.nan if x[1] is None else x[1] for x in keys], float)
+    p = np.where(np.isnan(known), np.where(votes[:, :leading].any(1), 0.9, min(prior, 0.05)), known)
     for _ in range(rounds):
-        p = posterior(v)
-        for c, w in ((0, n * (1 - p)), (1, n * p)):
-            rate[c] = np.clip((w @ v + 0.1) / (w.sum() + 0.3), 1e-4, 0.999)
-            share[c] = (w.sum() + 1) / (n.sum() + 2)
-    together = np.zeros((k, k))
-    p = posterior(v)
-    for c, w in ((0, n * (1 - p)), (1, n * p)):
-        d = (v - rate[c]) * np.sqrt(w)[:, None]
-        cov = d.T @ d + 1e-6 * np.eye(k)
-        scale = np.sqrt(np.diag(cov))
-        together += w.sum() / n.sum() * np.abs(cov / np.outer(scale, scale))
-    power = 1 / np.maximum(1, together.sum(1))
-    return posterior(every)
+        weights = [n * (1 - p), n * p]
+        parent = dependences(votes, weights)
+        rate = np.zeros((2, 2, n_voters))
+        for c, w in enumerate(weights):
+            # a rate is drawn towards the voter's own, by as much as one row counts
+            own = (w @ votes + 0.1) / (w.sum() + 0.5)
+            rate[c] = own
+            for v in np.flatnonzero(parent >= 0):
+                of = votes[:, parent[v]]
+                for b in (0, 1):
+                    at = w * (of == b)
+                    rate[c, b, v] = (at @ votes[:, v] + own[v]) / (at.sum() + 1)
+        rate = np.clip(rate, 1e-4, 1 - 1e-4)
+        share = np.array([w.sum() + 1 for w in weights]) / (n.sum() + 2)
+        model = LabelModel(share, parent, rate)
+        new = np.where(np.isnan(known), model.posterior(votes), known)
+        if len(p) == 0 or np.abs(new - p).max() < 1e-6:
+            break
+        p = new
+    return model
 
 
 def _design(buckets: list[list[int]], bits: np.ndarray) -> np.ndarray:
@@ -181,19 +250,20 @@ def fit_linear(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.3,
 def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, one row for each row.
 
-    Null and empty texts hold no entry and get the score of a text without any.
-    Lexicons come from at most about ``sample_rows`` labelled training rows; the
-    votes and the label model cover all documents. Without toxic labels only the
-    seed lexicon votes.
+    Null and empty texts hold no entry and get the score of a text without any
+    vote. Equal texts get equal scores; a null doc_id is not held out, takes part in
+    the counts and is never learned from. Lexicons come from at most about
+    ``sample_rows`` labelled training rows, the classifier's weights from as many
+    rows with votes; the votes and the label model cover all documents. Without
+    toxic labels only the seed lexicon and the patterns vote.
     """
     known = keep(one_label(labels.where(learns()), "toxic"), "toxic")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
     prior = min(0.5, (counts.get(1, 0) + 1) / (total + 2))
-    cut = min(1.0, sample_rows / max(1, total))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(cut * 1_000_000))
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    lexicon = mine_lexicon(text.where(F.col("doc_id").isNotNull()).join(sample, "doc_id"))
+    drawn = lambda rows, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < int(1e6 * min(1.0, sample_rows / max(1, rows)))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lexicon = mine_lexicon(text.where(F.col("doc_id").isNotNull()).join(known.where(drawn(total, 1)), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Found(lexicon)
@@ -201,20 +271,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
             got = [read(t, found) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([b for b, _ in got], pa.int32()), pa.array([b for _, b in got], pa.list_(pa.int32()))], ["doc_id", "bits", "buckets"])
 
-    votes = keep(text.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, bits int, buckets array<int>"), "votes")
-    patterns = {r["bits"]: r["count"] for r in votes.groupBy("bits").count().collect()}
-    posterior = label_model(patterns, prior)
-    # the classifier sees a bounded sample of training rows, equal ones counted together
-    rows = votes.where(learns()).groupBy("bits", "buckets").count()
-    n_rows = sum(patterns.values())
-    part = min(1.0, sample_rows / max(1, n_rows))
-    taken = rows.where(F.pmod(F.xxhash64("bits", "buckets"), F.lit(1_000_000)) < int(part * 1_000_000)).collect() if part < 1 else rows.collect()
-    empty = votes.where(learns() & (F.col("bits") == 0)).count()
-    taken = [r for r in taken if r["bits"]]
+    votes = keep(text.mapInArrow(run, "doc_id long, bits int, buckets array<int>"), "votes")
+    labelled = votes.select("doc_id", "bits").join(known, "doc_id", "left")
+    patterns = {(r["bits"], r["label"]): r["count"] for r in labelled.groupBy("bits", "label").count().collect()}
+    model = label_model(patterns, prior) if patterns else None
+    # the classifier sees a bounded sample of rows that may be learned from; those without votes are alike and counted
+    may = votes.where(learns())
+    sizes = may.agg(F.count(F.when(F.col("bits") != 0, 1)).alias("some"), F.count(F.when(F.col("bits") == 0, 1)).alias("none")).first()
+    part = min(1.0, sample_rows / max(1, sizes["some"]))
+    taken = may.where((F.col("bits") != 0) & drawn(sizes["some"], 2)).groupBy("bits", "buckets").count().collect()
     bits = np.array([r["bits"] for r in taken] + [0], int)
     design = _design([r["buckets"] for r in taken] + [[]], bits)
-    n = np.array([r["count"] for r in taken] + [max(1, empty) * part], float)
-    weights = fit_linear(design, posterior[bits], n)
+    n = np.array([r["count"] for r in taken] + [max(1, sizes["none"]) * part], float)
+    soft = model.posterior(((bits[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)) if model else np.full(len(bits), prior)
+    weights = fit_linear(design, soft, n)
 
     @F.pandas_udf(T.DoubleType())
     def score(bits: pd.Series, buckets: pd.Series) -> pd.Series:

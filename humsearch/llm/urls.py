@@ -97,13 +97,10 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0].startswith(_VERDICT) & ~F.exists("antecedent", lambda x: x.startswith(_VERDICT)))
     rules = keep(found.select(F.array_sort("antecedent").alias("items"), F.size("antecedent").alias("size"), F.substring(F.col("consequent")[0], len(_VERDICT) + 1, 100).alias("verdict"), "confidence", "support"), "rules")
-    # a smaller rule's items are looked up among the larger one's
-    a, b = rules.alias("a"), rules.alias("b")
-    shared = F.size(F.array_intersect("a.items", "b.items")) == F.col("b.size")
-    useless = a.join(b, (F.element_at("a.items", 1) == F.element_at("b.items", 1)) & (F.col("b.size") < F.col("a.size")) & shared & (F.col("b.confidence") >= F.col("a.confidence")), "left_semi")
-    by_any = a.select("a.items", "a.size", "a.verdict", "a.confidence", F.explode("a.items").alias("item"))
-    short = rules.where("size = 1").select(F.col("items")[0].alias("item"), F.col("confidence").alias("of_one")).groupBy("item").agg(F.max("of_one").alias("of_one"))
-    beaten = by_any.where("size > 1").join(short, "item").where("of_one >= confidence").select("items", "verdict").union(useless.select("a.items", "a.verdict")).distinct()
+    # the miner has found every subset of a rule's items, so exploding them is no more than it did
+    subsets = F.expr("transform(sequence(1, shiftleft(1, size) - 2), m -> filter(items, (x, i) -> shiftright(m, i) % 2 = 1))")
+    sure = rules.groupBy(F.col("items").alias("subset")).agg(F.max("confidence").alias("sure"))
+    beaten = rules.where("size > 1").select("items", "verdict", "confidence", F.explode(subsets).alias("subset")).join(sure, "subset").where("sure >= confidence").select("items", "verdict").distinct()
     left = rules.join(beaten, ["items", "verdict"], "left_anti")
     more = [g for g in groups.values() if len(g) > 1]
     if more:
@@ -116,11 +113,18 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
 
 def match(signatures: DataFrame, rules: DataFrame) -> DataFrame:
     """(items, mined_verdict, confidence, mined_rule): the best rule for each distinct
-    item set that any rule fits. Best: confidence, then support, then size, then text."""
-    index = rules.select(F.explode("items").alias("item"), "rule_id", "size", "verdict", "confidence", "support", F.array_join("items", " ").alias("text"))
-    postings = signatures.select("items", F.explode("items").alias("item")).join(index, "item")
-    full = postings.groupBy("items", "rule_id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "verdict", "confidence", "support", "text")]).where("n = size")
-    best = F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), (-F.col("size")).alias("z"), "text", "verdict")).alias("best")
+    item set that any rule fits. Best: confidence, then support, then size, then text.
+
+    The index holds a rule under its rarest item only, so an item set meets few rules
+    that don't fit it, however frequent some of its items are.
+    """
+    held = signatures.select("items", F.explode("items").alias("item"))
+    uses = held.groupBy("item").agg(F.count("*").alias("uses"))
+    each = rules.select("rule_id", F.explode("items").alias("item")).join(uses, "item", "left")
+    rarest = each.groupBy("rule_id").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "item")).alias("r")).select("rule_id", "r.item")
+    index = rules.join(rarest, "rule_id").select("item", F.col("items").alias("needed"), "size", "verdict", "confidence", "support")
+    full = held.join(index, "item").where(F.size(F.array_except("needed", "items")) == 0)
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), (-F.col("size")).alias("z"), F.array_join("needed", " ").alias("text"), "verdict")).alias("best")
     return full.groupBy("items").agg(best).select("items", F.col("best.verdict").alias("mined_verdict"), (-F.col("best.c")).alias("confidence"), F.col("best.text").alias("mined_rule"))
 
 

@@ -5,7 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from itertools import pairwise
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +89,33 @@ def test_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_ties_and_doubled_ids(spark):
+    # a grid: many different vectors at one distance; ids with two vectors; clashing columns
+    grid = [(i, [1.0 + i // 20, 1.0 + i % 20]) for i in range(400)]
+    rows = [(1000 + (i * 7) % 400, v, 1, 2) for i, v in grid] + [(200, [3.0, 4.0], 1, 2), (200, [18.0, 4.0], 1, 2), (1100, [2.5, 2.5], 1, 2)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, class_id int, rank int"), shards=3).collect()
+    want = []
+    for q, v, *_ in rows:
+        if q % 100 == 0:
+            near = sorted((((v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2) ** 0.5, i) for i, w, *_ in rows if (i, w) != (q, v))
+            want += [(q, k + 1, i, d) for k, (d, i) in enumerate(near[:10])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
+def test_graph_of_clusters_is_found_whole():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([c + 0.01 * rng.standard_normal((150, 24)) for c in rng.standard_normal((40, 24))])
+    layers = ann.build_graph(x, 3)
+    q = x[::50]
+    ids, dist = ann.search_graph(x, layers, q, 10)
+    exact = np.argsort(((q[:, None] - x[None]) ** 2).sum(2), axis=1, kind="stable")[:, :10]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(ids.tolist(), exact.tolist(), strict=True)]) >= 9.5
+    assert (np.diff(dist, axis=1) >= 0).all()
+    for nodes, flat in layers:
+        # links are rows of the layer, no row has itself
+        assert set(flat[flat >= 0]) <= set(nodes.tolist()) and (flat != nodes[:, None]).all()
+
+
 def test_quality(spark, sf_dir, docs, labels):
     d, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     got = quality.score_documents(d, known).join(known, "doc_id").where("held_out").toPandas()
@@ -122,6 +149,47 @@ def test_mined_rules(spark):
     assert [(r["mined_verdict"], r["mined_rule"]) for r in best] == [("block", "b=1")]
 
 
+def brute_rules(rows, support, confidence):
+    """Rules of all item sets, without those that a rule of a proper subset equals or beats."""
+    rules = {}
+    for s in {c for items, _ in rows for n in range(1, len(items) + 1) for c in combinations(sorted(items), n)}:
+        of = [v for items, v in rows if set(s) <= set(items)]
+        for v in set(of):
+            n = of.count(v)
+            if n >= support * len(rows) and n >= confidence * len(of):
+                rules[s, v] = n / len(of)
+    sure = {}
+    for (s, _), c in rules.items():
+        sure[s] = max(c, sure.get(s, 0))
+    return {(s, v): c for (s, v), c in rules.items() if not any(sure.get(t, -1) >= c for n in range(1, len(s)) for t in combinations(s, n))}
+
+
+def test_rules_equal_all_item_sets(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(240):
+        items = sorted(x for x in "abcdef" if rng.random() < 0.5) or ["a"]
+        rows.append(([f"{x}=1" for x in items], "block" if ("b" in items and "c" in items) or rng.random() < 0.2 else "allow"))
+    rows += [(["g=1", "h=1", "i=1"], "block")] * 20 + [(["g=1", "i=1"], "allow")] * 20
+    got = {(tuple(r["items"]), r["verdict"]): r["confidence"] for r in urls.mine(spark.createDataFrame(rows, "items array<string>, verdict string"), 0.02, 0.6).collect()}
+    assert got == pytest.approx(brute_rules(rows, 0.02, 0.6))
+
+
+def test_matching_rules(spark):
+    rng = np.random.default_rng(4)
+    sets = [sorted(x for x in "abcdefg" if rng.random() < 0.6) for _ in range(60)]
+    rules = [(k, sorted(x for x in "abcdefgz" if rng.random() < 0.4) or ["a"], "block" if k % 2 else "allow", float(rng.integers(6, 10)) / 10, float(rng.integers(1, 4)) / 10) for k in range(25)]
+    table = spark.createDataFrame([(k, i, len(i), v, c, s) for k, i, v, c, s in rules], "rule_id long, items array<string>, size int, verdict string, confidence double, support double")
+    distinct = [list(x) for x in {tuple(s) for s in sets if s}]
+    got = {tuple(r["items"]): (r["mined_verdict"], r["mined_rule"]) for r in urls.match(spark.createDataFrame([(s,) for s in distinct], "items array<string>"), table).collect()}
+    want = {}
+    for s in distinct:
+        fits = [(-c, -p, -len(i), " ".join(i), v) for _, i, v, c, p in rules if set(i) <= set(s)]
+        if fits:
+            want[tuple(s)] = (min(fits)[4], min(fits)[3])
+    assert got == want
+
+
 def test_every_label_part_and_key_is_a_token(spark):
     rows = spark.createDataFrame([("x://www.Casino.example.com/en/a7/slots.html?ref=1&bet=2&ref#t",)], "url string")
     host, path = urls.host_and_path(F.col("url"))
@@ -161,11 +229,36 @@ def test_toxicity(spark, docs, labels):
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
-def test_label_model_discounts_copies():
-    bit = lambda *k: sum(1 << i for i in k)
-    p = toxicity.label_model({0: 900, bit(0, 1, 2): 60, bit(0, 1): 20, bit(2): 5}, 0.1)
-    assert p[bit(0, 1, 2)] > 0.5 > p[0]
-    assert len(toxicity.label_model({}, 0.1)) == 1 << len(toxicity.VOTERS)
+def test_label_model_finds_rates_and_dependences():
+    rng = np.random.default_rng(7)
+    n, rates = 60_000, np.array([[0.02, 0.02, 0.05, 0.1, 0.3], [0.7, 0.6, 0.5, 0.4, 0.3]])
+    truth = (rng.random(n) < 0.1).astype(int)
+    votes = (rng.random((n, 5)) < rates[truth]).astype(int)
+    # the sixth repeats the first nine times in ten: together they are worth hardly more than one
+    copies = np.where(rng.random(n) < 0.9, votes[:, 0], rng.random(n) < 0.1)
+    votes = np.column_stack([votes, copies])
+    bits = (votes << np.arange(6)).sum(1)
+    known = rng.random(n) < 0.2
+    counts = Counter((int(b), int(t) if k else None) for b, t, k in zip(bits, truth, known, strict=True))
+    model = toxicity.label_model(counts, 0.1, n_voters=6, leading=2)
+    assert model.share[1] == pytest.approx(0.1, abs=0.02)
+    assert model.parent[5] == 0 or model.parent[0] == 5
+    every = (np.arange(64)[:, None] >> np.arange(6)) & 1
+    want = np.array([[truth[bits == b].sum(), (bits == b).sum()] for b in range(64)])
+    often = want[:, 1] >= 300
+    assert np.abs(model.posterior(every.astype(float)) - want[:, 0] / np.maximum(want[:, 1], 1))[often].max() < 0.06
+    assert toxicity.label_model({(0, None): 5}, 0.1).posterior(np.zeros((1, len(toxicity.VOTERS))))[0] < 0.5
+
+
+def test_votes():
+    found = toxicity._Found({"word=zorgle": True, "start4=quax": False, "word=dull": False})
+    voted = lambda text: {v for v in toxicity.VOTERS if toxicity.read(text, found)[0] & toxicity._BIT[v]}
+    assert voted(None) == voted("") == voted("plain words") == set()
+    assert voted("plain " * 100 + "Zorgle,") == {"word"}
+    assert voted("plain " * 200 + "you ZORGLE quaxing") == {"word", "start4", "two_entries", "shouted_entry", "entry_near_you"}
+    assert voted("dull " + "plain " * 100) == {"fair_word"}
+    assert voted("soooo what") == {"drawn_out"} and voted("an i**ot here") == {"masked"}
+    assert voted("WHAT now") == {"shouting"} and voted("now!") == {"exclaiming"} and voted("you there") == {"address"}
 
 
 def test_leaks(spark, docs):
@@ -209,13 +302,48 @@ def test_leaks_of_full_blocks_and_short_items(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, b).collect()}
     assert must <= got
-    for m in decontaminate.models(d, b):
+    for m in (m for g in decontaminate.groups(d, b) for m in g.models):
         # candidates are exact: the latent products are those of the weighted words
-        counts = np.array([np.bincount(p, minlength=len(m.vocabulary)) * m.idf for p in m.passages])
+        counts = np.array([np.bincount(p, minlength=len(m.idf)) * m.idf for p in m.passages])
         latent = m.latent * m.norm[:, None]
         assert np.allclose(latent @ latent.T, counts @ counts.T, rtol=1e-3, atol=1e-2)
 
 
+def test_leaks_equal_brute_force_for_any_block(spark):
+    rng = np.random.default_rng(12)
+    words = np.array([f"t{k}" for k in range(400)])
+    share = 1 / np.arange(1, 401)
+    text = lambda n: list(rng.choice(words, n, p=share / share.sum()))
+    items = [(k, " ".join(text(int(rng.integers(6, 90))))) for k in range(30)]
+    rows = []
+    for k in range(26):
+        inner = items[k % 30][1].split()
+        kept = [w for w in inner if rng.random() > (k % 5) / 10]
+        rows.append((k, " ".join(text(int(rng.integers(0, 80))) + kept + text(30))))
+    cut = [(i, *p) for i, t in items for p in decontaminate._cut(t, None)]
+    uses, n = Counter(w for _, p, _ in cut for w in set(p)), len(cut)
+    usual = {w for w, c in uses.items() if c > max(3, decontaminate.COMMON * n)}
+    usual -= {w for _, p, _ in cut if set(p) <= usual for w in p}
+    held = Counter(w for _, t in rows for w in set(t.split()))
+    weight = lambda w: 0.0 if w in usual else (np.log((len(rows) + 1) / (held[w] + 1)) + 0.05) ** 2
+    want = set()
+    for d, t in rows:
+        w = t.split()
+        starts = [s for s in range(0, len(w), decontaminate.STRIDE) if s == 0 or s + decontaminate.WINDOW - decontaminate.STRIDE < len(w)]
+        for window in (w[s : s + decontaminate.WINDOW] for s in starts):
+            for i, p, answer in cut:
+                best = np.zeros((len(window) + 1, len(p) + 1))
+                for a, b in np.ndindex(len(window), len(p)):
+                    best[a + 1, b + 1] = max(best[a, b + 1], best[a + 1, b], best[a, b] + weight(p[b]) * (window[a] == p[b]))
+                common = best[-1, -1] / sum(map(weight, p))
+                said = any(window[a : a + len(answer)] == answer for a in range(len(window)))
+                if common >= decontaminate.WHOLE or (common >= decontaminate.PARAPHRASE and said):
+                    want.add((d, i))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for sizes in ((205, 8192), (7, 8192), (12, 20)):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, b, *sizes).collect()} == want
+
+
 def test_common_weight():
     rng = np.random.default_rng(2)
     idf = np.ones(6)
@@ -320,6 +448,43 @@ def test_personal_data(spark, docs):
     assert pii.redact(docs).columns == docs.columns and pii.report(docs.limit(0)).count() == 0
 
 
+def luhn_number(rng, n=16):
+    digits = [int(d) for d in rng.integers(0, 10, n - 1)]
+    twice = [2 * d - 9 * (d > 4) if k % 2 == 0 else d for k, d in enumerate(reversed(digits))]
+    return "".join(map(str, [*digits, -sum(twice) % 10]))
+
+
+def test_added_spans_come_from_the_trees(spark):
+    """Addresses and numbers in other writing are added, others of the same shape are not."""
+    rng = np.random.default_rng(8)
+    name = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 9))))
+    rows = []
+    for k in range(400):
+        quad = ".".join(str(x) for x in rng.integers(0, 256, 4))
+        said = [f"{name()}.{name()}@{name()}.org", quad, luhn_number(rng), f"+{rng.integers(10, 99)} {rng.integers(200, 999)} {rng.integers(1000, 9999)}"][k % 4]
+        rows.append((k, f"words {name()} before {said} and {name()} after"))
+    dotted = lambda s, sign: sign.join(s[i : i + 4] for i in range(0, len(s), 4))
+    good, card = ["bob [at] example [dot] org", "carol.x @ home.net", "10-20-30-40", "192:168:0:17"], luhn_number(rng)
+    good += [dotted(card, "."), dotted(luhn_number(rng), "/")]
+    wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+    bad = ["901-20-30-40", "1:2:3:444", dotted(wrong, "."), dotted(wrong, "/"), "5 @ 2.50"]
+    rows += [(1000 + k, f"words x before {t} and y after") for k, t in enumerate(good)] + [(2000 + k, f"words x before {t} and y after") for k, t in enumerate(bad)]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in enumerate(good):
+        assert any(s.split(":")[1:] == ["15", str(15 + len(t))] for s in got[1000 + k].split(",")), t
+    for k, t in enumerate(bad):
+        assert got[2000 + k] == "", t
+
+
+def test_many_matches_and_overlaps(spark):
+    text = " ".join(f"u{k}@h.io" for k in range(3000))
+    rows = spark.createDataFrame([(1, text), (1, text), (2, "a@b.co")], "doc_id long, text string")
+    got = pii.report(rows).collect()
+    assert sorted(r["n_email"] for r in got) == [1, 3000, 3000]
+    want = base(text)
+    assert {r["base_sha256"] for r in got if r["doc_id"] == 1} == {hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()}
+
+
 def test_encoder_equals_whole_texts():
     """Splitting, remembering and encoding words together changes no id, also when the memory overflows."""
     rng = random.Random(3)
