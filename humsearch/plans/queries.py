@@ -17,6 +17,7 @@ from ..operators.dtw import Warping, align_pairs
 from ..operators.pyin import PitchSettings, differences, minima, padded, pitch
 from ..sources import packed
 from . import tracking, warping
+from .search import register
 
 #: Frames of track 0 that serve as the hummed query.
 QUERY_FRAMES = 12
@@ -69,6 +70,27 @@ def delta_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("restored", packed.undelta(F.sum("difference").over(order)).cast("int"))
 
 
+def zigzag_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed differences of samples, folded to numbers without sign as in packed tracks, and back to 16 bits."""
+    order = Window.partitionBy("track_id").orderBy("frame_idx")
+    rows = _f0(spark, sf_dir).select("track_id", "frame_idx", P.quantise(P.hz_to_cents(F.col("f0"))).cast("int").alias("sample"))
+    gap = (F.col("sample") - F.coalesce(F.lag("sample").over(order), F.lit(0))).alias("gap")
+    folded = F.shiftleft("gap", 1).bitwiseXOR(F.shiftright("gap", 31)).alias("folded")
+    return rows.select("track_id", "frame_idx", gap).select("track_id", "frame_idx", folded).withColumn("unfolded", packed.unzigzag(F.col("folded")))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of all tracks against the first frames of track 0, by registered SQL functions alone."""
+    register(spark)
+    _contours(spark, sf_dir).createOrReplaceTempView("humsearch_contours")
+    packed.encode_tracks(_contours(spark, sf_dir)).createOrReplaceTempView("humsearch_packed")
+    bins = "transform({}, c -> CAST(pitch_bin(c, 24) AS INT))"
+    return spark.sql(f"""
+        SELECT track_id, round(dtw_cost(q, {bins.format("contour")}), 6) AS cost, CAST(size(decode_contour(pitch_track)) AS BIGINT) AS frames
+        FROM (SELECT *, (SELECT slice({bins.format("contour")}, 1, {QUERY_FRAMES}) FROM humsearch_contours WHERE track_id = 0) AS q FROM humsearch_contours) JOIN humsearch_packed USING (track_id)
+        WHERE q IS NOT NULL""")
+
+
 def pitch_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitch_bins(spark, sf_dir).groupBy("track_id", "bin").agg(F.count("*").alias("n"))
 
@@ -191,7 +213,7 @@ def padded_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", *[total(padded(F.col("x"), 4, m)).alias(m) for m in ("constant", "edge", "reflect")])
 
 
-QUERIES = {f.__name__: f for f in (pitch_cents, pitch_bins, quantised, delta_coded, pitch_histogram, profile_salience, local_minima, period_differences, vector_distances, match_costs, match_costs_by_columns, search_matches, search_all, packed_tracks, packed_words, packed_errors, align_tracks, hummed_pitch, padded_audio)} | warping.QUERIES | tracking.QUERIES
+QUERIES = {f.__name__: f for f in (pitch_cents, pitch_bins, quantised, delta_coded, zigzag_coded, sql_functions, pitch_histogram, profile_salience, local_minima, period_differences, vector_distances, match_costs, match_costs_by_columns, search_matches, search_all, packed_tracks, packed_words, packed_errors, align_tracks, hummed_pitch, padded_audio)} | warping.QUERIES | tracking.QUERIES
 
 _F0 = "f0 AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, CASE WHEN event_type <> 'error' THEN value END AS f0 FROM events)"
 _CENTS = "cents AS (SELECT track_id, frame_idx, CASE WHEN f0 > 0 THEN 1200 * log2(f0 / 55) END AS cents FROM f0)"
@@ -268,6 +290,8 @@ ORACLE_SQL = {
     "pitch_bins": f"WITH {_F0}, {_CENTS}, {_BINS} SELECT track_id, frame_idx, bin FROM bins",
     "quantised": f"WITH {_F0}, {_CENTS}, {_SAMPLES} SELECT track_id, frame_idx, sample, CAST(nullif(sample, -32768) AS DOUBLE) AS cents FROM samples",
     "delta_coded": f"WITH {_F0}, {_CENTS}, {_SAMPLES} SELECT track_id, frame_idx, sample, (sample - coalesce(lag(sample) OVER (PARTITION BY track_id ORDER BY frame_idx), 0)) & 65535 AS difference, sample AS restored FROM samples",
+    "zigzag_coded": f"WITH {_F0}, {_CENTS}, {_SAMPLES}, gaps AS (SELECT track_id, frame_idx, sample - coalesce(lag(sample) OVER (PARTITION BY track_id ORDER BY frame_idx), 0) AS gap FROM samples) SELECT track_id, frame_idx, CAST(CASE WHEN gap >= 0 THEN 2 * gap ELSE -2 * gap - 1 END AS INT) AS folded, CAST(gap & 65535 AS INT) AS unfolded FROM gaps",
+    "sql_functions": _costs_sql() + "SELECT track_id, round(cost, 6) AS cost, CAST(len(refs) AS BIGINT) AS frames FROM costs JOIN tracks USING (track_id)",
     "pitch_histogram": f"WITH {_F0}, {_CENTS}, {_BINS} SELECT track_id, bin, count(*) AS n FROM bins GROUP BY ALL",
     "profile_salience": f"WITH {_F0}, {_CENTS}, {_BINS}, n AS (SELECT track_id, bin, count(*) AS n FROM bins GROUP BY ALL) SELECT track_id, class, round(sum(CASE WHEN bin IS NULL THEN 0 ELSE n * {[float(x) for x in P.kernel()]}[(class - bin + 24) % 24 + 1] END), 6) AS salience FROM n, (SELECT CAST(unnest(range(24)) AS INT) AS class) GROUP BY ALL",
     "local_minima": f"WITH {_F0}, s AS (SELECT *, lag(f0) OVER w AS before, lead(f0) OVER w AS after FROM f0 WHERE f0 IS NOT NULL WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)) SELECT track_id, frame_idx, f0 FROM s WHERE f0 < before AND f0 <= after",

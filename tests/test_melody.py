@@ -4,6 +4,7 @@ import math
 import struct
 import wave
 import zlib
+from itertools import product
 
 import numpy as np
 import pytest
@@ -196,6 +197,76 @@ def test_pyin_parts():
     assert states.tolist() == [0, 0, 1]
     with pytest.raises(ValueError):
         pyin.PitchSettings().check(1000)
+    assert pyin.PitchSettings(hop_length=0).hop() == 0 and pyin.PitchSettings().hop() == 512
+
+
+def naive_viterbi(prob, moves, start, least):
+    """The likeliest path of all, and its log-probability; impossible moves are left out."""
+    n, steps = prob.shape
+    best = (-np.inf, None)
+    for path in product(range(n), repeat=steps):
+        if least is not None and any(moves[a, b] < least for a, b in zip(path, path[1:], strict=False)):
+            continue
+        p = math.log(start[path[0]]) + sum(math.log(prob[s, t]) for t, s in enumerate(path)) + sum(math.log(moves[a, b]) for a, b in zip(path, path[1:], strict=False))
+        best = max(best, (p, path), key=lambda x: x[0])
+    return best
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(4)
+    for least in (None, 0.15):
+        prob, moves, start = rng.random((3, 6)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(3))
+        p, path = naive_viterbi(prob, moves, start, least)
+        states, got = pyin.viterbi(prob, moves, start, least)
+        assert states.tolist() == list(path) and got == pytest.approx(p)
+    for bad in ({"start": np.array([0.5, 0.2, 0.2])}, {"start": np.ones(2) / 2}, {"least_transition": 1.1}):
+        with pytest.raises(ValueError):
+            pyin.viterbi(prob, moves, **bad)
+    with pytest.raises(ValueError):
+        pyin.viterbi(prob * 3, moves)
+    with pytest.raises(ValueError):
+        pyin.viterbi(prob, moves * 2)
+
+
+def test_transitions_and_beta():
+    widths = [1, 3, 5, 3, 1]
+    own = pyin.local_transition(5, widths)
+    for k, w in enumerate(widths):
+        np.testing.assert_allclose(own[k], pyin.local_transition(5, w)[k])
+    np.testing.assert_allclose(pyin.loop_transition(3, [0.2, 0.5, 1.0])[2], [0, 0, 1])
+    for bad in (0, 6, [1, 2], [0, 1, 1, 1, 1]):
+        with pytest.raises(ValueError):
+            pyin.local_transition(5, bad)
+    with pytest.raises(ValueError):
+        pyin.loop_transition(3, [0.2, 0.5])
+    x = np.linspace(0, 1, 101)
+    np.testing.assert_allclose(pyin.beta_steps(100), np.diff(1 - (1 - x) ** 18 * (1 + 18 * x)), atol=1e-15)
+    # other parameters: whole ones by the power series too, and a density summed by hand
+    np.testing.assert_allclose(pyin.beta_steps(50, (3, 7)), pyin.beta_steps(50, (3 + 1e-9, 7)), atol=1e-7)
+    fine = np.linspace(0, 1, 200_001)
+    middle = (fine[1:] + fine[:-1]) / 2
+    density = middle**1.5 * (1 - middle) ** 3.5
+    np.testing.assert_allclose(pyin.beta_steps(10, (2.5, 4.5)), (density / density.sum()).reshape(10, -1).sum(1), atol=1e-6)
+
+
+def test_audio_that_cannot_be_framed(spark):
+    s = pyin.PitchSettings(frame_length=64, hop_length=16, center=False)
+    fine, nan, short = [0.1] * 80, [0.1] * 79 + [math.nan], [0.1] * 63
+    for bad in (nan, short, [None] * 80, None):
+        rows = spark.createDataFrame([(1, 8000, fine), (2, 8000, bad)], "audio_id long, sr int, samples array<double>")
+        with pytest.raises(Exception, match="too short or not finite: 2"):
+            pyin.frames(rows, s).collect()
+        assert [tuple(r) for r in pyin.frames(rows, s, "PERMISSIVE").groupBy("audio_id").count().collect()] == [(1, 2)]
+    with pytest.raises(ValueError):
+        pyin.frames(rows, pyin.PitchSettings(hop_length=0))
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.yaml").write_text("app:\n  fmin: 70.0\n  other: 1\nnotebook:\n  fmin: 1\n")
+    assert EngineConfig.load(str(tmp_path / "c.yaml")) == EngineConfig(fmin=70.0)
+    (tmp_path / "empty.yaml").write_text("")
+    assert EngineConfig.load(str(tmp_path / "empty.yaml")) == EngineConfig()
+    assert [EngineConfig(hop_seconds=h).hop_samples(5) for h in (0.1, 0.3, 0.5)] == [0, 2, 2]
 
 
 def test_whole_search(spark, tmp_path):
@@ -209,12 +280,36 @@ def test_whole_search(spark, tmp_path):
     (tmp_path / "junk.wav").write_bytes(b"no audio")
     sound = audio.read_audio(spark, str(tmp_path))
     assert sound.count() == 1
+    (tmp_path / "huge.wav").write_bytes(b"x" * 100)
+    small = EngineConfig(max_upload_bytes=99)
+    said = {r["path"].rsplit("/", 1)[-1]: r["error"] for r in audio.read_audio(spark, str(tmp_path), small, errors=True).collect()}
+    assert said["huge.wav"] == said["hum.wav"] == "too large" and said["junk.wav"].startswith("cannot be decoded")
+    said = {r["path"].rsplit("/", 1)[-1]: r["error"] for r in audio.read_audio(spark, str(tmp_path), errors=True).collect()}
+    assert said["hum.wav"] is None and said["short.wav"] == "too short"
+    own = audio.read_audio(spark, str(tmp_path), decode=lambda content: (np.zeros(len(content)), 2))
+    assert own.count() == 4 and own.first()["sr"] == 2
     got = search.search(sound, catalogue).orderBy("rank").collect()
     assert [r["rank"] for r in got] == [1, 2, 3] and got[0]["id"] == 3 and got[0]["raga"] == ""
     assert search.search(sound.limit(0), catalogue).count() == 0
     assert matching.as_table(search.search_bins([None], search.catalogue_bins(catalogue), catalogue)).count() <= 3
     search.register(spark)
     assert spark.sql("SELECT pitch_bin(hz_to_cents(110D, 55D), 24)").first()[0] == 0
+    catalogue.createOrReplaceTempView("catalogue")
+    assert [r[0] for r in spark.sql("SELECT decode_contour(pitch_track) FROM catalogue ORDER BY id").collect()] == [t.tolist() for t in tunes.values()] + [[]]
+    assert spark.sql("SELECT dtw_cost(array(1, 2), array(3, 4, 9))").first()[0] == 0
+    assert spark.sql("SELECT dtw_cost(array(1, NULL, 5), array(1, 5))").first()[0] > 0
+    # two recordings at once: the same hum twice under two ids, each with its own ranks
+    both = sound.unionByName(sound.withColumn("audio_id", F.lit(7).cast("long")))
+    many = search.search(both, catalogue).collect()
+    assert len(many) == 6 and {r["audio_id"] for r in many if r["rank"] == 1 and r["id"] == 3} == {sound.first()["audio_id"], 7}
+    # bins by content: nothing is decoded again, a changed blob is
+    path = str(tmp_path / "bins")
+    want = {r["track_id"]: r["bins"] for r in search.catalogue_bins(catalogue).collect()}
+    assert {r["track_id"]: r["bins"] for r in search.stored_bins(catalogue, path).collect()} == want
+    changed = catalogue.withColumn("pitch_track", F.when(F.col("id") == 1, F.lit(bytearray(packed.encode([0.0, 100.0])))).otherwise(F.col("pitch_track")))
+    again = {r["track_id"]: r["bins"] for r in search.stored_bins(changed, path).collect()}
+    assert again == want | {1: [0, 2]}
+    assert spark.read.parquet(path).count() == len(rows) + 1
 
 
 def test_costs_by_columns(spark):
