@@ -113,13 +113,18 @@ def format_turns(conversations: DataFrame, template: Template = INSTRUCT) -> Dat
             cols = [batch.column(k).to_pylist() for k in range(4)]
             spans, starts, ends, rewrites = [], [], [], []
             for conv, role, text in zip(cols[0], cols[2], cols[3], strict=True):
+                turn, fresh = (role or "", text or ""), False
                 if conv != now:
                     now, before, shorter = conv, [], render([])
                 elif context is not None and len(before) >= template.prefix_turns + context:
+                    long_span = locate(render, before, turn, shorter)[1]
                     before = before[len(before) - context :]
                     shorter = render(before)
-                turn = (role or "", text or "")
+                    fresh = True
                 shorter, span, a, b, rewritten = locate(render, before, turn, shorter)
+                if fresh:
+                    # a template that looks further back than it says is found out here
+                    rewritten = rewritten or span != long_span
                 before.append(turn)
                 for out, value in ((spans, span), (starts, a), (ends, b), (rewrites, rewritten)):
                     out.append(value)

@@ -163,6 +163,11 @@ def _key() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
+def _named(doc_id: str) -> Column:
+    """A doc_id as a text that is never null, to join by."""
+    return F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit(""))
+
+
 def weighted_sets(docs: DataFrame) -> DataFrame:
     """(fp, hashes, weights) of rows (fp, text): sorted distinct shingles as packed
     arrays; weights are empty where all are 1."""
@@ -249,6 +254,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     both = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels, last = nodes.select("fp", "label"), None
+    if both.isEmpty():
+        discard(both)
+        return nodes
     while True:
         around = both.join(labels.select(F.col("fp").alias("b"), "label"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("near"))
         taken = labels.join(around, "fp", "left").select("fp", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
@@ -309,6 +317,25 @@ def residual_pairs(held: DataFrame, sets: DataFrame, compared: DataFrame, thresh
     return pairs
 
 
+def _linked(compared: DataFrame, threshold: float) -> DataFrame:
+    return compared.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
+
+
+def _merged(now: DataFrame, mixed: DataFrame, centres: DataFrame, copies: DataFrame, sets: DataFrame, compared: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """The labels after all links that the stars have not compared; ``now`` has the
+    members of buckets with their labels, ``mixed`` the buckets with several components."""
+    hubs = centres.join(mixed, "bucket").join(labels.select(F.col("fp").alias("c"), F.col("label").alias("hub")), "c").select("bucket", "part", "c", "hub")
+    held = keep(now.join(hubs, ["bucket", "part"]), "held")
+    pairs = residual_pairs(held, sets, compared, threshold)
+    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    marks = copies.select("fp", "marks")
+    fresh = pairs.join(done, ["a", "b"], "left_anti").join(marks.select(F.col("fp").alias("a"), F.col("marks").alias("ra")), "a").join(marks.select(F.col("fp").alias("b"), F.col("marks").alias("rb")), "b")
+    more = keep(_compared(_likely(fresh), sets), "compared")
+    merged = components(labels, _linked(more, threshold))
+    discard(held, pairs, more)
+    return merged
+
+
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, fp, class_id, kept) of every row of ``docs``.
 
@@ -335,24 +362,16 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     nodes = keep(buckets.groupBy("fp").agg(F.lit(1).alias("one")).join(copies.select("fp", "least"), "fp").select("fp", "least"), "nodes")
     # the text of one row for each text of a bucket; copies are dealt by their doc_id too,
     # and by a shuffle at any size, as the buckets' texts grow with the corpus
-    whole = base.select("doc_id", "fp", "text")
-    one = whole.join(nodes.select(F.col("fp").alias("of"), "least").hint("merge"), (whole.fp == F.col("of")) & whole.doc_id.eqNullSafe(F.col("least")), "left_semi").dropDuplicates(["fp"])
+    wanted = nodes.select("fp", _named("least").alias("of")).hint("merge")
+    one = base.select("fp", _named("doc_id").alias("of"), "text").join(wanted, ["fp", "of"], "left_semi").dropDuplicates(["fp", "of"])
     sets = keep(weighted_sets(one), "sets")
     compared = keep(_compared(stars, sets), "compared")
-    linked = lambda found: found.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
-    labels = components(nodes.select("fp", F.col("fp").alias("label")), linked(compared))
+    labels = components(nodes.select("fp", F.col("fp").alias("label")), _linked(compared, threshold))
     # buckets that still hold several components; of two members, the star has compared both
     now = buckets.where("n > 2").join(labels, "fp").select("bucket", "part", "n", "fp", "label")
     mixed = keep(now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket"), "mixed")
-    hubs = centres.join(mixed, "bucket").join(labels.select(F.col("fp").alias("c"), F.col("label").alias("hub")), "c").select("bucket", "part", "c", "hub")
-    held = keep(now.join(hubs, ["bucket", "part"]), "held")
-    pairs = residual_pairs(held, sets, compared, threshold)
-    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    marks = copies.select("fp", "marks")
-    fresh = pairs.join(done, ["a", "b"], "left_anti").join(marks.select(F.col("fp").alias("a"), F.col("marks").alias("ra")), "a").join(marks.select(F.col("fp").alias("b"), F.col("marks").alias("rb")), "b")
-    more = keep(_compared(_likely(fresh), sets), "compared")
-    merged = components(labels, linked(more))
-    discard(buckets, centres, stars, nodes, sets, compared, mixed, held, pairs, more, labels)
+    merged = labels if mixed.isEmpty() else _merged(now, mixed, centres, copies, sets, compared, labels, threshold)
+    discard(buckets, centres, stars, sets, compared, mixed, None if merged is labels else labels)
     named = copies.select("fp", "least").join(merged, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     class_ids = named.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("rep"))
     by_fp = named.join(class_ids, "label").select("fp", F.col("rep.least").alias("class_id"), (F.col("fp") == F.col("rep.fp")).alias("is_rep"))
@@ -396,9 +415,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate class, all columns as they are: the one
-    with the least doc_id (any one of them if that row is repeated)."""
-    kept = classes(docs).where("kept").select(F.col("fp").alias("__fp"), F.col("doc_id").alias("__id")).distinct()
-    keyed = docs.withColumn("__fp", _key()).withColumn("__id", F.col("doc_id").cast("long"))
-    rows = keyed.join(kept, (keyed["__fp"] == kept["__fp"]) & keyed["__id"].eqNullSafe(kept["__id"]), "left_semi")
-    return rows.dropDuplicates(["__fp"]).select(*docs.columns)
+    """One row of each near-duplicate class, all columns as they are: the one with the
+    least doc_id, and of several such rows that with the least hash of all columns."""
+    kept = classes(docs).where("kept").select(F.col("fp").alias("__key"), _named("doc_id").alias("__of")).distinct()
+    keyed = docs.select(_key().alias("__key"), _named("doc_id").alias("__of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    # a text's class keeps one doc_id, so the join's keys serve the aggregation too
+    rows = keyed.join(kept, ["__key", "__of"], "left_semi").groupBy("__key", "__of")
+    return rows.agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row.*")

@@ -13,6 +13,7 @@ Spark's committer: a lost executor or a repeated task leaves no half file.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import uuid
 import zlib
@@ -154,6 +155,12 @@ _AFTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c !=
 #: Latin letters: each is its own composed form, and lower case changes it to one letter.
 _LATIN = "".join(c for c in map(chr, range(65, 0x250)) if c.isalpha() and len(c.lower()) == 1 and unicodedata.is_normalized("NFC", c) and unicodedata.normalize("NFKC", c) == c)
 
+# fixed values: the tokenizer file's own rules that encoding by words relies on
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
 #: White space that the tokenizer and Unicode's rule for splitting disagree on.
 _SEPARATORS = "[\x1c-\x1f]"
 #: Characters that are encoded at a time, unless one text has more.
@@ -180,13 +187,16 @@ class Encoder:
     ids are remembered in columns of bounded length, and new ones go to the
     tokenizer together, as one text in which a word's last token alone ends a
     word. Texts with the separators that splitting and the tokenizer disagree on
-    are encoded whole."""
+    are encoded whole, and so are all texts if the file's rules for normalizing and
+    splitting are not those that this relies on."""
 
     def __init__(self, path: str, remembered: int = 200_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.tokenizer.no_padding()
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_words = all(rules.get(k) == v for k, v in RULES.items()) and bool(rules["model"].get("end_of_word_suffix"))
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -197,7 +207,8 @@ class Encoder:
         self.bare.no_padding()
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.bare.model._resize_cache(0)
+        if resize := getattr(self.bare.model, "_resize_cache", None):
+            resize(0)
         self.words, self.flat, self.sizes = pa.array([""]), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _one(self, text: str) -> np.ndarray:
@@ -257,12 +268,15 @@ class Encoder:
             before = int(ends[at - 1]) if at else 0
             to = max(at + 1, int(np.searchsorted(ends, before + PIECE_CHARS, side="right")))
             part = texts.slice(at, to - at)
+            at = to
+            if not self.by_words:
+                yield [self._one(t) for t in part.to_pylist()]
+                continue
             whole = pc.match_substring_regex(part, _SEPARATORS)
             got = self._piece(pc.if_else(whole, "", part))
             for k in np.flatnonzero(np.asarray(whole)):
                 got[k] = self._one(part[int(k)].as_py())
             yield got
-            at = to
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         return [ids for piece in self.pieces(pa.array(texts, pa.string())) for ids in piece]

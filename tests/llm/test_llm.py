@@ -62,6 +62,10 @@ def test_rewriting_template_is_found(spark):
     hides = chat.Template(lambda turns: "".join("(old)" if k < len(turns) - 2 else f"<{t}>" for k, (_, t) in enumerate(turns)))
     assert chat.format_turns(rows, hides).where("rewritten").count() == 2
     assert chat.formatted_conversations(rows).count() == 1
+    # says that it looks at no other turn, but its span tells how many there were
+    lies = chat.Template(lambda turns: "".join(f"<{min(k, 20)}:{t}>" for k, (_, t) in enumerate(turns)), 0)
+    longer = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(40)], "conv_id long, turn long, role string, text string")
+    assert chat.format_turns(longer.coalesce(1), lies).where("rewritten").count() >= 1
     assert chat.digest(chat.format_turns(rows.limit(0))).count() == 0
 
 
@@ -127,6 +131,24 @@ def test_quality(spark, sf_dir, docs, labels):
     assert quality.filter_documents(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_discriminant_equals_densities(spark):
+    """Scores are those of two Gaussian densities with shrunken covariances, computed plainly."""
+    rng = np.random.default_rng(13)
+    texts = [" ".join(rng.choice(["aa", "bb", "CC!", "d9", "e|", "ff"], int(rng.integers(0, 40)))) for _ in range(300)]
+    known = [(k, int(t.count("!") * 3 < len(t.split())) if rng.random() < 0.9 else int(rng.integers(0, 2)), 0) for k, t in enumerate(texts) if k % 3]
+    d, y = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(d, y).collect()}
+    x = np.array([quality.statistics(t) for t in texts])
+    used = [(k, q) for k, q, _ in known if zlib.crc32(str(k).encode()) % 5]
+    of = [x[[k for k, q in used if q == c]] for c in (0, 1)]
+    cov = [np.cov(v.T, bias=True) for v in of]
+    pooled = np.diag(sum(len(v) * np.diag(c) for v, c in zip(of, cov, strict=True)) / len(used))
+    cov = [0.9 * c + 0.1 * pooled + 1e-3 * np.eye(len(c)) for c in cov]
+    log = [-0.5 * (np.einsum("ij,jk,ik->i", x - v.mean(0), np.linalg.inv(c), x - v.mean(0)) + np.linalg.slogdet(c)[1]) for v, c in zip(of, cov, strict=True)]
+    want = 1 / (1 + np.exp(-np.clip(log[1] - log[0] + np.log((len(of[1]) + 1) / (len(of[0]) + 1)), -60, 60)))
+    assert [got[k] for k in range(300)] == pytest.approx(want.tolist(), abs=1e-6)
+
+
 def test_urls(spark):
     cases = {None: ("", "", None), "no": ("", "", None), "http://A.Example.NET/en/x?q#f": ("a.example.net", "/en/x", "example.net/en/"), "x://net": ("net", "", None), "x://net/": ("net", "/", "net/"), "x://bnet/": ("bnet", "/", None), "a://b://c.net/": ("b:", "//c.net/", None), "h://example.com/de/": ("example.com", "/de/", "example.com/de/"), "h://é.org/fr/#": ("é.org", "/fr/", "org/fr/"), "h://x.net?a://y": ("x.net", "", None), "": ("", "", None)}
     rows = spark.createDataFrame([(k, u, 1) for k, u in enumerate(cases)] + [(0, None, 2), (None, "h://q.net/", 3)], "page_id long, url string, items int")
@@ -396,6 +418,20 @@ def test_mixing(spark, docs):
     assert (empty.taken == 0).all()
 
 
+def test_mixed_rows_are_the_taken_ones(spark):
+    rng = np.random.default_rng(14)
+    rows = [(k, "w " * int(rng.integers(0, 30)), f"s{k % 4}", k % 7) for k in range(400)] + [(5, "same text here", "s1", 0)] * 60
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    taken = mixing.mix_report(d).groupBy("doc_id").agg(F.sum("taken").alias("taken")).collect()
+    mixed = mixing.mix_documents(d)
+    assert mixed.columns == d.columns
+    words, known = Counter(), {tuple(r) for r in rows}
+    for r in mixed.collect():
+        assert tuple(r) in known
+        words[r["doc_id"]] += len(r["text"].split())
+    assert {r["doc_id"]: r["taken"] for r in taken if r["taken"]} == {k: v for k, v in words.items() if v}
+
+
 def test_mixing_of_repeated_rows(spark):
     rows = [(-1, "w " * 20, "a", 5)] * 1000 + [(k, "w " * 20, "a", 5) for k in range(2000)] + [(9000 + k, "v " * 20, "b", 5) for k in range(700)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
@@ -485,6 +521,20 @@ def test_many_matches_and_overlaps(spark):
     assert {r["base_sha256"] for r in got if r["doc_id"] == 1} == {hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()}
 
 
+def test_redaction_of_overlaps(spark):
+    rows = spark.createDataFrame([(1, "to +10.20.30.40 and a@b.co", 1)], "doc_id long, text string, spans int")
+    out = pii.redact(rows).collect()
+    assert [tuple(r) for r in out] == [(1, "to <PHONE> and <EMAIL>", 1)]
+
+
+def test_encoder_of_another_file():
+    """Rules that differ from those the shortcut relies on: texts are encoded whole."""
+    coder = tokens.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["Hello  World's\n", "", "  x\ty é 123 "]
+    assert not coder.by_words and tokens.Encoder(tokenizer_path()).by_words
+    assert [x.tolist() for x in coder.encode(texts)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_encoder_equals_whole_texts():
     """Splitting, remembering and encoding words together changes no id, also when the memory overflows."""
     rng = random.Random(3)
@@ -589,10 +639,8 @@ def test_near_duplicates(spark, docs):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = probminhash.near_duplicates(d).collect()
     assert Counter((r["doc_id"], r["class_id"]) for r in got) == Counter(exact_classes(rows))
-    one = probminhash.deduplicate(d)
-    assert one.count() == len({c for _, c in exact_classes(rows)}) and one.columns == d.columns
-    assert probminhash.near_duplicates(docs).count() == docs.count()
-    assert probminhash.deduplicate(docs).columns == docs.columns
+    one = probminhash.deduplicate(docs)
+    assert one.columns == docs.columns and one.count() == len({c for _, c in exact_classes([(r["doc_id"], r["text"]) for r in docs.collect()])})
     assert probminhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -667,3 +715,20 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in after.collect()} == {c for _, c in exact_classes([(r["doc_id"], r["text"]) for r in before.collect()])}
     out = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).collect()
     assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in now.collect())
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows, clashing columns, and tables without rows."""
+    import corpus_pipeline
+
+    rows = [(k, t, "en", f"s{k % 2}", len(t or ""), "x", k % 3, "y") for k, t in enumerate(TEXTS[:6] + ["plain words of some length here " * 9])] * 2 + [(None, "nobody", None, None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, DOCS)
+    marked = spark.createDataFrame([(0, 1, 0), (3, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, None), (None, "x"), (2, "zz yy xx ww vv uu tt")], "item_id long, text string")
+    for k, (d, y, b) in enumerate([(odd, marked, items), (odd.limit(0), marked.limit(0), items.limit(0))]):
+        for name, t in (("documents", d), ("labels", y), ("benchmark", b)):
+            t.write.parquet(f"{tmp_path}/{k}/{name}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()
+        # without labels of either class every document is kept; one of each group of copies stays
+        assert (len(out) > 0) == (k == 0)
+        assert {r["doc_id"] for r in out} <= {r[0] for r in rows}
