@@ -82,12 +82,13 @@ def zigzag_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of all tracks against the first frames of track 0, by registered SQL functions alone."""
     register(spark)
-    _contours(spark, sf_dir).createOrReplaceTempView("humsearch_contours")
+    _f0(spark, sf_dir).createOrReplaceTempView("humsearch_f0")
     packed.encode_tracks(_contours(spark, sf_dir)).createOrReplaceTempView("humsearch_packed")
-    bins = "transform({}, c -> CAST(pitch_bin(c, 24) AS INT))"
     return spark.sql(f"""
-        SELECT track_id, round(dtw_cost(q, {bins.format("contour")}), 6) AS cost, CAST(size(decode_contour(pitch_track)) AS BIGINT) AS frames
-        FROM (SELECT *, (SELECT slice({bins.format("contour")}, 1, {QUERY_FRAMES}) FROM humsearch_contours WHERE track_id = 0) AS q FROM humsearch_contours) JOIN humsearch_packed USING (track_id)
+        WITH frames AS (SELECT track_id, frame_idx, pitch_bin(hz_to_cents(f0, 55D), 24) AS bin FROM humsearch_f0),
+        tracks AS (SELECT track_id, transform(array_sort(collect_list(struct(frame_idx, bin))), x -> x.bin) AS bins FROM frames GROUP BY track_id)
+        SELECT track_id, round(dtw_cost(q, bins), 6) AS cost, CAST(size(decode_contour(pitch_track)) AS BIGINT) AS frames
+        FROM (SELECT *, (SELECT slice(bins, 1, {QUERY_FRAMES}) FROM tracks WHERE track_id = 0) AS q FROM tracks) JOIN humsearch_packed USING (track_id)
         WHERE q IS NOT NULL""")
 
 
