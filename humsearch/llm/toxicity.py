@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -56,56 +57,104 @@ def terms(word: str) -> tuple[str, ...]:
     return (f"word={w}", *[f"start{k}={w[:k]}" for k in (4, 5, 6) if len(w) >= k], *([f"end4={w[-4:]}"] if len(w) >= 6 else []))
 
 
+@dataclass(frozen=True)
+class _Word:
+    """What a word as it stands says by itself: votes, buckets of its lexicon entries,
+    and whether it is shouted, written in capitals, or a second person."""
+
+    bits: int
+    buckets: tuple[int, ...]
+    plain: str
+    shouted: bool
+    capital: bool
+    second: bool
+
+
+_LEXICAL = sum(_BIT[v] for v in LEXICONS)
+
+
 class _Found(dict):
-    """Word as it stands -> (votes of its lexicon entries, their buckets)."""
+    """Word as it stands -> _Word."""
 
     def __init__(self, lexicon: dict[str, bool]):
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> tuple[int, tuple[int, ...]]:
-        bits, buckets = 0, []
+    def __missing__(self, word: str) -> _Word:
+        bits, buckets, plain = 0, [], word.lower().strip(_MARKS)
         for t in terms(word):
             precise = self.lexicon.get(t)
             if precise is not None:
                 kind = t.partition("=")[0]
                 bits |= _BIT["fair_word" if kind == "word" and not precise else kind]
                 buckets.append(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) & (BUCKETS - 1))
-        if word.lower().strip(_MARKS) in SEED:
+        if plain in SEED:
             bits |= _BIT["seed"]
-        out = (bits, tuple(buckets))
+        # letters that are masked or drawn out stand within one word
+        bits |= _BIT["masked"] * bool(_MASKED.search(word)) | _BIT["drawn_out"] * bool(_DRAWN.search(word))
+        out = _Word(bits, tuple(buckets), plain, word.isupper() or "!" in word, len(word) > 1 and word.isupper(), plain in SECOND)
         if len(self) < 250_000:
             self[word] = out
         return out
 
 
-def read(text: str | None, found: _Found) -> tuple[int, list[int]]:
-    """(votes as bits, buckets of the entries found) of one whole text; null counts as empty."""
-    text = text or ""
-    words = text.split()
-    if not words:
-        return 0, []
-    distinct = set(words)
-    bits, buckets, holders = 0, set(), set()
-    for w in distinct:
-        votes, places = found[w]
-        if votes:
-            bits |= votes
-            buckets.update(places)
-            holders.add(w)
-    if holders:
-        bits |= _BIT["two_entries"] * (len({w.lower().strip(_MARKS) for w in holders}) >= 2)
-        at = [k for k, w in enumerate(words) if w in holders]
-        bits |= _BIT["dense"] * (50 * len(at) >= len(words))
-        bits |= _BIT["shouted_entry"] * any(w.isupper() or "!" in w for w in holders)
-        bits |= _BIT["entry_near_you"] * any(w.lower().strip(_MARKS) in SECOND for k in at for w in words[max(0, k - 3) : k + 4])
-    bits |= _BIT["exclaiming"] * (50 * text.count("!") >= len(words) and "!" in text)
-    loud = {w for w in distinct if len(w) > 1 and w.isupper()}
-    bits |= _BIT["shouting"] * (bool(loud) and 10 * sum(1 for w in words if w in loud) >= len(words))
-    bits |= _BIT["masked"] * bool(_MASKED.search(text))
-    bits |= _BIT["drawn_out"] * bool(_DRAWN.search(text))
-    bits |= _BIT["address"] * (20 * sum(1 for w in words if w.lower().strip(_MARKS) in SECOND) >= len(words))
-    return bits, sorted(buckets)
+#: Characters that are worked on at a time, unless one text has more.
+PIECE_CHARS = 1_000_000
+
+
+def read(texts: pa.Array, found: _Found) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
+    """(votes as bits, buckets of the entries found) of whole texts, null as empty, for
+    pieces of bounded length or of one text. A piece's distinct words are looked at
+    once; the rest are sums over the words' numbers."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + PIECE_CHARS, side="right")))
+        yield _read_piece(texts.slice(at, to - at), found)
+        at = to
+
+
+def _read_piece(texts: pa.Array, found: _Found) -> tuple[np.ndarray, list[list[int]]]:
+    n = len(texts)
+    lists = pc.utf8_split_whitespace(texts)
+    coded = pc.dictionary_encode(lists.flatten())
+    raw = coded.dictionary.to_pylist()
+    known = [found[w] for w in raw]
+    word, doc = np.asarray(coded.indices), np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
+    real = np.array([bool(w) for w in raw], bool)[word]
+    word, doc = word[real], doc[real]
+    of = lambda name, kind: np.array([getattr(k, name) for k in known], kind)[word]
+    word_bits, second, capital, shouted = of("bits", np.int64), of("second", bool), of("capital", bool), of("shouted", bool)
+    entry = (word_bits & _LEXICAL) != 0
+    size = np.bincount(doc, minlength=n)
+    count = lambda mask: np.bincount(doc[mask], minlength=n)
+    votes = np.zeros(n, np.int64)
+    np.bitwise_or.at(votes, doc, word_bits)
+    entries, loud, yours = count(entry), count(capital), count(second)
+    marks = np.asarray(pc.count_substring(texts, "!"))
+    near = np.zeros(n, bool)
+    for apart in range(4):
+        a, b = slice(0, len(doc) - apart), slice(apart, len(doc))
+        both = ((entry[a] & second[b]) | (second[a] & entry[b])) & (doc[a] == doc[b])
+        near[doc[a][both]] = True
+    buckets: list[set[int]] = [set() for _ in range(n)]
+    plain: list[set[str]] = [set() for _ in range(n)]
+    for d, w in np.unique(np.stack([doc[entry], word[entry]], 1), axis=0).tolist():
+        buckets[d].update(known[w].buckets)
+        plain[d].add(known[w].plain)
+    some = size > 0
+    for name, on in (
+        ("two_entries", np.array([len(p) >= 2 for p in plain], bool)),
+        ("dense", (entries > 0) & (50 * entries >= size)),
+        ("shouted_entry", count(entry & shouted) > 0),
+        ("entry_near_you", near),
+        ("exclaiming", some & (marks > 0) & (50 * marks >= size)),
+        ("shouting", (loud > 0) & (10 * loud >= size)),
+        ("address", (yours > 0) & (20 * yours >= size)),
+    ):
+        votes |= np.where(on, _BIT[name], 0)
+    return votes, [sorted(b) for b in buckets]
 
 
 def mine_lexicon(rows: DataFrame) -> dict[str, bool]:
@@ -268,8 +317,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Found(lexicon)
         for batch in batches:
-            got = [read(t, found) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([b for b, _ in got], pa.int32()), pa.array([b for _, b in got], pa.list_(pa.int32()))], ["doc_id", "bits", "buckets"])
+            at = 0
+            for bits, buckets in read(batch.column(1), found):
+                yield pa.record_batch([batch.column(0).slice(at, len(bits)), pa.array(bits, pa.int32()), pa.array(buckets, pa.list_(pa.int32()))], ["doc_id", "bits", "buckets"])
+                at += len(bits)
 
     votes = keep(text.mapInArrow(run, "doc_id long, bits int, buckets array<int>"), "votes")
     labelled = votes.select("doc_id", "bits").join(known, "doc_id", "left")

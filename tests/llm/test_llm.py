@@ -272,14 +272,37 @@ def test_label_model_finds_rates_and_dependences():
     assert toxicity.label_model({(0, None): 5}, 0.1).posterior(np.zeros((1, len(toxicity.VOTERS))))[0] < 0.5
 
 
+def plain_read(text, found):
+    """Votes and buckets of one text, word by word."""
+    words = (text or "").split()
+    bit, plain = toxicity._BIT, lambda w: w.lower().strip(toxicity._MARKS)
+    bits, held = 0, [k for k, w in enumerate(words) if found[w].bits & toxicity._LEXICAL]
+    for w in words:
+        bits |= found[w].bits
+    if not words:
+        return 0, []
+    loud = [w for w in words if len(w) > 1 and w.isupper()]
+    yours = [w for w in words if plain(w) in toxicity.SECOND]
+    bits |= bit["two_entries"] * (len({plain(words[k]) for k in held}) >= 2) | bit["dense"] * (bool(held) and 50 * len(held) >= len(words))
+    bits |= bit["shouted_entry"] * any(words[k].isupper() or "!" in words[k] for k in held)
+    bits |= bit["entry_near_you"] * any(plain(w) in toxicity.SECOND for k in held for w in words[max(0, k - 3) : k + 4])
+    bits |= bit["exclaiming"] * ("!" in text and 50 * text.count("!") >= len(words)) | bit["shouting"] * (bool(loud) and 10 * len(loud) >= len(words))
+    bits |= bit["address"] * (bool(yours) and 20 * len(yours) >= len(words))
+    return bits, sorted({b for k in held for b in found[words[k]].buckets})
+
+
 def test_votes():
     found = toxicity._Found({"word=zorgle": True, "start4=quax": False, "word=dull": False})
-    voted = lambda text: {v for v in toxicity.VOTERS if toxicity.read(text, found)[0] & toxicity._BIT[v]}
+    read = lambda texts: [x for part in toxicity.read(pa.array(texts, pa.string()), found) for x in zip(*part, strict=True)]
+    voted = lambda text: {v for v in toxicity.VOTERS if read([text])[0][0] & toxicity._BIT[v]}
     assert voted(None) == voted("") == voted("plain words") == set()
     assert voted("plain " * 100 + "Zorgle,") == {"word"}
     assert voted("plain " * 200 + "you ZORGLE quaxing") == {"word", "start4", "two_entries", "shouted_entry", "entry_near_you"}
     assert voted("dull " + "plain " * 100) == {"fair_word"}
     assert voted("soooo what") == {"drawn_out"} and voted("an i**ot here") == {"masked"}
+    rng = np.random.default_rng(15)
+    texts = [None, "", " "] + [" ".join(rng.choice(["you", "Zorgle", "quaxed!", "dull", "IDIOT", "x", "yyy", "f*x", "word", "TO!"], int(rng.integers(0, 30)))) for _ in range(200)]
+    assert [(int(b), k) for b, k in read(texts)] == [plain_read(t, found) for t in texts]
     assert voted("WHAT now") == {"shouting"} and voted("now!") == {"exclaiming"} and voted("you there") == {"address"}
 
 
