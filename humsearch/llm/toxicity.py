@@ -6,12 +6,12 @@
    second person), some at the text alone (exclaiming, shouting, masked letters,
    drawn-out letters, address). A voter votes toxic or abstains.
 2. A generative label model says how votes come about: within either class a voter
-   has a rate, and it depends on one other voter, the tree of which is chosen by
-   mutual information (Chow and Liu). EM estimates class share, rates and the
+   has a rate, and it depends on one other voter, in a tree that is chosen for the
+   class by mutual information (Chow and Liu). EM estimates class share, rates and the
    dependences from how the voters vote together on all documents; documents
    that may be learned from count with their label. Sixteen voters have at most
    2 ** 16 vote patterns, so their counts are all that the driver sees.
-3. The posterior of each document is the soft label for a logistic classifier over
+3. The posterior of each document (its label, where that may be learned from) is the soft label for a logistic classifier over
    the lexicons' entries found in a text and the votes, which gives the scores.
 """
 
@@ -195,37 +195,36 @@ def mine_lexicon(rows: DataFrame) -> dict[str, bool]:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """How votes come about in classes 0 and 1: class share, each voter's parent (-1: none),
-    and its rate by class and by the parent's vote."""
+    """How votes come about in classes 0 and 1: class share, each voter's parent by
+    class (-1: none), and its rate by class and by the parent's vote."""
 
     share: np.ndarray
-    parent: np.ndarray
+    parent: np.ndarray  # class x voter
     rate: np.ndarray  # class x parent's vote x voter
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """Probability of class 1 for rows of votes."""
-        of = np.where(self.parent >= 0, votes[:, np.maximum(self.parent, 0)], 0).astype(int)
         logs = []
         for c in (0, 1):
+            of = np.where(self.parent[c] >= 0, votes[:, np.maximum(self.parent[c], 0)], 0).astype(int)
             rate = self.rate[c][of, np.arange(votes.shape[1])]
             logs.append(np.log(self.share[c]) + np.where(votes > 0, np.log(rate), np.log(1 - rate)).sum(1))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
 
 
-def dependences(votes: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
-    """Each voter's parent in the tree of greatest mutual information given the class."""
+def dependences(votes: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Each voter's parent in the tree of greatest mutual information, for rows of votes with weights."""
     k = votes.shape[1]
     gain = np.zeros((k, k))
-    for w in weights:
-        total = w.sum() + 4
-        both = (votes * w[:, None]).T @ votes + 1
-        one = w @ votes + 2
-        for a in (0, 1):
-            for b in (0, 1):
-                joint = {(1, 1): both, (1, 0): one[:, None] - both, (0, 1): one[None, :] - both, (0, 0): total - one[:, None] - one[None, :] + both}[a, b]
-                left, right = (one if a else total - one)[:, None], (one if b else total - one)[None, :]
-                joint = np.maximum(joint, 1e-9)
-                gain += joint * np.log(joint * total / (left * right))
+    total = w.sum() + 4
+    both = (votes * w[:, None]).T @ votes + 1
+    one = w @ votes + 2
+    for a in (0, 1):
+        for b in (0, 1):
+            joint = {(1, 1): both, (1, 0): one[:, None] - both, (0, 1): one[None, :] - both, (0, 0): total - one[:, None] - one[None, :] + both}[a, b]
+            left, right = (one if a else total - one)[:, None], (one if b else total - one)[None, :]
+            joint = np.maximum(joint, 1e-9)
+            gain += joint * np.log(joint * total / (left * right))
     parent, best, todo = np.full(k, -1), np.full(k, -np.inf), set(range(1, k))
     last, by = 0, np.full(k, -1)
     while todo:
@@ -251,14 +250,14 @@ def label_model(patterns: dict[tuple[int, int | None], int], prior: float, n_vot
     p = np.where(np.isnan(known), np.where(votes[:, :leading].any(1), 0.9, min(prior, 0.05)), known)
     for _ in range(rounds):
         weights = [n * (1 - p), n * p]
-        parent = dependences(votes, weights)
+        parent = np.array([dependences(votes, w) for w in weights])
         rate = np.zeros((2, 2, n_voters))
         for c, w in enumerate(weights):
             # a rate is drawn towards the voter's own, by as much as one row counts
             own = (w @ votes + 0.1) / (w.sum() + 0.5)
             rate[c] = own
-            for v in np.flatnonzero(parent >= 0):
-                of = votes[:, parent[v]]
+            for v in np.flatnonzero(parent[c] >= 0):
+                of = votes[:, parent[c, v]]
                 for b in (0, 1):
                     at = w * (of == b)
                     rate[c, b, v] = (at @ votes[:, v] + own[v]) / (at.sum() + 1)
@@ -330,11 +329,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     may = votes.where(learns())
     sizes = may.agg(F.count(F.when(F.col("bits") != 0, 1)).alias("some"), F.count(F.when(F.col("bits") == 0, 1)).alias("none")).first()
     part = min(1.0, sample_rows / max(1, sizes["some"]))
-    taken = may.where((F.col("bits") != 0) & drawn(sizes["some"], 2)).groupBy("bits", "buckets").count().collect()
+    taken = may.where((F.col("bits") != 0) & drawn(sizes["some"], 2)).join(known, "doc_id", "left").groupBy("bits", "buckets", "label").count().collect()
     bits = np.array([r["bits"] for r in taken] + [0], int)
     design = _design([r["buckets"] for r in taken] + [[]], bits)
     n = np.array([r["count"] for r in taken] + [max(1, sizes["none"]) * part], float)
     soft = model.posterior(((bits[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)) if model else np.full(len(bits), prior)
+    # where a row's label is known, that is its posterior
+    soft = np.array([p if r is None or r["label"] is None else r["label"] for p, r in zip(soft, [*taken, None], strict=True)])
     weights = fit_linear(design, soft, n)
 
     @F.pandas_udf(T.DoubleType())
