@@ -23,6 +23,8 @@ from .common import keep
 #: Rows of a shard: at least, so that small tables make few shards, and at most, for memory.
 LEAST_ROWS, MOST_ROWS = 4_096, 500_000
 QUERY_BLOCK = 512
+#: Links of a node, and how far a search goes in a shard of LEAST_ROWS rows; in larger
+#: ones by the cube root of their number farther, which keeps recall.
 LINKS, EFFORT = 16, 160
 #: Points that are inserted together, at most, and how far each one searches.
 INSERT_BLOCK, INSERT_EFFORT = 1024, 64
@@ -171,9 +173,10 @@ def _search_layers(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q
     return out[::-1]
 
 
-def search_graph(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, k: int, effort: int = EFFORT, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def search_graph(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, k: int, effort: int | None = None, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows, exact distances) of the k nearest found for every query, -1 and inf
     beyond. Of equally near rows those with the smaller ``least`` come first."""
+    effort = effort or int(EFFORT * max(1.0, (len(x) / LEAST_ROWS) ** (1 / 3)))
     ids, dist = _search_layers(x, layers, q, effort, int(layers[-1][0][0]))[0]
     dist = np.sqrt(dist)
     if least is not None:
