@@ -57,45 +57,49 @@ def terms(word: str) -> tuple[str, ...]:
     return (f"word={w}", *[f"start{k}={w[:k]}" for k in (4, 5, 6) if len(w) >= k], *([f"end4={w[-4:]}"] if len(w) >= 6 else []))
 
 
-@dataclass(frozen=True)
-class _Word:
-    """What a word as it stands says by itself: votes, buckets of its lexicon entries,
-    and whether it is shouted, written in capitals, or a second person."""
-
-    bits: int
-    buckets: tuple[int, ...]
-    plain: str
-    shouted: bool
-    capital: bool
-    second: bool
-
-
 _LEXICAL = sum(_BIT[v] for v in LEXICONS)
+#: What a word is, beside its votes: shouted, in capitals, a second person.
+_SHOUTED, _CAPITAL, _SECOND = (1 << len(VOTERS) + k for k in range(3))
 
 
 class _Found(dict):
-    """Word as it stands -> _Word."""
+    """Word as it stands -> its votes, and whether it is shouted, in capitals or a second
+    person, as bits. ``entries`` has the plain form and the buckets of words with lexicon entries."""
 
     def __init__(self, lexicon: dict[str, bool]):
         super().__init__()
-        self.lexicon = lexicon
-
-    def __missing__(self, word: str) -> _Word:
-        bits, buckets, plain = 0, [], word.lower().strip(_MARKS)
-        for t in terms(word):
-            precise = self.lexicon.get(t)
-            if precise is not None:
-                kind = t.partition("=")[0]
-                bits |= _BIT["fair_word" if kind == "word" and not precise else kind]
-                buckets.append(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) & (BUCKETS - 1))
+        self.entries: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.kinds: dict[str, dict[str, bool]] = {k: {} for k in ("word", "start4", "start5", "start6", "end4")}
+        for term, precise in lexicon.items():
+            kind, _, rest = term.partition("=")
+            self.kinds[kind][rest] = precise
+
+    def __missing__(self, word: str) -> int:
+        plain, bits, held = word.lower().strip(_MARKS), 0, []
+        n, kinds = len(plain), self.kinds
+        for kind, part in (("word", plain), ("start4", plain[:4]), ("start5", plain[:5]), ("start6", plain[:6]), ("end4", plain[-4:])):
+            # a beginning or ending counts in words that are long enough for it, as in ``terms``
+            if part in kinds[kind] and (kind == "word" or n >= (6 if kind == "end4" else int(kind[-1]))):
+                bits |= _BIT["fair_word" if kind == "word" and not kinds[kind][part] else kind]
+                held.append(xxhash.xxh3_64_intdigest(f"{kind}={part}".encode("utf-8", "surrogatepass")) & (BUCKETS - 1))
         if plain in SEED:
             bits |= _BIT["seed"]
+        if bits:
+            self.entries[word] = (plain, tuple(held))
         # letters that are masked or drawn out stand within one word
-        bits |= _BIT["masked"] * bool(_MASKED.search(word)) | _BIT["drawn_out"] * bool(_DRAWN.search(word))
-        out = _Word(bits, tuple(buckets), plain, word.isupper() or "!" in word, len(word) > 1 and word.isupper(), plain in SECOND)
+        if not word.isalpha() and _MASKED.search(word):
+            bits |= _BIT["masked"]
+        if _DRAWN.search(word):
+            bits |= _BIT["drawn_out"]
+        if plain in SECOND:
+            bits |= _SECOND
+        if word.isupper():
+            bits |= _SHOUTED | (_CAPITAL if len(word) > 1 else 0)
+        elif "!" in word:
+            bits |= _SHOUTED
         if len(self) < 250_000:
-            self[word] = out
-        return out
+            self[word] = bits
+        return bits
 
 
 #: Characters that are worked on at a time, unless one text has more.
@@ -120,17 +124,17 @@ def _read_piece(texts: pa.Array, found: _Found) -> tuple[np.ndarray, list[list[i
     lists = pc.utf8_split_whitespace(texts)
     coded = pc.dictionary_encode(lists.flatten())
     raw = coded.dictionary.to_pylist()
-    known = [found[w] for w in raw]
+    known = np.fromiter(map(found.__getitem__, raw), np.int64, len(raw))
     word, doc = np.asarray(coded.indices), np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
-    real = np.array([bool(w) for w in raw], bool)[word]
+    real = np.asarray(pc.not_equal(coded.dictionary, ""))[word]
     word, doc = word[real], doc[real]
-    of = lambda name, kind: np.array([getattr(k, name) for k in known], kind)[word]
-    word_bits, second, capital, shouted = of("bits", np.int64), of("second", bool), of("capital", bool), of("shouted", bool)
-    entry = (word_bits & _LEXICAL) != 0
+    bits = known[word]
+    entry, second, capital, shouted = ((bits & mask) != 0 for mask in (_LEXICAL, _SECOND, _CAPITAL, _SHOUTED))
     size = np.bincount(doc, minlength=n)
     count = lambda mask: np.bincount(doc[mask], minlength=n)
     votes = np.zeros(n, np.int64)
-    np.bitwise_or.at(votes, doc, word_bits)
+    voted = bits & ((1 << len(VOTERS)) - 1)
+    np.bitwise_or.at(votes, doc[voted != 0], voted[voted != 0])
     entries, loud, yours = count(entry), count(capital), count(second)
     marks = np.asarray(pc.count_substring(texts, "!"))
     near = np.zeros(n, bool)
@@ -141,8 +145,9 @@ def _read_piece(texts: pa.Array, found: _Found) -> tuple[np.ndarray, list[list[i
     buckets: list[set[int]] = [set() for _ in range(n)]
     plain: list[set[str]] = [set() for _ in range(n)]
     for d, w in np.unique(np.stack([doc[entry], word[entry]], 1), axis=0).tolist():
-        buckets[d].update(known[w].buckets)
-        plain[d].add(known[w].plain)
+        form, places = found.entries[raw[w]]
+        buckets[d].update(places)
+        plain[d].add(form)
     some = size > 0
     for name, on in (
         ("two_entries", np.array([len(p) >= 2 for p in plain], bool)),
@@ -154,6 +159,9 @@ def _read_piece(texts: pa.Array, found: _Found) -> tuple[np.ndarray, list[list[i
         ("address", (yours > 0) & (20 * yours >= size)),
     ):
         votes |= np.where(on, _BIT[name], 0)
+    if len(found.entries) > 250_000:
+        found.clear()
+        found.entries.clear()
     return votes, [sorted(b) for b in buckets]
 
 

@@ -276,9 +276,9 @@ def plain_read(text, found):
     """Votes and buckets of one text, word by word."""
     words = (text or "").split()
     bit, plain = toxicity._BIT, lambda w: w.lower().strip(toxicity._MARKS)
-    bits, held = 0, [k for k, w in enumerate(words) if found[w].bits & toxicity._LEXICAL]
+    bits, held = 0, [k for k, w in enumerate(words) if found[w] & toxicity._LEXICAL]
     for w in words:
-        bits |= found[w].bits
+        bits |= found[w] & ((1 << len(toxicity.VOTERS)) - 1)
     if not words:
         return 0, []
     loud = [w for w in words if len(w) > 1 and w.isupper()]
@@ -288,7 +288,7 @@ def plain_read(text, found):
     bits |= bit["entry_near_you"] * any(plain(w) in toxicity.SECOND for k in held for w in words[max(0, k - 3) : k + 4])
     bits |= bit["exclaiming"] * ("!" in text and 50 * text.count("!") >= len(words)) | bit["shouting"] * (bool(loud) and 10 * len(loud) >= len(words))
     bits |= bit["address"] * (bool(yours) and 20 * len(yours) >= len(words))
-    return bits, sorted({b for k in held for b in found[words[k]].buckets})
+    return bits, sorted({b for k in held for b in found.entries[words[k]][1]})
 
 
 def test_votes():
