@@ -78,6 +78,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .archives import archived
+
+    return archived(_table(spark, sf_dir, "pages"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import digest, infill
+
+    return digest(infill(_table(spark, sf_dir, "documents")))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,7 +129,7 @@ def personal_data_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> function of (spark, sf_dir), for __spark_entry__."""
-    names = ("op1_chat", "op2_neighbours", "op3_quality", "op4_urls", "op5_toxicity", "op6_decontaminate", "op7_mixing", "op8_personal_data", "op9_tokens", "op10_near_duplicates", "pipeline", "mix_targets", "url_rules", "personal_data_spans")
+    names = ("op1_chat", "op2_neighbours", "op3_quality", "op4_urls", "op5_toxicity", "op6_decontaminate", "op7_mixing", "op8_personal_data", "op9_tokens", "op10_near_duplicates", "op11_archives", "op12_infill", "op13_divergence", "pipeline", "mix_targets", "url_rules", "personal_data_spans")
     return {name: globals()[name] for name in names}
 
 
@@ -179,6 +197,37 @@ class AS (SELECT reach.id, min(t.least) AS class_id FROM reach JOIN t ON t.id =
 SELECT doc_id, class_id, doc_id = class_id AS kept FROM d JOIN t USING (text) JOIN class USING (id)"""
 
 
+_ARCHIVES = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+r AS (SELECT *, row_number() OVER w AS r, first_value(page_id) OVER w AS largest FROM d WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND r > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND r > 1 THEN largest END AS refers_to FROM r"""
+
+_INFILL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS sha FROM documents),
+h AS (SELECT *, len(w) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(sha, CAST(1 + 8 * k AS BIGINT), 8) AS BIGINT)) AS h FROM t),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:n], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM s"""
+
+_DIVERGENCE = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+t AS (SELECT lang, source, r, term, count(*) AS c FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(c) AS BIGINT) AS total FROM t GROUP BY ALL HAVING count(*) >= 3),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS m FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(sum(c) AS BIGINT) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, CAST(sum(c) AS BIGINT) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (coalesce(n.n, 0) + v) AS p, 1 + (1000000000 * (total + 1)) // (m + v) AS q
+  FROM g JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+summed AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express; the others are tested by brute force."""
-    return {"op1_chat": _CHAT, "op10_near_duplicates": _NEAR, "mix_targets": _TARGETS, "url_rules": _URLS, "personal_data_spans": _personal_sql()}
+    return {"op1_chat": _CHAT, "op10_near_duplicates": _NEAR, "mix_targets": _TARGETS, "url_rules": _URLS, "personal_data_spans": _personal_sql(), "op11_archives": _ARCHIVES, "op12_infill": _INFILL, "op13_divergence": _DIVERGENCE}
