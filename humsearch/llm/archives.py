@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir
+from .common import discard, keep, shared_dir
 
 #: A payload of at least so many bytes that another record has too is written once.
 LEAST_SHARED = 1000
@@ -295,8 +295,11 @@ def revisits(facts: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
 
 
 def write_warc(archives: DataFrame, path: str, least: int = LEAST_SHARED) -> None:
-    """Convert ARC files (path, content) to gzipped WARC files under ``path``."""
-    again = revisits(parse_arc(archives, blocks=False), least)
+    """Convert ARC files (path, content) to gzipped WARC files under ``path``. The archives are
+    read twice, so they must be the same each time, as files are."""
+    facts = parse_arc(archives, blocks=False).where(F.col("payload_bytes") >= least)
+    facts = keep(facts.select("page_id", "archive", "offset", "url", "date", "payload_digest", "payload_bytes"), "facts")
+    again = revisits(facts, least)
     records = parse_arc(archives).drop("page_id", "payload_bytes").join(again, ["archive", "offset"], "left")
     order = ("archive", "offset", "url", "ip", "date", "mime", "kind", "block", "payload_digest", "of")
 
@@ -330,6 +333,7 @@ def write_warc(archives: DataFrame, path: str, least: int = LEAST_SHARED) -> Non
 
     runs = records.select(*order).mapInArrow(run, "run binary").select(F.col("run").cast("string").alias("value"))
     runs.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RUNS_PER_FILE).text(path)
+    discard(facts)
 
 
 # --- reading WARC
