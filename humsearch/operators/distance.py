@@ -9,10 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
-def _each(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    return lambda x, y: f(x[:, None, :], y[None, :, :])
-
-
 def _ratio(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         return top / bottom
@@ -27,28 +23,48 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - _ratio((a * b).sum(-1), np.sqrt((a * a).sum(-1) * (b * b).sum(-1)))
 
 
-METRICS = {
-    "euclidean": _each(lambda a, b: np.sqrt(((a - b) ** 2).sum(-1))),
-    "sqeuclidean": _each(lambda a, b: ((a - b) ** 2).sum(-1)),
-    "cityblock": _each(lambda a, b: np.abs(a - b).sum(-1)),
-    "chebyshev": _each(lambda a, b: np.abs(a - b).max(-1)),
-    "minkowski": _each(lambda a, b: np.sqrt(((a - b) ** 2).sum(-1))),
-    "canberra": _each(_canberra),
-    "braycurtis": _each(lambda a, b: _ratio(np.abs(a - b).sum(-1), np.abs(a + b).sum(-1))),
-    "hamming": _each(lambda a, b: (a != b).mean(-1)),
-    "cosine": _each(_cosine),
-    "correlation": lambda x, y: _each(_cosine)(x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)),
+def _centred(x: np.ndarray) -> np.ndarray:
+    return x - x.mean(-1, keepdims=True)
+
+
+#: Distances along the last axis; those of ``correlation`` are between rows that ``prepared`` has centred.
+_ALONG = {
+    "euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum(-1)),
+    "sqeuclidean": lambda a, b: ((a - b) ** 2).sum(-1),
+    "cityblock": lambda a, b: np.abs(a - b).sum(-1),
+    "chebyshev": lambda a, b: np.abs(a - b).max(-1),
+    "minkowski": lambda a, b: np.sqrt(((a - b) ** 2).sum(-1)),
+    "canberra": _canberra,
+    "braycurtis": lambda a, b: _ratio(np.abs(a - b).sum(-1), np.abs(a + b).sum(-1)),
+    "hamming": lambda a, b: (a != b).mean(-1),
+    "cosine": _cosine,
+    "correlation": _cosine,
 }
 
 
+def rowwise(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The distance of rows that stand at the same place, of ``prepared`` arrays."""
+    if metric not in _ALONG:
+        raise ValueError(f"unknown metric {metric!r}")
+    return _ALONG[metric]
+
+
+def prepared(x: np.ndarray, metric: str) -> np.ndarray:
+    """Rows as ``rowwise`` wants them."""
+    return _centred(x) if metric == "correlation" else x
+
+
+METRICS = tuple(_ALONG)
+
+
 def pairwise(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     """Distances of all rows of x to all of y."""
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}")
-    return METRICS[metric](np.asarray(x, float), np.asarray(y, float))
+    of = rowwise(metric)
+    x, y = prepared(np.asarray(x, float), metric), prepared(np.asarray(y, float), metric)
+    return of(x[:, None, :], y[None, :, :])
 
 
-def distances(vectors: DataFrame, queries: DataFrame, metrics: Sequence[str] = tuple(METRICS)) -> DataFrame:
+def distances(vectors: DataFrame, queries: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """(query_id, vec_id, metric, distance) of all vectors (vec_id, v) to all queries (query_id, v).
 
     A block of queries goes with the function and meets every vector in place;

@@ -142,40 +142,93 @@ def align(x: np.ndarray | None = None, y: np.ndarray | None = None, *, cost: np.
     return Alignment(total, np.maximum(steps, 0), path)
 
 
+def _path_array(paths: list[np.ndarray]) -> pa.Array:
+    """Paths as lists of (i, j), from flat columns."""
+    flat = np.concatenate([np.zeros((0, 2), int), *paths]).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["i", "j"]))
+
+
+def _matrix_array(matrices: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Matrices as lists of rows, from flat values."""
+    flat = np.concatenate([np.zeros(0), *(m.ravel() for m in matrices)])
+    rows = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, int), *(np.full(m.shape[0], m.shape[1]) for m in matrices)]))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(rows), pa.array(flat, kind))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([m.shape[0] for m in matrices])]).astype(np.int32)), lists)
+
+
+def _finite(costs: np.ndarray) -> pa.Array:
+    return pa.array(costs, pa.float64(), mask=~np.isfinite(costs))
+
+
+def _matrix(value: pa.ListScalar) -> np.ndarray:
+    rows = value.values
+    return np.asarray(rows.flatten(), float).reshape(len(rows), -1)
+
+
 def align_pairs(pairs: DataFrame, warping: Warping = Warping(), x: str = "x", y: str = "y", cost: str | None = None, paths: bool = True, matrices: bool = False) -> DataFrame:
     """``pairs`` with ``cost`` (end of the alignment) and, where asked for, ``path``
     array<struct<i,j>> from the end, and the matrices ``total`` and ``steps`` by rows.
 
     ``x`` and ``y`` hold arrays of feature rows, or ``cost`` a cost matrix; all are
     array<array<double>>. Without a path from start to end ``paths`` is an error,
-    otherwise the cost is null. Each row is one task's work on its own; nothing is
-    shuffled.
+    otherwise the cost is null. Rows are worked on where they are, in memory that is
+    linear in the lengths unless ``matrices`` are wanted; ``align_all`` deals pairs by work.
     """
+    from .diagonals import solve
+
     made = {"cost": "double"} | ({"path": "array<struct<i:int,j:int>>"} if paths else {}) | ({"total": "array<array<double>>", "steps": "array<array<int>>"} if matrices else {})
-    kinds = {"cost": pa.float64(), "path": pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])), "total": pa.list_(pa.list_(pa.float64())), "steps": pa.list_(pa.list_(pa.int32()))}
     sides = [cost] if cost else [x, y]
     others = [c for c in pairs.columns if c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in made}
-            for given in zip(*(batch.column(c).to_pylist() for c in sides), strict=True):
-                of = {"cost": np.array(given[0])} if cost else dict(zip("xy", map(np.array, given), strict=True))
-                got = align(**of, warping=warping, backtrack=paths)
-                end = float(got.cost[-1].min() if warping.subsequence else got.cost[-1, -1])
-                out["cost"].append(end if np.isfinite(end) else None)
-                if paths:
-                    out["path"].append([{"i": int(i), "j": int(j)} for i, j in got.path])
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                given = [[_matrix(v) for v in piece.column(c)] for c in sides]
                 if matrices:
-                    out["total"].append(got.cost.tolist())
-                    out["steps"].append(got.steps.tolist())
-            yield pa.record_batch([batch.column(c) for c in others] + [pa.array(out[k], kinds[k]) for k in made], [*others, *made])
+                    got = [align(**({"cost": g[0]} if cost else dict(zip("xy", g, strict=True))), warping=warping, backtrack=paths) for g in zip(*given, strict=True)]
+                    costs = np.array([g.cost[-1].min() if warping.subsequence else g.cost[-1, -1] for g in got], float)
+                    ways = [g.path for g in got]
+                else:
+                    # frames x features
+                    costs, ways = solve(costs=given[0], warping=warping, paths=paths) if cost else solve([(a.T, b.T) for a, b in zip(*given, strict=True)], warping=warping, paths=paths)
+                out = [_finite(costs)] + ([_path_array(ways)] if paths else [])
+                if matrices:
+                    out += [_matrix_array([g.cost for g in got], pa.float64()), _matrix_array([g.steps for g in got], pa.int32())]
+                yield pa.record_batch([piece.column(c) for c in others] + out, [*others, *made])
 
     # a column that is named like a result gives way to it
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name in others] + [f"{k} {v}" for k, v in made.items()])
     return pairs.mapInArrow(run, schema)
 
 
+def align_all(queries: DataFrame, tracks: DataFrame, warping: Warping = Warping(), paths: bool = False, features: int = 1, parts: int | None = None) -> DataFrame:
+    """(query_id, track_id, cost[, path]) of every query (query_id, x) with every track
+    (track_id, y); x and y are flat arrays of ``features`` numbers a frame.
+
+    Pairs are dealt to tasks by their work. A cost is null where no path leads from
+    start to end, which is an error if ``paths`` are wanted.
+    """
+    from .diagonals import solve
+    from .pairing import Tile, paired
+
+    def work(tiles: Iterator[Tile]) -> Iterator[pa.RecordBatch]:
+        for t in tiles:
+            xs, ys = ([v.astype(float).reshape(-1, features) for v in side] for side in (t.xs, t.ys))
+            q, k = np.nonzero(t.due)
+            # some pairs at a time, so that their paths have a bound too
+            ends = np.cumsum([len(xs[a]) + len(ys[b]) for a, b in zip(q.tolist(), k.tolist(), strict=True)])
+            for some in np.split(np.arange(len(q)), np.flatnonzero(np.diff(ends // 2_000_000)) + 1) if len(q) else []:
+                costs, ways = solve([(xs[a], ys[b]) for a, b in zip(q[some].tolist(), k[some].tolist(), strict=True)], warping=warping, paths=paths)
+                ids = [pa.array(np.array(of, np.int64)[at[some]]) for of, at in ((t.query_ids, q), (t.track_ids, k))]
+                yield pa.record_batch([*ids, _finite(costs), *([_path_array(ways)] if paths else [])], names)
+
+    schema = "query_id long, track_id long, cost double" + (", path array<struct<i:int,j:int>>" if paths else "")
+    names = ["query_id", "track_id", "cost", "path"][: 3 + paths]
+    return paired(queries, tracks, work, schema, parts)
+
+
 def subsequence_cost(query: np.ndarray, reference: np.ndarray, table: np.ndarray, shifts: np.ndarray) -> float:
     """Least normalised cost of a query of bins within a reference over all shifts.
 
@@ -197,3 +250,60 @@ def subsequence_cost(query: np.ndarray, reference: np.ndarray, table: np.ndarray
         s = np.cumsum(c, axis=1)
         total = s + np.minimum.accumulate(above + c - s, axis=1)
     return float(total[:, -total.shape[1] :].min() / min(len(query), len(reference)))
+
+
+#: Columns of all transpositions that ``subsequence_costs`` works on at once.
+_MOST_COLUMNS = 200_000
+
+
+def subsequence_costs(query: np.ndarray, references: list[np.ndarray], table: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """``subsequence_cost`` of a query with many references, those of like length together.
+
+    References are padded at the end, behind all that counts: a cell never looks at
+    later rows or columns.
+    """
+    n, out = len(table) - 1, np.empty(len(references))
+    order = sorted(range(len(references)), key=lambda k: len(references[k]))
+    at = 0
+    while at < len(order):
+        # the shorter side gives the rows, so both kinds go apart
+        long_ = len(references[order[at]]) >= len(query)
+        some, most = [], 0
+        for k in order[at:]:
+            size = len(references[k])
+            if (size >= len(query)) != long_ or (some and (len(some) + 1) * max(size if long_ else len(query), 1) * len(shifts) > _MOST_COLUMNS):
+                break
+            some.append(k)
+            most = max(most, size)
+        at += len(some)
+        sizes = np.array([len(references[k]) for k in some])
+        refs = np.full((len(some), most), n, int)
+        for row, k in zip(refs, some, strict=True):
+            row[: len(references[k])] = references[k]
+        # columns x references x shifts, so that a step goes over a whole plane
+        if long_:
+            kinds, at_row = np.unique(query, return_inverse=True)
+            turned = np.where(kinds[:, None] < n, (kinds[:, None] + shifts) % n, n)
+            costs = table[turned[:, None, None, :], refs.T[None, :, :, None]]
+        else:
+            turned = np.where(query[:, None] < n, (query[:, None] + shifts) % n, n)
+            costs = table[turned[:, None, :], np.arange(n + 1)[None, :, None]]
+        best, total = np.full((len(some), len(shifts)), np.inf), None
+        for i in range(len(query) if long_ else most):
+            c = costs[at_row[i]] if long_ else costs.take(refs[:, i], axis=1)
+            if total is None:
+                total = c
+            else:
+                came = total.copy()
+                np.minimum(total[1:], total[:-1], out=came[1:])
+                came[0] += c[0]
+                for j in range(1, len(came)):
+                    np.minimum(came[j], came[j - 1], out=came[j])
+                    came[j] += c[j]
+                total = came
+            if not long_ and (ends := sizes == i + 1).any():
+                best[ends] = total[:, ends].min(0)
+        if long_:
+            best = np.where(np.arange(most)[:, None, None] < sizes[None, :, None], total, np.inf).min(0)
+        out[some] = best.min(1) / np.minimum(sizes, len(query))
+    return out

@@ -294,7 +294,7 @@ def differences(framed: DataFrame, high: int) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 piece = batch.slice(at, 64)
                 d = difference(np.asarray(piece.column(2).flatten(), float).reshape(piece.num_rows, -1), high)
-                yield pa.record_batch([piece.column(0), piece.column(1), pa.array(d.tolist(), pa.list_(pa.float64()))], ["audio_id", "frame_idx", "differences"])
+                yield pa.record_batch([piece.column(0), piece.column(1), pa.ListArray.from_arrays(np.arange(0, d.size + 1, d.shape[1], dtype=np.int32), d.ravel())], ["audio_id", "frame_idx", "differences"])
 
     narrow = framed.select(F.col("audio_id").cast("long").alias("audio_id"), F.col("frame_idx").cast("int").alias("frame_idx"), F.col("frame").cast("array<double>").alias("frame"))
     return narrow.mapInArrow(run, "audio_id long, frame_idx int, differences array<double>")
@@ -351,6 +351,8 @@ def analysed(framed: DataFrame, settings: PitchSettings, detail: bool = False) -
 def decoded(seen: DataFrame, settings: PitchSettings, fill: float | None = None) -> DataFrame:
     """(audio_id, frame_idx, f0, voiced, voiced_prob) of analysed frames: the
     likeliest sequence of states of each recording, decoded in one task."""
+    from .decoding import pruned_viterbi
+
     s, n = settings, settings.n_bins()
     moves: dict[int, np.ndarray] = {}
 
@@ -364,7 +366,9 @@ def decoded(seen: DataFrame, settings: PitchSettings, fill: float | None = None)
         prob[n:] = (1 - voiced) / n
         for t, (a, b) in enumerate(zip(group.column("states").to_pylist(), group.column("probs").to_pylist(), strict=True)):
             prob[a, t] = np.minimum(b, 1)
-        states, _ = viterbi(prob, moves[sr])
+        # both give the same states; lists of predecessors are faster where there are few of them
+        few = np.count_nonzero(moves[sr]) < moves[sr].size / 8
+        states, _ = pruned_viterbi(prob, moves[sr]) if few else viterbi(prob, moves[sr])
         f0 = s.fmin * 2.0 ** ((states % n) / (12 * s.bins_per_semitone()))
         on = states < n
         return pa.table({"audio_id": group.column("audio_id"), "frame_idx": group.column("frame_idx"), "f0": pa.array([float(f) if v else fill for f, v in zip(f0, on, strict=True)], pa.float64()), "voiced": pa.array(on), "voiced_prob": pa.array(voiced)})
@@ -372,10 +376,25 @@ def decoded(seen: DataFrame, settings: PitchSettings, fill: float | None = None)
     return seen.select("audio_id", "sr", "frame_idx", "states", "probs", "voiced_prob").groupBy("audio_id").applyInArrow(decode, "audio_id long, frame_idx int, f0 double, voiced boolean, voiced_prob double")
 
 
-def pitch(audio: DataFrame, settings: PitchSettings = PitchSettings(), fill: float | None = None, mode: str = "FAILFAST") -> DataFrame:
+def decoded_in_blocks(seen: DataFrame, settings: PitchSettings, fill: float | None = None, block: int | None = None, ahead: int | None = None) -> DataFrame:
+    """``decoded`` for long recordings: blocks of ``block`` frames are decoded in parallel,
+    each from ``ahead`` frames before it, and joined where that is exact (see ``decoding``)."""
+    from . import decoding
+
+    s, n = settings, settings.n_bins()
+    moves = lambda sr: np.kron(loop_transition(2, 1 - s.switch_prob), local_transition(n, s.width(sr)))
+    states = decoding.decoded_states(seen, n, moves, block or decoding.BLOCK, ahead or decoding.AHEAD)
+    voiced = F.col("state") < n
+    f0 = s.fmin * F.pow(F.lit(2.0), (F.col("state") % n) / (12.0 * s.bins_per_semitone()))
+    return states.select("audio_id", "frame_idx", F.when(voiced, f0).otherwise(F.lit(fill).cast("double")).alias("f0"), voiced.alias("voiced"), "voiced_prob")
+
+
+def pitch(audio: DataFrame, settings: PitchSettings = PitchSettings(), fill: float | None = None, mode: str = "FAILFAST", block: int | None = None) -> DataFrame:
     """(audio_id, frame_idx, f0, voiced, voiced_prob) of audio (audio_id, sr, samples).
 
     f0 is ``fill`` where unvoiced. Rates that the settings don't allow raise an
     error, and so does audio that cannot be framed, unless ``mode`` is PERMISSIVE.
+    With ``block`` recordings are decoded in blocks of so many frames at once.
     """
-    return decoded(analysed(frames(audio, settings, mode), settings), settings, fill)
+    seen = analysed(frames(audio, settings, mode), settings)
+    return decoded_in_blocks(seen, settings, fill, block) if block else decoded(seen, settings, fill)

@@ -11,16 +11,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import pitch as P
-from ..operators.pyin import PitchSettings, analysed, decoded, frames, local_transition, loop_transition
+from ..operators.decoding import likeliest
+from ..operators.pyin import PitchSettings, analysed, decoded, decoded_in_blocks, frames, local_transition, loop_transition
 
 RATE, RECORDING, NOISE = 8000, 50, 0.2
 SETTINGS = PitchSettings(fmin=260.0, fmax=4000.0, frame_length=64, hop_length=64, resolution=1.0)
 #: Settings of transition matrices: window, width, whether it wraps around.
 WINDOWS = tuple((shape, width, wrap) for shape in ("triangle", "boxcar", "hann", "hamming") for width in (4, 5) for wrap in (False, True))
 STATES = 12
+#: Frames of a long recording, those of a block of it, and those before a block.
+LONG, BLOCK, AHEAD = 250, 64, 32
+#: The least probability of a transition that is possible.
+LEAST = 0.15
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,29 +76,65 @@ def tracked_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded(analysed(_frames(spark, sf_dir), SETTINGS), SETTINGS).select("audio_id", "frame_idx", F.round("f0", 4).alias("f0"), "voiced", F.round("voiced_prob", 6).alias("voiced_prob"))
 
 
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of ``_frames`` as recordings of LONG of them each."""
+    number = F.col("audio_id") * RECORDING + F.col("frame_idx")
+    return _frames(spark, sf_dir).withColumns({"audio_id": F.call_function("div", number, F.lit(LONG)), "frame_idx": (number % LONG).cast("int")})
+
+
+def tracked_pitch_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f0 of every frame of long recordings, decoded in blocks of time."""
+    found = decoded_in_blocks(analysed(_long(spark, sf_dir), SETTINGS), SETTINGS, block=BLOCK, ahead=AHEAD)
+    return found.select("audio_id", "frame_idx", F.round("f0", 4).alias("f0"), "voiced")
+
+
+def viterbi_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeliest states of vectors as observations, fifty a series, where rare transitions are impossible."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    size = lambda e: F.abs(e.cast("double")) + 0.01
+    some = F.transform(F.slice("embedding", 1, STATES), size)
+    probs = F.transform(some, lambda v: v / F.aggregate(some, F.lit(0.0), lambda a, b: a + b))
+    series = rows.select(F.expr(f"vec_id div {RECORDING}").alias("series_id"), (F.col("vec_id") % RECORDING).alias("step"), probs.alias("probs"))
+    found = likeliest(series, local_transition(STATES, 5), LEAST)
+    return found.select("series_id", "step", "state", F.round("log_prob", 6).alias("log_prob"))
+
+
+def _weights(spark: SparkSession, sf_dir: str, states: int) -> DataFrame:
+    """(vec_id, i, w): the first numbers of each vector, without sign, as weights of states."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select("vec_id", F.posexplode(F.transform(F.slice("embedding", 1, states), lambda e: F.abs(e.cast("double")))).alias("i", "w"))
+
+
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries that are not zero of local transition matrices, by window, width and wrapping; width 0: a width for each state."""
+    """Weights of states after a step of local transition matrices, times their number, by window, width and wrapping; width 0: a width for each state."""
     made = [(shape, width, wrap, local_transition(STATES, width, shape, wrap)) for shape, width, wrap in WINDOWS]
     made.append(("triangle", 0, False, local_transition(STATES, [1 + k % 5 for k in range(STATES)])))
-    rows = [(shape, width, wrap, i, j, round(float(m[i, j]), 9)) for shape, width, wrap, m in made for i, j in zip(*(x.tolist() for x in np.nonzero(m > 1e-12)), strict=True)]
-    return spark.createDataFrame(rows, "shape string, width int, wrap boolean, i int, j int, p double")
+    rows = [(shape, width, wrap, i, float(m[i] @ np.arange(STATES))) for shape, width, wrap, m in made for i in range(STATES)]
+    where = F.broadcast(spark.createDataFrame(rows, "shape string, width int, wrap boolean, i int, mean double"))  # STATES rows a matrix
+    met = _weights(spark, sf_dir, STATES).join(where, "i")
+    return met.groupBy("vec_id", "shape", "width", "wrap").agg(F.round(F.sum(F.col("w") * F.col("mean")), 6).alias("moved"))
 
 
 def loop_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A loop transition matrix with a probability to stay for each state, as voiced and unvoiced copies of a local one."""
+    """Weights of states after a step of a loop transition matrix with a probability to stay for each state, as voiced and unvoiced copies of a local one."""
     m = np.kron(loop_transition(2, [0.75, 0.5]), loop_transition(4, 0.25))
-    rows = [(i, j, round(float(m[i, j]), 9)) for i in range(8) for j in range(8)]
-    return spark.createDataFrame(rows, "i int, j int, p double")
+    rows = [(i, j, float(m[i, j])) for i in range(8) for j in range(8)]
+    met = _weights(spark, sf_dir, 8).join(F.broadcast(spark.createDataFrame(rows, "i int, j int, p double")), "i")  # 64 rows
+    return met.groupBy("vec_id", "j").agg(F.round(F.sum(F.col("w") * F.col("p")), 6).alias("w"))
 
 
 def half_precision_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of profile columns whose stored side is rounded to 16 bits."""
+    """Summed distances of each frame's profile column to the one before it, whose stored side is rounded to 16 bits."""
     table = P.distance_table(half_precision=True)
-    rows = [(q, r, round(float(table[q, r]), 9)) for q in range(25) for r in range(25)]
-    return spark.createDataFrame(rows, "query_bin int, track_bin int, distance double")
+    flat = F.array(*[F.lit(float(v)) for v in table.ravel()])
+    order = Window.partitionBy("track_id").orderBy("ts", "event_id")
+    cents = P.hz_to_cents(F.when(F.col("event_type") != "error", F.col("value")))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("track_id"), "ts", "event_id", F.coalesce(P.pitch_bin(cents), F.lit(24)).alias("bin"))
+    pairs = rows.withColumn("before", F.lag("bin").over(order)).where("before is not null")
+    return pairs.groupBy("track_id").agg(F.round(F.sum(F.get(flat, F.col("bin") * 25 + F.col("before"))), 6).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (audio_frames, normalised_differences, trough_weights, observations, voiced_probability, tracked_pitch, transitions, loop_transitions, half_precision_distances)}
+QUERIES = {f.__name__: f for f in (audio_frames, normalised_differences, trough_weights, observations, voiced_probability, tracked_pitch, tracked_pitch_in_blocks, viterbi_pruned, transitions, loop_transitions, half_precision_distances)}
 
 _LOW, _HIGH = SETTINGS.periods(RATE)
 _BINS = 48
@@ -138,6 +179,25 @@ g AS (SELECT k, sum(w) / (SELECT sum(w) FROM w) AS g FROM (SELECT (o + 24) % 24
 g2 AS (SELECT k, g, 2.0 ** (floor(log2(g)) - 10) AS unit FROM g),
 bins AS (SELECT CAST(unnest(range(25)) AS INT) AS b)"""
 
+#: Triangles of width 5, cut at the ends; of their entries those of LEAST or more.
+_PRUNED = f"""
+WITH RECURSIVE w AS (SELECT vec_id // {RECORDING} AS series_id, CAST(vec_id % {RECORDING} AS INT) AS step, list_transform(embedding[1:{STATES}], lambda e: abs(CAST(e AS DOUBLE)) + 0.01) AS w FROM embeddings),
+seen AS (SELECT series_id, step, list_transform(w, lambda v: ln(v / list_sum(w) + {_TINY})) AS o FROM w),
+raw AS (SELECT i, i - 2 + m AS j, [1.0, 2.0, 3.0, 2.0, 1.0][m + 1] AS p FROM (SELECT unnest(range({STATES})) AS i), (SELECT unnest(range(5)) AS m)),
+moves AS (SELECT i, j, p FROM (SELECT i, j, p / sum(p) OVER (PARTITION BY i) AS p FROM raw WHERE j BETWEEN 0 AND {STATES - 1})),
+into_ AS (SELECT list(row ORDER BY j) AS into_ FROM (SELECT b.s AS j, list(CASE WHEN coalesce(p, 0) >= {LEAST} THEN ln(p + {_TINY}) ELSE '-infinity'::DOUBLE END ORDER BY a.s) AS row FROM (SELECT unnest(range({STATES})) AS s) a CROSS JOIN (SELECT unnest(range({STATES})) AS s) b LEFT JOIN moves ON i = a.s AND j = b.s GROUP BY b.s)),
+walk(series_id, step, v, back) AS (
+  SELECT series_id, step, list_transform(o, lambda x: x + ln(1.0::DOUBLE / {STATES} + {_TINY})), NULL::INT[] FROM seen WHERE step = 0
+  UNION ALL
+  SELECT series_id, step, list_transform(range(1, {STATES} + 1), lambda j: o[j] + list_max(came[j])), list_transform(came, lambda c: CAST(list_position(c, list_max(c)) AS INT))
+  FROM (SELECT d.series_id, d.step, d.o, list_transform(into_, lambda row: list_transform(range(1, {STATES} + 1), lambda i: w.v[i] + row[i])) AS came FROM walk w JOIN seen d ON d.series_id = w.series_id AND d.step = w.step + 1, into_)),
+ends AS (SELECT series_id, max(step) AS step FROM seen GROUP BY series_id),
+back_(series_id, step, s, log_prob) AS (
+  SELECT w.series_id, w.step, CAST(list_position(w.v, list_max(w.v)) AS INT), list_max(w.v) FROM walk w JOIN ends USING (series_id, step)
+  UNION ALL
+  SELECT b.series_id, b.step - 1, w.back[b.s], b.log_prob FROM back_ b JOIN walk w ON w.series_id = b.series_id AND w.step = b.step WHERE b.step > 0)
+SELECT series_id, step, CAST(s - 1 AS INT) AS state, round(log_prob, 6) AS log_prob FROM back_"""
+
 ORACLE_SQL = {
     "audio_frames": "SELECT vec_id, CAST(s / 8 AS INT) AS frame_idx, round(list_sum(list_transform(embedding[s + 1 : s + 16], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))), 6) AS energy FROM embeddings, (SELECT unnest(range(0, 49, 8)) AS s)",
     "normalised_differences": f"WITH {_DIFFERENCES} SELECT vec_id, k, round(y, 6) AS difference, round(shift, 6) AS shift FROM shifted",
@@ -145,7 +205,9 @@ ORACLE_SQL = {
     "observations": f"WITH {_DIFFERENCES}, {_TROUGHS}, {_OBSERVED} SELECT vec_id, state, round(prob, 6) AS prob FROM seen WHERE prob > 1e-6",
     "voiced_probability": f"WITH {_DIFFERENCES}, {_TROUGHS}, {_OBSERVED} SELECT vec_id, round(voiced_prob, 6) AS voiced_prob FROM voiced",
     "tracked_pitch": f"WITH RECURSIVE {_DIFFERENCES}, {_TROUGHS}, {_OBSERVED}, {_MOVES}, {_DECODED} SELECT b.audio_id, b.t AS frame_idx, CASE WHEN s <= {_BINS} THEN round(260 * 2 ** ((s - 1) / 12.0), 4) END AS f0, s <= {_BINS} AS voiced, round(voiced_prob, 6) AS voiced_prob FROM back_ b JOIN voiced ON vec_id = b.audio_id * {RECORDING} + b.t",
-    "transitions": f"WITH s AS ({' UNION ALL '.join(f'''SELECT '{shape}' AS shape, {width} AS width, {str(wrap).lower()} AS wrap, i, {width} AS w FROM (SELECT unnest(range({STATES})) AS i)''' for shape, width, wrap in WINDOWS)} UNION ALL SELECT 'triangle', 0, false, i, CAST(1 + i % 5 AS INT) FROM (SELECT unnest(range({STATES})) AS i)), c AS (SELECT shape, width, wrap, i, w, unnest(range(w)) AS m FROM s), e AS (SELECT *, (({STATES} - w) // 2 + m + {STATES} // 2 + i + 1) % {STATES} AS j, CASE shape {' '.join(f'''WHEN '{k}' THEN {v}''' for k, v in _F.items())} END AS p FROM c), k AS (SELECT * FROM e WHERE wrap OR (j < i + w // 2 + 1 AND j >= i - w // 2)) SELECT shape, CAST(width AS INT) AS width, wrap, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(p / sum(p) OVER (PARTITION BY shape, width, wrap, i), 9) AS p FROM k QUALIFY p > 1e-12",
-    "loop_transitions": "WITH n AS (SELECT CAST(unnest(range(8)) AS INT) AS i) SELECT a.i, b.i AS j, round(CAST(CASE WHEN a.i // 4 = b.i // 4 THEN CASE a.i // 4 WHEN 0 THEN 0.75 ELSE 0.5 END ELSE CASE a.i // 4 WHEN 0 THEN 0.25 ELSE 0.5 END END * CASE WHEN a.i % 4 = b.i % 4 THEN 0.25 ELSE 0.75 / 3 END AS DOUBLE), 9) AS p FROM n a, n b",
-    "half_precision_distances": f"WITH {_G}, cells AS (SELECT q.b AS query_bin, r.b AS track_bin, c.c, CASE WHEN q.b < 24 THEN x.g ELSE 0 END AS u, CASE WHEN r.b < 24 THEN round_even(z.g / z.unit, 0) * z.unit ELSE 0 END AS v FROM bins q, bins r, (SELECT unnest(range(24)) AS c) c JOIN g2 x ON x.k = (c.c - q.b + 24) % 24 JOIN g2 z ON z.k = (c.c - r.b + 24) % 24) SELECT query_bin, track_bin, round(sqrt(sum((u - v) ** 2)), 9) AS distance FROM cells GROUP BY ALL",
+    "transitions": f"WITH s AS ({' UNION ALL '.join(f'''SELECT '{shape}' AS shape, {width} AS width, {str(wrap).lower()} AS wrap, i, {width} AS w FROM (SELECT unnest(range({STATES})) AS i)''' for shape, width, wrap in WINDOWS)} UNION ALL SELECT 'triangle', 0, false, i, CAST(1 + i % 5 AS INT) FROM (SELECT unnest(range({STATES})) AS i)), c AS (SELECT shape, width, wrap, i, w, unnest(range(w)) AS m FROM s), e AS (SELECT *, (({STATES} - w) // 2 + m + {STATES} // 2 + i + 1) % {STATES} AS j, CASE shape {' '.join(f'''WHEN '{k}' THEN {v}''' for k, v in _F.items())} END AS p FROM c), k AS (SELECT * FROM e WHERE wrap OR (j < i + w // 2 + 1 AND j >= i - w // 2)), m AS (SELECT shape, width, wrap, i, sum(j * p) / sum(p) AS mean FROM k GROUP BY ALL), v AS (SELECT vec_id, unnest(range({STATES})) AS i, unnest(list_transform(embedding[1:{STATES}], lambda e: abs(CAST(e AS DOUBLE)))) AS w FROM embeddings) SELECT vec_id, shape, CAST(width AS INT) AS width, wrap, round(sum(v.w * mean), 6) AS moved FROM v JOIN m USING (i) GROUP BY ALL",
+    "loop_transitions": "WITH n AS (SELECT CAST(unnest(range(8)) AS INT) AS i), m AS (SELECT a.i, b.i AS j, CAST(CASE WHEN a.i // 4 = b.i // 4 THEN CASE a.i // 4 WHEN 0 THEN 0.75 ELSE 0.5 END ELSE CASE a.i // 4 WHEN 0 THEN 0.25 ELSE 0.5 END END * CASE WHEN a.i % 4 = b.i % 4 THEN 0.25 ELSE 0.75 / 3 END AS DOUBLE) AS p FROM n a, n b), v AS (SELECT vec_id, unnest(range(8)) AS i, unnest(list_transform(embedding[1:8], lambda e: abs(CAST(e AS DOUBLE)))) AS w FROM embeddings) SELECT vec_id, j, round(sum(v.w * p), 6) AS w FROM v JOIN m USING (i) GROUP BY ALL",
+    "half_precision_distances": f"WITH {_G}, cells AS (SELECT q.b AS query_bin, r.b AS track_bin, c.c, CASE WHEN q.b < 24 THEN x.g ELSE 0 END AS u, CASE WHEN r.b < 24 THEN round_even(z.g / z.unit, 0) * z.unit ELSE 0 END AS v FROM bins q, bins r, (SELECT unnest(range(24)) AS c) c JOIN g2 x ON x.k = (c.c - q.b + 24) % 24 JOIN g2 z ON z.k = (c.c - r.b + 24) % 24), d AS (SELECT query_bin, track_bin, sqrt(sum((u - v) ** 2)) AS d FROM cells GROUP BY ALL), e AS (SELECT user_id AS track_id, ts, event_id, CASE WHEN event_type <> 'error' AND value > 0 THEN 1200 * log2(value / 55) END AS cents FROM events), n AS (SELECT track_id, ts, event_id, coalesce(CAST(round_even((cents - 1200 * floor(cents / 1200)) / 50, 0) AS INT) % 24, 24) AS bin FROM e), s AS (SELECT track_id, bin, lag(bin) OVER (PARTITION BY track_id ORDER BY ts, event_id) AS before FROM n) SELECT track_id, round(sum(d), 6) AS distance FROM s JOIN d ON query_bin = bin AND track_bin = before GROUP BY track_id",
+    "tracked_pitch_in_blocks": f"WITH RECURSIVE {_DIFFERENCES}, {_TROUGHS}, {_OBSERVED}, {_MOVES.replace(f'// {RECORDING} AS audio_id', f'// {LONG} AS audio_id').replace(f'% {RECORDING} AS INT', f'% {LONG} AS INT')}, {_DECODED} SELECT audio_id, t AS frame_idx, CASE WHEN s <= {_BINS} THEN round(260 * 2 ** ((s - 1) / 12.0), 4) END AS f0, s <= {_BINS} AS voiced FROM back_",
+    "viterbi_pruned": _PRUNED,
 }

@@ -148,7 +148,7 @@ def test_decode_modes(spark):
     assert bytes(head["magic"]) == b"SFPT" and head["frames"] == len(CENTS) and head["hop_microseconds"] == 100000
 
 
-def test_config(tmp_path):
+def test_database_options_and_retry():
     assert EngineConfig().hop_samples(44100) == 4410
     assert "sslmode=require" in jdbc_options({"DATABASE_URL": "postgres://u:p@h/d"})["url"]
     assert "&sslmode=disable" in jdbc_options({"DATABASE_URL": "postgres://h/d?x=1", "DB_SSLMODE": "disable"})["url"]
