@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,25 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import EngineConfig
+from .audio_formats import read_uncompressed
 
 AUDIO = "audio_id long, path string, sr int, samples array<double>"
 
 
-def read_wav(content: bytes) -> tuple[np.ndarray, int]:
-    """(samples within -1 and 1, rate) of PCM of 8, 16, 24 or 32 bits; channels are averaged."""
-    with wave.open(io.BytesIO(content)) as w:
-        width, channels, sr, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
-    if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 2.0**23
-    else:
-        x = np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)
-    return x.reshape(-1, channels).mean(1), sr
-
-
-def read_audio(spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), decode: Callable[[bytes], tuple[np.ndarray, int]] = read_wav, errors: bool = False) -> DataFrame:
+def read_audio(spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), decode: Callable[[bytes], tuple[np.ndarray, int]] = read_uncompressed, errors: bool = False) -> DataFrame:
     """(audio_id, path, sr, samples) of the audio files under ``path``.
 
     ``decode`` turns a file's bytes into mono samples and their rate; one of one's
@@ -45,7 +30,7 @@ def read_audio(spark: SparkSession, path: str, config: EngineConfig = EngineConf
             return None, None, "too large"
         try:
             y, sr = decode(content)
-        except (wave.Error, EOFError, ValueError) as e:
+        except (EOFError, ValueError) as e:
             return None, None, f"cannot be decoded: {e}"
         return (int(sr), y.tolist(), None) if len(y) >= config.min_seconds * sr else (int(sr), None, "too short")
 
