@@ -16,7 +16,7 @@ from ..operators.distance import distances
 from ..operators.dtw import Warping, align_pairs
 from ..operators.pyin import PitchSettings, differences, minima, padded, pitch
 from ..sources import packed
-from . import tracking, warping
+from . import stores, tracking, warping
 from .search import register
 
 #: Frames of track 0 that serve as the hummed query.
@@ -214,7 +214,7 @@ def padded_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", *[total(padded(F.col("x"), 4, m)).alias(m) for m in ("constant", "edge", "reflect")])
 
 
-QUERIES = {f.__name__: f for f in (pitch_cents, pitch_bins, quantised, delta_coded, zigzag_coded, sql_functions, pitch_histogram, profile_salience, local_minima, period_differences, vector_distances, match_costs, match_costs_by_columns, search_matches, search_all, packed_tracks, packed_words, packed_errors, align_tracks, hummed_pitch, padded_audio)} | warping.QUERIES | tracking.QUERIES
+QUERIES = {f.__name__: f for f in (pitch_cents, pitch_bins, quantised, delta_coded, zigzag_coded, sql_functions, pitch_histogram, profile_salience, local_minima, period_differences, vector_distances, match_costs, match_costs_by_columns, search_matches, search_all, packed_tracks, packed_words, packed_errors, align_tracks, hummed_pitch, padded_audio)} | warping.QUERIES | tracking.QUERIES | stores.QUERIES
 
 _F0 = "f0 AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, CASE WHEN event_type <> 'error' THEN value END AS f0 FROM events)"
 _CENTS = "cents AS (SELECT track_id, frame_idx, CASE WHEN f0 > 0 THEN 1200 * log2(f0 / 55) END AS cents FROM f0)"
@@ -303,9 +303,9 @@ ORACLE_SQL = {
     "search_matches": _costs_sql() + ", top AS (SELECT CAST(row_number() OVER (ORDER BY cost, track_id) AS INT) AS rank, * FROM costs ORDER BY cost, track_id LIMIT 3) SELECT rank, round(cost, 6) AS cost, CAST(c_custkey AS BIGINT) AS id, c_name AS title, c_mktsegment AS raga, n_name AS tala FROM top JOIN customer ON c_custkey = track_id JOIN nation ON n_nationkey = c_nationkey",
     "search_all": _search_all_sql(),
     "packed_words": f"WITH {_F0}, {_CENTS}, {_SAMPLES} SELECT track_id, frame_idx, CAST(nullif(sample, -32768) AS DOUBLE) AS cents FROM samples",
-    "packed_errors": "SELECT user_id AS track_id, CASE user_id % 9 WHEN 1 THEN 'bad magic' WHEN 2 THEN 'unknown version' WHEN 3 THEN 'bad deflate stream' WHEN 4 THEN 'truncated' WHEN 5 THEN 'trailing bytes' WHEN 6 THEN 'short header' WHEN 7 THEN 'short header' END AS error, CASE WHEN user_id % 9 IN (0, 8) THEN count(*) END AS frames FROM events GROUP BY user_id",
+    "packed_errors": "SELECT user_id AS track_id, CASE user_id % 9 WHEN 1 THEN 'bad magic' WHEN 2 THEN 'unknown version' WHEN 3 THEN 'bad deflate stream' WHEN 4 THEN 'truncated' WHEN 5 THEN 'trailing bytes' WHEN 6 THEN 'short header' WHEN 7 THEN 'missing' END AS error, CASE WHEN user_id % 9 IN (0, 8) THEN count(*) END AS frames FROM events GROUP BY user_id",
     "align_tracks": _align_sql(),
     "packed_tracks": f"WITH {_F0}, {_CENTS}, {_SAMPLES} SELECT track_id, 2 AS version, count(*) AS frames, CAST(100000 AS BIGINT) AS hop_microseconds, CAST(sum(CASE WHEN sample = -32768 THEN 0 ELSE sample END) AS BIGINT) AS sum_cents, count(*) FILTER (sample = -32768) AS unvoiced FROM samples GROUP BY track_id",
     "hummed_pitch": "SELECT CAST(n_nationkey AS BIGINT) AS audio_id, true AS near FROM nation",
     "padded_audio": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings) SELECT vec_id, round(list_sum(x), 5) AS constant, round(list_sum(x) + 4 * x[1] + 4 * x[-1], 5) AS edge, round(list_sum(x) + list_sum(x[2:5]) + list_sum(x[-5:-2]), 5) AS reflect FROM e",
-} | warping.ORACLE_SQL | tracking.ORACLE_SQL
+} | warping.ORACLE_SQL | tracking.ORACLE_SQL | stores.ORACLE_SQL

@@ -141,9 +141,11 @@ def test_packed_errors(bad, kind):
 def test_decode_modes(spark):
     rows = spark.createDataFrame([(1, bytearray(packed.encode(CENTS))), (2, bytearray(b"junk")), (3, None)], "id long, pitch_track binary")
     got = {r["id"]: r for r in packed.decode_tracks(rows, "PERMISSIVE").collect()}
-    assert got[1]["error"] is None and got[1]["contour"][0] is None and got[2]["error"] == "short header" and got[3]["contour"] is None
+    assert got[1]["error"] is None and got[1]["contour"][0] is None and got[2]["error"] == "short header" and got[3]["contour"] is None and got[3]["error"] == "missing"
     with pytest.raises(Exception, match="short header"):
         packed.decode_tracks(rows).collect()
+    with pytest.raises(Exception, match="missing"):
+        packed.decode_tracks(rows.where("id = 3")).collect()
     head = rows.where("id = 1").select(packed.header(F.col("pitch_track")).alias("h")).first()["h"]
     assert bytes(head["magic"]) == b"SFPT" and head["frames"] == len(CENTS) and head["hop_microseconds"] == 100000
 
@@ -309,7 +311,7 @@ def test_whole_search(spark, tmp_path):
     changed = catalogue.withColumn("pitch_track", F.when(F.col("id") == 1, F.lit(bytearray(packed.encode([0.0, 100.0])))).otherwise(F.col("pitch_track")))
     again = {r["track_id"]: r["bins"] for r in search.stored_bins(changed, path).collect()}
     assert again == want | {1: [0, 2]}
-    assert spark.read.parquet(path).count() == len(rows) + 1
+    assert search.BinsTable(spark, path).rows().count() == len(rows) + 1
 
 
 def test_costs_by_columns(spark):
