@@ -4,6 +4,7 @@ import subprocess
 import sys
 import threading
 import uuid
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ def test_jdbc_empty_table(spark):
 def test_stopped_server_is_tried_again(spark, monkeypatch):
     """Nothing listens there: five attempts, then the last error. A missing table is no matter of the connection: one attempt."""
     waits = []
-    monkeypatch.setattr(catalog.time, "sleep", waits.append)
+    monkeypatch.setattr(catalog, "time", SimpleNamespace(sleep=waits.append))
     stopped = {"url": "jdbc:hive2://127.0.0.1:9/x", "driver": "org.apache.hive.jdbc.HiveDriver"}
     with pytest.raises(Exception, match="(?i)refused|could not open"):
         catalog.from_jdbc(spark, "tracks", stopped, wait=0.5)
