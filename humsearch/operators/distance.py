@@ -27,7 +27,7 @@ def _centred(x: np.ndarray) -> np.ndarray:
     return x - x.mean(-1, keepdims=True)
 
 
-#: Distances along the last axis; those of ``correlation`` are between rows that ``prepared`` has centred.
+#: Distances along the last axis; those of the last three are between rows that ``prepared`` has centred or whitened.
 _ALONG = {
     "euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum(-1)),
     "sqeuclidean": lambda a, b: ((a - b) ** 2).sum(-1),
@@ -39,7 +39,11 @@ _ALONG = {
     "hamming": lambda a, b: (a != b).mean(-1),
     "cosine": _cosine,
     "correlation": _cosine,
+    "seuclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum(-1)),
+    "mahalanobis": lambda a, b: np.sqrt(((a - b) ** 2).sum(-1)),
 }
+#: Metrics that depend on how all rows spread.
+SPREAD = ("seuclidean", "mahalanobis")
 
 
 def rowwise(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -49,9 +53,24 @@ def rowwise(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return _ALONG[metric]
 
 
-def prepared(x: np.ndarray, metric: str) -> np.ndarray:
-    """Rows as ``rowwise`` wants them."""
-    return _centred(x) if metric == "correlation" else x
+def whitened(metric: str, covariance: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """What makes rows so that their euclidean distance is the metric's: divided by the
+    standard deviations, or by the covariance's Cholesky factor, which a singular one hasn't."""
+    if metric == "seuclidean":
+        deviation = np.sqrt(np.diag(covariance))
+        return lambda rows: _ratio(rows, deviation)
+    inverse = np.linalg.inv(np.linalg.cholesky(covariance))
+    return lambda rows: rows @ inverse.T
+
+
+def prepared(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as ``rowwise`` wants them; the spread is that of both sides' rows together."""
+    if metric == "correlation":
+        return _centred(x), _centred(y)
+    if metric in SPREAD:
+        of = whitened(metric, np.atleast_2d(np.cov(np.concatenate([x, y]), rowvar=False)))
+        return of(x), of(y)
+    return x, y
 
 
 METRICS = tuple(_ALONG)
@@ -60,15 +79,41 @@ METRICS = tuple(_ALONG)
 def pairwise(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     """Distances of all rows of x to all of y."""
     of = rowwise(metric)
-    x, y = prepared(np.asarray(x, float), metric), prepared(np.asarray(y, float), metric)
+    x, y = prepared(np.asarray(x, float), np.asarray(y, float), metric)
     return of(x[:, None, :], y[None, :, :])
 
 
+def covariance(vectors: DataFrame, size: int) -> np.ndarray:
+    """The sample covariance of the arrays ``v`` of ``size`` numbers in ``vectors``: means first,
+    then sums of centred products, a matrix for each task that are added up by entry."""
+    same = vectors.select(F.col("v").cast("array<double>").alias("v")).where((F.size("v") == size) & ~F.exists("v", lambda x: x.isNull()))
+    n, *means = same.agg(F.count("*"), *[F.avg(F.get("v", F.lit(k))) for k in range(size)]).first()
+    if n < 2:
+        raise ValueError("a covariance needs two vectors or more")
+    mean = np.array(means)
+    row, column = np.triu_indices(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten()).reshape(-1, size) - mean
+            total += x.T @ x
+        yield pa.record_batch([pa.array(row, pa.int32()), pa.array(column, pa.int32()), pa.array(total[row, column])], ["i", "j", "s"])
+
+    # entries, not rows: their number is that of a matrix, whichever the table
+    sums = same.mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s")).collect()
+    out = np.zeros((size, size))
+    for i, j, s in sums:
+        out[i, j] = out[j, i] = s / (n - 1)
+    return out
+
+
 def distances(vectors: DataFrame, queries: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """(query_id, vec_id, metric, distance) of all vectors (vec_id, v) to all queries (query_id, v).
 
     A block of queries goes with the function and meets every vector in place;
     nothing is shuffled. Vectors of another length than a query have no distance to it.
+    ``seuclidean`` and ``mahalanobis`` go by the spread of all vectors and queries of a length.
     """
     from .matching import blocks
 
@@ -79,7 +124,16 @@ def distances(vectors: DataFrame, queries: DataFrame, metrics: Sequence[str] = M
     schema = "query_id long, vec_id long, metric string, distance double"
     narrow = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).where("v is not null")
 
+    spread: dict[int, dict[str, Callable[[np.ndarray], np.ndarray]]] = {}
+
     def of(ids: np.ndarray, x: np.ndarray) -> DataFrame:
+        size = x.shape[1]
+        if size not in spread:
+            some = [name for name in names if name in SPREAD]
+            matrix = covariance(narrow.select("v").union(asked.select("v")), size) if some else None
+            spread[size] = {name: whitened(name, matrix) for name in some}
+        white = spread[size]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 long_enough = batch.filter(pa.array(np.asarray(batch.column(1).value_lengths()) == x.shape[1]))
@@ -87,7 +141,8 @@ def distances(vectors: DataFrame, queries: DataFrame, metrics: Sequence[str] = M
                     piece = long_enough.slice(at, 256)
                     y = np.asarray(piece.column(1).flatten()).reshape(-1, x.shape[1])
                     for name in names:
-                        d = pairwise(x, y, name).ravel()
+                        of_rows = white.get(name)
+                        d = (pairwise(of_rows(x), of_rows(y)) if of_rows else pairwise(x, y, name)).ravel()
                         vec = np.tile(np.asarray(piece.column(0)), len(x))
                         yield pa.record_batch([pa.array(np.repeat(ids, len(y))), pa.array(vec), pa.array([name] * len(d)), pa.array(d)], ["query_id", "vec_id", "metric", "distance"])
 

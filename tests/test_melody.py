@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from humsearch.config import EngineConfig, jdbc_options
 from humsearch.functions import pitch as P
-from humsearch.operators import dtw, matching, pyin
+from humsearch.operators import diagonals, distance, dtw, matching, pyin
 from humsearch.operators.distance import METRICS, pairwise
 from humsearch.plans import search
 from humsearch.sources import audio, catalog, packed
@@ -97,7 +97,7 @@ def test_kernel_values():
 
 
 def test_metrics():
-    x, y = np.random.default_rng(0).random((2, 3, 5))
+    x, y = np.random.default_rng(0).random((2, 3, 4))
     for name in METRICS:
         d = pairwise(x, y, name)
         assert d.shape == (3, 3) and np.isfinite(d).all()
@@ -106,6 +106,28 @@ def test_metrics():
         pairwise(x, y, "none")
 
 
+def test_spread_metrics(spark):
+    """By definition, with the inverse covariance and the variances of both sides' rows."""
+    rng = np.random.default_rng(6)
+    x, y = rng.random((4, 3)) @ rng.random((3, 3)), rng.random((6, 3)) * 5
+    both = np.concatenate([x, y])
+    inverse, variance = np.linalg.inv(np.cov(both.T)), both.var(0, ddof=1)
+    for i, j in product(range(4), range(6)):
+        gap = x[i] - y[j]
+        assert pairwise(x, y, "mahalanobis")[i, j] == pytest.approx(math.sqrt(gap @ inverse @ gap))
+        assert pairwise(x, y, "seuclidean")[i, j] == pytest.approx(math.sqrt((gap**2 / variance).sum()))
+    frame = lambda rows, key: spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rows)], f"{key} long, v array<double>").repartition(3)
+    vectors = frame(y, "vec_id").union(spark.createDataFrame([(77, [1.0]), (78, None)], "vec_id long, v array<double>"))
+    got = {(r["metric"], r["query_id"], r["vec_id"]): r["distance"] for r in distance.distances(vectors, frame(x, "query_id"), distance.SPREAD).collect()}
+    assert len(got) == 2 * 24
+    for (name, i, j), d in got.items():
+        assert d == pytest.approx(pairwise(x, y, name)[i, j])
+    with pytest.raises(ValueError):
+        pairwise(np.ones((2, 3)), np.ones((2, 3)), "mahalanobis")
+    got, _ = diagonals.solve([(x, y)], warping=dtw.Warping(metric="mahalanobis"), paths=False)
+    assert got[0] == pytest.approx(dtw.align(x.T, y.T, warping=dtw.Warping(metric="mahalanobis"), backtrack=False).cost[-1, -1])
+
+
 def test_column_functions(spark):
     rows = spark.createDataFrame([(0.5,), (1.5,), (-0.5,), (40000.0,), (-40000.0,), (None,), (math.inf,), (math.nan,)], "c double")
     assert [r[0] for r in rows.select(P.quantise(F.col("c"))).collect()] == [0, 2, 0, 32767, -32767, -32768, -32768, -32768]
