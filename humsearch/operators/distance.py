@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..shared import written
+
 
 def _ratio(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -149,7 +151,8 @@ def distances(vectors: DataFrame, queries: DataFrame, metrics: Sequence[str] = M
         return narrow.mapInArrow(run, schema)
 
     found = vectors.sparkSession.createDataFrame([], schema)
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<double>").alias("v")).where("query_id is not null and size(v) > 0")
+    # what stands behind the queries is computed once, whichever the number of blocks
+    asked = written(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<double>").alias("v")).where("query_id is not null and size(v) > 0"), "queries")
     for rows in blocks(asked, "query_id"):
         for size in {len(r["v"]) for r in rows}:
             same = [r for r in rows if len(r["v"]) == size]

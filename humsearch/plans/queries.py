@@ -158,6 +158,14 @@ def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.with_metadata(top, _catalogue(spark, sf_dir)).withColumn("cost", F.round("cost", 6))
 
 
+def search_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``search_all`` where every seventh contour is empty, so neither found nor asked for, and some titles and talas are null."""
+    bins = _bins(spark, sf_dir).withColumn("bins", F.when(F.col("track_id") % 7 == 3, F.array().cast("array<tinyint>")).otherwise(F.col("bins")))
+    top = matching.match_many(bins, bins.where("track_id % 100 = 0").select(F.col("track_id").alias("query_id"), "bins"))
+    some = _catalogue(spark, sf_dir).withColumns({"title": F.when(F.col("id") % 2 == 1, F.col("title")), "tala": F.when(F.col("id") % 3 > 0, F.col("tala"))})
+    return matching.with_metadata(top, some.where("id % 11 <> 5")).withColumn("cost", F.round("cost", 6))
+
+
 def packed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contours packed, then read back: header and samples."""
     blobs = packed.encode_tracks(_contours(spark, sf_dir))
@@ -197,13 +205,13 @@ def align_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hummed_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pitch tracking of a tone for each nation: whether the median is within 15 cents of it."""
+    """Pitch tracking of a tone for each supplier: the semitone above 110 Hz that is nearest to the median."""
     sr = 4000
-    tone = 110.0 * F.pow(F.lit(2.0), F.col("n_nationkey") / 12.0)
+    tone = 110.0 * F.pow(F.lit(2.0), (F.col("s_suppkey") % 30) / 12.0)
     samples = F.transform(F.sequence(F.lit(0), F.lit(int(0.6 * sr) - 1)), lambda k: F.sin(2 * 3.141592653589793 * tone * k / sr))
-    audio = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("audio_id"), F.lit(sr).alias("sr"), samples.alias("samples"), tone.alias("tone"))
-    found = pitch(audio.drop("tone"), PitchSettings(fmin=80.0, fmax=800.0, frame_length=256, hop_length=128)).where("voiced").groupBy("audio_id").agg(F.percentile("f0", F.lit(0.5)).alias("median"))
-    return audio.select("audio_id", "tone").join(found, "audio_id").select("audio_id", (F.abs(1200 * F.log2(F.col("median") / F.col("tone"))) <= 15).alias("near"))
+    audio = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("audio_id"), F.lit(sr).alias("sr"), samples.alias("samples"))
+    found = pitch(audio, PitchSettings(fmin=80.0, fmax=800.0, frame_length=256, hop_length=128)).where("voiced").groupBy("audio_id").agg(F.percentile("f0", F.lit(0.5)).alias("median"))
+    return found.select("audio_id", F.rint(12 * F.log2(F.col("median") / 110.0)).cast("long").alias("note"))
 
 
 def padded_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +222,7 @@ def padded_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", *[total(padded(F.col("x"), 4, m)).alias(m) for m in ("constant", "edge", "reflect")])
 
 
-QUERIES = {f.__name__: f for f in (pitch_cents, pitch_bins, quantised, delta_coded, zigzag_coded, sql_functions, pitch_histogram, profile_salience, local_minima, period_differences, vector_distances, match_costs, match_costs_by_columns, search_matches, search_all, packed_tracks, packed_words, packed_errors, align_tracks, hummed_pitch, padded_audio)} | warping.QUERIES | tracking.QUERIES | stores.QUERIES
+QUERIES = {f.__name__: f for f in (pitch_cents, pitch_bins, quantised, delta_coded, zigzag_coded, sql_functions, pitch_histogram, profile_salience, local_minima, period_differences, vector_distances, match_costs, match_costs_by_columns, search_matches, search_all, search_gaps, packed_tracks, packed_words, packed_errors, align_tracks, hummed_pitch, padded_audio)} | warping.QUERIES | tracking.QUERIES | stores.QUERIES
 
 _F0 = "f0 AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, CASE WHEN event_type <> 'error' THEN value END AS f0 FROM events)"
 _CENTS = "cents AS (SELECT track_id, frame_idx, CASE WHEN f0 > 0 THEN 1200 * log2(f0 / 55) END AS cents FROM f0)"
@@ -262,7 +270,7 @@ acc(track_id, n, d) AS (
 SELECT track_id, round(d[-1], 6) AS cost FROM tracks LEFT JOIN (SELECT * FROM acc WHERE n = (SELECT max(n) FROM hum)) USING (track_id)"""
 
 
-def _search_all_sql() -> str:
+def _search_all_sql(some: str = "true", title: str = "c_name", tala: str = "n_name", named: str = "true") -> str:
     """The search for many whole contours: the longer of two is run through by the shorter one."""
     table = P.distance_table()
     lut = "[" + ", ".join(repr(float(x)) for x in table[:24, 0]) + "]"
@@ -270,7 +278,7 @@ def _search_all_sql() -> str:
     cell = f"CASE WHEN a[n + 1] IS NULL AND v IS NULL THEN 0.0 WHEN a[n + 1] IS NULL OR v IS NULL THEN {away} ELSE {lut}[((a[n + 1] + turn - v) % 24 + 24) % 24 + 1] END"
     return f"""
 WITH RECURSIVE {_F0}, {_CENTS}, {_BINS},
-tracks AS (SELECT track_id, list(bin ORDER BY frame_idx) AS refs FROM bins GROUP BY track_id),
+tracks AS (SELECT track_id, list(bin ORDER BY frame_idx) AS refs FROM bins WHERE {some} GROUP BY track_id),
 sides AS (SELECT q.track_id AS query_id, t.track_id, shift, CASE WHEN len(q.refs) > len(t.refs) THEN t.refs ELSE q.refs END AS a, CASE WHEN len(q.refs) > len(t.refs) THEN q.refs ELSE t.refs END AS b, CASE WHEN len(q.refs) > len(t.refs) THEN -shift ELSE shift END AS turn
   FROM tracks q JOIN tracks t ON q.track_id % 100 = 0, (SELECT unnest(range(0, 24, 2)) AS shift)),
 cells AS (SELECT query_id, track_id, shift, n, list_transform(b, lambda v: CAST({cell} AS DOUBLE)) AS c FROM (SELECT *, unnest(range(len(a))) AS n FROM sides)),
@@ -283,7 +291,7 @@ acc(query_id, track_id, shift, n, d) AS (
   FROM acc o JOIN cells k ON k.query_id = o.query_id AND k.track_id = o.track_id AND k.shift = o.shift AND k.n = o.n + 1),
 costs AS (SELECT query_id, track_id, min(list_min(d) / len(a)) AS cost FROM acc JOIN sides USING (query_id, track_id, shift) WHERE n = len(a) - 1 GROUP BY ALL),
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(cost, 9), track_id) AS INT) AS rank FROM costs)
-SELECT query_id, rank, round(cost, 6) AS cost, CAST(c_custkey AS BIGINT) AS id, c_name AS title, c_mktsegment AS raga, n_name AS tala FROM top JOIN customer ON c_custkey = track_id JOIN nation ON n_nationkey = c_nationkey WHERE rank <= 3"""
+SELECT query_id, rank, round(cost, 6) AS cost, CAST(c_custkey AS BIGINT) AS id, {title} AS title, c_mktsegment AS raga, {tala} AS tala FROM top JOIN customer ON c_custkey = track_id JOIN nation ON n_nationkey = c_nationkey WHERE rank <= 3 AND {named}"""
 
 
 ORACLE_SQL = {
@@ -302,10 +310,11 @@ ORACLE_SQL = {
     "match_costs_by_columns": _costs_sql() + "SELECT track_id, round(cost, 6) AS cost FROM costs",
     "search_matches": _costs_sql() + ", top AS (SELECT CAST(row_number() OVER (ORDER BY cost, track_id) AS INT) AS rank, * FROM costs ORDER BY cost, track_id LIMIT 3) SELECT rank, round(cost, 6) AS cost, CAST(c_custkey AS BIGINT) AS id, c_name AS title, c_mktsegment AS raga, n_name AS tala FROM top JOIN customer ON c_custkey = track_id JOIN nation ON n_nationkey = c_nationkey",
     "search_all": _search_all_sql(),
+    "search_gaps": _search_all_sql("track_id % 7 <> 3", "CASE WHEN c_custkey % 2 = 1 THEN c_name ELSE '' END", "CASE WHEN c_custkey % 3 > 0 THEN n_name ELSE '' END", "c_custkey % 11 <> 5"),
     "packed_words": f"WITH {_F0}, {_CENTS}, {_SAMPLES} SELECT track_id, frame_idx, CAST(nullif(sample, -32768) AS DOUBLE) AS cents FROM samples",
     "packed_errors": "SELECT user_id AS track_id, CASE user_id % 9 WHEN 1 THEN 'bad magic' WHEN 2 THEN 'unknown version' WHEN 3 THEN 'bad deflate stream' WHEN 4 THEN 'truncated' WHEN 5 THEN 'trailing bytes' WHEN 6 THEN 'short header' WHEN 7 THEN 'missing' END AS error, CASE WHEN user_id % 9 IN (0, 8) THEN count(*) END AS frames FROM events GROUP BY user_id",
     "align_tracks": _align_sql(),
     "packed_tracks": f"WITH {_F0}, {_CENTS}, {_SAMPLES} SELECT track_id, 2 AS version, count(*) AS frames, CAST(100000 AS BIGINT) AS hop_microseconds, CAST(sum(CASE WHEN sample = -32768 THEN 0 ELSE sample END) AS BIGINT) AS sum_cents, count(*) FILTER (sample = -32768) AS unvoiced FROM samples GROUP BY track_id",
-    "hummed_pitch": "SELECT CAST(n_nationkey AS BIGINT) AS audio_id, true AS near FROM nation",
+    "hummed_pitch": "SELECT CAST(s_suppkey AS BIGINT) AS audio_id, CAST(s_suppkey % 30 AS BIGINT) AS note FROM supplier",
     "padded_audio": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings) SELECT vec_id, round(list_sum(x), 5) AS constant, round(list_sum(x) + 4 * x[1] + 4 * x[-1], 5) AS edge, round(list_sum(x) + list_sum(x[2:5]) + list_sum(x[-5:-2]), 5) AS reflect FROM e",
 } | warping.ORACLE_SQL | tracking.ORACLE_SQL | stores.ORACLE_SQL
