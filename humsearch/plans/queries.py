@@ -9,18 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..config import EngineConfig
 from ..functions import pitch as P
 from ..operators import matching
 from ..operators.distance import distances
-from ..operators.dtw import Warping, align_pairs
+from ..operators.dtw import align_all
+from ..operators.pairing import pairs as dealt_pairs
 from ..operators.pyin import PitchSettings, differences, minima, padded, pitch
+from ..shared import written
 from ..sources import packed
 from . import stores, tracking, warping
-from .search import register
+from .search import catalogue_bins, register, search_many
 
-#: Frames of track 0 that serve as the hummed query.
-QUERY_FRAMES = 12
+#: Tracks and vectors whose id is divisible by this are the queries, whole.
+EVERY = 100
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +46,9 @@ def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contours(spark, sf_dir).select("track_id", matching.contour_bins(F.col("contour")).alias("bins"))
 
 
-def _query(bins: DataFrame) -> list[int | None]:
-    first = bins.where("track_id = 0").select(F.slice("bins", 1, QUERY_FRAMES)).first()
-    return list(first[0]) if first else []
+def _asked(rows: DataFrame, key: str = "track_id") -> DataFrame:
+    """The rows that serve as queries, their id as query_id."""
+    return rows.where(F.col(key) % EVERY == 0).withColumnRenamed(key, "query_id")
 
 
 def pitch_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,16 +81,15 @@ def zigzag_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs of all tracks against the first frames of track 0, by registered SQL functions alone."""
+    """Costs of all tracks against all queries, by registered SQL functions alone."""
     register(spark)
     _f0(spark, sf_dir).createOrReplaceTempView("humsearch_f0")
     packed.encode_tracks(_contours(spark, sf_dir)).createOrReplaceTempView("humsearch_packed")
     return spark.sql(f"""
         WITH frames AS (SELECT track_id, frame_idx, pitch_bin(hz_to_cents(f0, 55D), 24) AS bin FROM humsearch_f0),
-        tracks AS (SELECT track_id, transform(array_sort(collect_list(struct(frame_idx, bin))), x -> x.bin) AS bins FROM frames GROUP BY track_id)
-        SELECT track_id, round(dtw_cost(q, bins), 6) AS cost, CAST(size(decode_contour(pitch_track)) AS BIGINT) AS frames
-        FROM (SELECT *, (SELECT slice(bins, 1, {QUERY_FRAMES}) FROM tracks WHERE track_id = 0) AS q FROM tracks) JOIN humsearch_packed USING (track_id)
-        WHERE q IS NOT NULL""")
+        tracks AS (SELECT track_id, transform(array_sort(collect_list(struct(frame_idx, bin))), x -> x.bin) AS bins FROM frames GROUP BY track_id),
+        stored AS (SELECT track_id, bins, CAST(size(decode_contour(pitch_track)) AS BIGINT) AS frames FROM tracks JOIN humsearch_packed USING (track_id))
+        SELECT q.track_id AS query_id, t.track_id, round(dtw_cost(q.bins, t.bins), 6) AS cost, frames FROM stored t JOIN tracks q ON q.track_id % {EVERY} = 0""")
 
 
 def pitch_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,23 +119,27 @@ def period_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of all vectors to vector 0."""
+    """Four distances of all vectors to all queries, side by side."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     names = ("euclidean", "sqeuclidean", "cityblock", "chebyshev")
-    found = distances(rows, rows.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "v"), names)
+    found = distances(rows, _asked(rows, "vec_id"), names)
     of = [F.round(F.max(F.when(F.col("metric") == m, F.col("distance"))), 5).alias(m) for m in names]
-    return found.groupBy("vec_id").agg(*of)
+    return found.groupBy("query_id", "vec_id").agg(*of)
 
 
 def match_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of all tracks against all queries, whole contours each."""
     bins = _bins(spark, sf_dir)
-    return matching.match_costs(bins, _query(bins)).where("cost is not null").select("track_id", F.round("cost", 6).alias("cost"))
+    return matching.pair_costs(bins, _asked(bins)).select("query_id", "track_id", F.round("cost", 6).alias("cost"))
 
 
 def match_costs_by_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = _bins(spark, sf_dir)
-    query = F.array(*[F.lit(b).cast("tinyint") for b in _query(bins)]).cast("array<tinyint>")
-    return matching.cost_by_columns(bins.select(F.lit(0).alias("query_id"), query.alias("query"), "track_id", "bins")).select("track_id", F.round("cost", 6).alias("cost"))
+    """``match_costs`` by column expressions, pairs of a query and a track being rows."""
+    bins, none = _bins(spark, sf_dir), F.lit(-1).cast("tinyint")
+    sides = (_asked(bins).select("query_id", F.transform("bins", lambda b: F.coalesce(b, none)).alias("x")), bins.select("track_id", F.transform("bins", lambda b: F.coalesce(b, none)).alias("y")))
+    back = lambda side: F.transform(side, lambda b: F.when(b >= 0, b.cast("tinyint")))
+    pairs = dealt_pairs(*sides, parts=4 * spark.sparkContext.defaultParallelism).select("query_id", back("x").alias("query"), "track_id", back("y").alias("bins"))
+    return matching.cost_by_columns(pairs).select("query_id", "track_id", F.round("cost", 6).alias("cost"))
 
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,24 +148,25 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole search: costs, the three best, their metadata."""
-    bins = _bins(spark, sf_dir)
-    top = matching.top_matches(matching.match_costs(bins, _query(bins)), EngineConfig().k)
-    return matching.with_metadata(top, _catalogue(spark, sf_dir)).withColumn("cost", F.round("cost", 6))
+    """The whole search over packed tracks: blobs read and folded, costs of all queries, their three best, metadata."""
+    names = _catalogue(spark, sf_dir)
+    blobs = packed.encode_tracks(_contours(spark, sf_dir)).select(F.col("track_id").alias("id"), "pitch_track")
+    catalogue = names.join(blobs, "id")
+    bins = catalogue_bins(catalogue)
+    return search_many(_asked(bins), bins, names).withColumn("cost", F.round("cost", 6))
 
 
 def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best tracks, with metadata, for the whole contour of every track whose track_id is divisible by 100."""
     bins = _bins(spark, sf_dir)
-    queries = bins.where("track_id % 100 = 0").select(F.col("track_id").alias("query_id"), "bins")
-    top = matching.match_many(bins, queries)
+    top = matching.match_many(bins, _asked(bins))
     return matching.with_metadata(top, _catalogue(spark, sf_dir)).withColumn("cost", F.round("cost", 6))
 
 
 def search_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``search_all`` where every seventh contour is empty, so neither found nor asked for, and some titles and talas are null."""
     bins = _bins(spark, sf_dir).withColumn("bins", F.when(F.col("track_id") % 7 == 3, F.array().cast("array<tinyint>")).otherwise(F.col("bins")))
-    top = matching.match_many(bins, bins.where("track_id % 100 = 0").select(F.col("track_id").alias("query_id"), "bins"))
+    top = matching.match_many(bins, _asked(bins))
     some = _catalogue(spark, sf_dir).withColumns({"title": F.when(F.col("id") % 2 == 1, F.col("title")), "tala": F.when(F.col("id") % 3 > 0, F.col("tala"))})
     return matching.with_metadata(top, some.where("id % 11 <> 5")).withColumn("cost", F.round("cost", 6))
 
@@ -192,16 +197,13 @@ def packed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def align_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole alignments of all voiced frames of each track with those of track 0.
-    The cost is null for tracks without voiced frames, and for all if track 0 has none."""
-    voiced = _contours(spark, sf_dir).select("track_id", F.filter("contour", lambda c: c.isNotNull()).alias("c"))
-    first = voiced.where("track_id = 0").select("c").first()
-    query = [float(v) for v in first[0]] if first else []
-    y = F.array(F.array(*[F.lit(v) for v in query]).cast("array<double>"))
-    can = (F.size("c") > 0) & F.lit(bool(query))
-    pairs = voiced.where(can).select("track_id", F.array("c").alias("x"), y.alias("y"))
-    costs = align_pairs(pairs, Warping(), paths=False).select("track_id", F.round("cost", 6).alias("cost"))
-    return costs.unionByName(voiced.where(~can).select("track_id", F.lit(None).cast("double").alias("cost")))
+    """Whole alignments of all voiced frames of each track with those of each query.
+    The cost is null where either has no voiced frames."""
+    voiced = written(_contours(spark, sf_dir).select("track_id", F.filter("contour", lambda c: c.isNotNull()).alias("c")), "voiced")
+    costs = align_all(_asked(voiced).withColumnRenamed("c", "x"), voiced.withColumnRenamed("c", "y")).withColumn("cost", F.round("cost", 6))
+    none = F.size("c") == 0
+    without = lambda tracks, queries: tracks.select("track_id").crossJoin(queries.select("query_id")).select("query_id", "track_id", F.lit(None).cast("double").alias("cost"))
+    return costs.union(without(voiced.where(none), _asked(voiced))).union(without(voiced.where(~none), _asked(voiced.where(none))))
 
 
 def hummed_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,54 +232,32 @@ _BINS = "bins AS (SELECT track_id, frame_idx, CAST(round_even((cents - 1200 * fl
 _SAMPLES = "samples AS (SELECT track_id, frame_idx, CAST(CASE WHEN cents IS NULL THEN -32768 ELSE greatest(-32767, least(32767, round_even(cents, 0))) END AS INT) AS sample FROM cents)"
 
 
-def _costs_sql() -> str:
-    """Costs by a recursion over query frames, one list of accumulated costs a track and shift."""
-    table = P.distance_table()
-    lut = "[" + ", ".join(repr(float(x)) for x in table[:24, 0]) + "]"
-    away = repr(float(table[0, 24]))
-    cell = f"CASE WHEN q IS NULL AND r IS NULL THEN 0.0 WHEN q IS NULL OR r IS NULL THEN {away} ELSE {lut}[((q + shift - r) % 24 + 24) % 24 + 1] END"
-    return f"""
-WITH RECURSIVE {_F0}, {_CENTS}, {_BINS},
-tracks AS (SELECT track_id, list(bin ORDER BY frame_idx) AS refs FROM bins GROUP BY track_id),
-hum AS (SELECT frame_idx AS n, bin AS q FROM bins WHERE track_id = 0 AND frame_idx < {QUERY_FRAMES}),
-pairs AS (SELECT track_id, refs, shift, n, q FROM tracks, (SELECT unnest(range(0, 24, 2)) AS shift), hum),
-cells AS (SELECT track_id, shift, n, list_transform(refs, lambda r: CAST({cell} AS DOUBLE)) AS c FROM pairs),
-acc(track_id, shift, n, d) AS (
-  SELECT track_id, shift, n, c FROM cells WHERE n = 0
-  UNION ALL
-  SELECT a.track_id, a.shift, k.n, list_reduce(
-    list_concat([[a.d[1] + k.c[1]]], list_transform(range(2, len(k.c) + 1), lambda m: [k.c[m], least(a.d[m - 1], a.d[m])])),
-    lambda row, x: list_append(row, x[1] + least(row[-1], x[2])))
-  FROM acc a JOIN cells k ON k.track_id = a.track_id AND k.shift = a.shift AND k.n = a.n + 1)
-, costs AS (SELECT track_id, min(list_min(d)) / {QUERY_FRAMES} AS cost FROM acc WHERE n = {QUERY_FRAMES - 1} GROUP BY track_id)
-"""
-
-
 def _align_sql() -> str:
-    """Whole alignments with track 0 by a recursion over its frames."""
+    """Whole alignments by a recursion over the queries' frames."""
     return f"""
 WITH RECURSIVE {_F0}, {_CENTS},
-tracks AS (SELECT track_id, list(cents ORDER BY frame_idx) FILTER (cents IS NOT NULL) AS c FROM cents GROUP BY track_id),
-hum AS (SELECT unnest(range(len(c))) AS n, unnest(c) AS q, len(c) AS size FROM tracks WHERE track_id = 0),
-cells AS (SELECT track_id, n, size, list_transform(c, lambda v: abs(q - v)) AS c FROM tracks, hum WHERE len(c) > 0),
-acc(track_id, n, d) AS (
-  SELECT track_id, n, list_reduce(list_transform(c, lambda v: [v]), lambda row, v: list_append(row, row[-1] + v[1])) FROM cells WHERE n = 0
+tracks AS (SELECT track_id, coalesce(list(cents ORDER BY frame_idx) FILTER (cents IS NOT NULL), []) AS c FROM cents GROUP BY track_id),
+hum AS (SELECT track_id AS query_id, unnest(range(len(c))) AS n, unnest(c) AS q, len(c) AS size FROM tracks WHERE track_id % {EVERY} = 0),
+cells AS (SELECT query_id, track_id, n, list_transform(c, lambda v: abs(q - v)) AS c FROM tracks, hum WHERE len(c) > 0),
+acc(query_id, track_id, n, d) AS (
+  SELECT query_id, track_id, n, list_reduce(list_transform(c, lambda v: [v]), lambda row, v: list_append(row, row[-1] + v[1])) FROM cells WHERE n = 0
   UNION ALL
-  SELECT o.track_id, k.n, list_reduce(
+  SELECT o.query_id, o.track_id, k.n, list_reduce(
     list_concat([[o.d[1] + k.c[1]]], list_transform(range(2, len(k.c) + 1), lambda m: [k.c[m], least(o.d[m - 1], o.d[m])])),
     lambda row, x: list_append(row, x[1] + least(row[-1], x[2])))
-  FROM acc o JOIN cells k ON k.track_id = o.track_id AND k.n = o.n + 1)
-SELECT track_id, round(d[-1], 6) AS cost FROM tracks LEFT JOIN (SELECT * FROM acc WHERE n = (SELECT max(n) FROM hum)) USING (track_id)"""
+  FROM acc o JOIN cells k ON k.query_id = o.query_id AND k.track_id = o.track_id AND k.n = o.n + 1)
+SELECT q.track_id AS query_id, t.track_id, round(d[-1], 6) AS cost FROM tracks t JOIN tracks q ON q.track_id % {EVERY} = 0 LEFT JOIN acc ON acc.track_id = t.track_id AND acc.query_id = q.track_id AND acc.n = len(q.c) - 1"""
 
 
-def _search_all_sql(some: str = "true", title: str = "c_name", tala: str = "n_name", named: str = "true") -> str:
-    """The search for many whole contours: the longer of two is run through by the shorter one."""
+def _pair_costs_sql(some: str = "true", whole: bool = False) -> str:
+    """WITH clause up to costs(query_id, track_id, cost) of whole contours: the longer of two is run
+    through by the shorter one. With ``whole`` bins are those of whole cents, as packed."""
     table = P.distance_table()
     lut = "[" + ", ".join(repr(float(x)) for x in table[:24, 0]) + "]"
     away = repr(float(table[0, 24]))
     cell = f"CASE WHEN a[n + 1] IS NULL AND v IS NULL THEN 0.0 WHEN a[n + 1] IS NULL OR v IS NULL THEN {away} ELSE {lut}[((a[n + 1] + turn - v) % 24 + 24) % 24 + 1] END"
     return f"""
-WITH RECURSIVE {_F0}, {_CENTS}, {_BINS},
+WITH RECURSIVE {_F0}, {_CENTS.replace("1200 * log2(f0 / 55)", "round_even(1200 * log2(f0 / 55), 0)") if whole else _CENTS}, {_BINS},
 tracks AS (SELECT track_id, list(bin ORDER BY frame_idx) AS refs FROM bins WHERE {some} GROUP BY track_id),
 sides AS (SELECT q.track_id AS query_id, t.track_id, shift, CASE WHEN len(q.refs) > len(t.refs) THEN t.refs ELSE q.refs END AS a, CASE WHEN len(q.refs) > len(t.refs) THEN q.refs ELSE t.refs END AS b, CASE WHEN len(q.refs) > len(t.refs) THEN -shift ELSE shift END AS turn
   FROM tracks q JOIN tracks t ON q.track_id % 100 = 0, (SELECT unnest(range(0, 24, 2)) AS shift)),
@@ -289,7 +269,11 @@ acc(query_id, track_id, shift, n, d) AS (
     list_concat([[o.d[1] + k.c[1]]], list_transform(range(2, len(k.c) + 1), lambda m: [k.c[m], least(o.d[m - 1], o.d[m])])),
     lambda row, x: list_append(row, x[1] + least(row[-1], x[2])))
   FROM acc o JOIN cells k ON k.query_id = o.query_id AND k.track_id = o.track_id AND k.shift = o.shift AND k.n = o.n + 1),
-costs AS (SELECT query_id, track_id, min(list_min(d) / len(a)) AS cost FROM acc JOIN sides USING (query_id, track_id, shift) WHERE n = len(a) - 1 GROUP BY ALL),
+costs AS (SELECT query_id, track_id, min(list_min(d) / len(a)) AS cost FROM acc JOIN sides USING (query_id, track_id, shift) WHERE n = len(a) - 1 GROUP BY ALL)"""
+
+
+def _search_all_sql(some: str = "true", title: str = "c_name", tala: str = "n_name", named: str = "true", whole: bool = False) -> str:
+    return _pair_costs_sql(some, whole) + f""",
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(cost, 9), track_id) AS INT) AS rank FROM costs)
 SELECT query_id, rank, round(cost, 6) AS cost, CAST(c_custkey AS BIGINT) AS id, {title} AS title, c_mktsegment AS raga, {tala} AS tala FROM top JOIN customer ON c_custkey = track_id JOIN nation ON n_nationkey = c_nationkey WHERE rank <= 3 AND {named}"""
 
@@ -300,15 +284,15 @@ ORACLE_SQL = {
     "quantised": f"WITH {_F0}, {_CENTS}, {_SAMPLES} SELECT track_id, frame_idx, sample, CAST(nullif(sample, -32768) AS DOUBLE) AS cents FROM samples",
     "delta_coded": f"WITH {_F0}, {_CENTS}, {_SAMPLES} SELECT track_id, frame_idx, sample, (sample - coalesce(lag(sample) OVER (PARTITION BY track_id ORDER BY frame_idx), 0)) & 65535 AS difference, sample AS restored FROM samples",
     "zigzag_coded": f"WITH {_F0}, {_CENTS}, {_SAMPLES}, gaps AS (SELECT track_id, frame_idx, sample - coalesce(lag(sample) OVER (PARTITION BY track_id ORDER BY frame_idx), 0) AS gap FROM samples) SELECT track_id, frame_idx, CAST(CASE WHEN gap >= 0 THEN 2 * gap ELSE -2 * gap - 1 END AS INT) AS folded, CAST(gap & 65535 AS INT) AS unfolded FROM gaps",
-    "sql_functions": _costs_sql() + "SELECT track_id, round(cost, 6) AS cost, CAST(len(refs) AS BIGINT) AS frames FROM costs JOIN tracks USING (track_id)",
+    "sql_functions": _pair_costs_sql() + " SELECT query_id, track_id, round(cost, 6) AS cost, CAST(len(refs) AS BIGINT) AS frames FROM costs JOIN tracks USING (track_id)",
     "pitch_histogram": f"WITH {_F0}, {_CENTS}, {_BINS} SELECT track_id, bin, count(*) AS n FROM bins GROUP BY ALL",
     "profile_salience": f"WITH {_F0}, {_CENTS}, {_BINS}, n AS (SELECT track_id, bin, count(*) AS n FROM bins GROUP BY ALL) SELECT track_id, class, round(sum(CASE WHEN bin IS NULL THEN 0 ELSE n * {[float(x) for x in P.kernel()]}[(class - bin + 24) % 24 + 1] END), 6) AS salience FROM n, (SELECT CAST(unnest(range(24)) AS INT) AS class) GROUP BY ALL",
     "local_minima": f"WITH {_F0}, s AS (SELECT *, lag(f0) OVER w AS before, lead(f0) OVER w AS after FROM f0 WHERE f0 IS NOT NULL WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)) SELECT track_id, frame_idx, f0 FROM s WHERE f0 < before AND f0 <= after",
     "period_differences": "SELECT vec_id, CAST(lag AS INT) AS lag, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (CAST(embedding[i] AS DOUBLE) - coalesce(CAST(embedding[i + lag] AS DOUBLE), 0)) ** 2)), 6) AS difference FROM embeddings, (SELECT unnest(range(1, 9)) AS lag)",
-    "vector_distances": "WITH p AS (SELECT a.vec_id, list_transform(range(1, 65), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))) AS g FROM embeddings a, embeddings b WHERE b.vec_id = 0) SELECT vec_id, round(sqrt(list_sum(list_transform(g, lambda x: x * x))), 5) AS euclidean, round(list_sum(list_transform(g, lambda x: x * x)), 5) AS sqeuclidean, round(list_sum(g), 5) AS cityblock, round(list_max(g), 5) AS chebyshev FROM p",
-    "match_costs": _costs_sql() + "SELECT track_id, round(cost, 6) AS cost FROM costs",
-    "match_costs_by_columns": _costs_sql() + "SELECT track_id, round(cost, 6) AS cost FROM costs",
-    "search_matches": _costs_sql() + ", top AS (SELECT CAST(row_number() OVER (ORDER BY cost, track_id) AS INT) AS rank, * FROM costs ORDER BY cost, track_id LIMIT 3) SELECT rank, round(cost, 6) AS cost, CAST(c_custkey AS BIGINT) AS id, c_name AS title, c_mktsegment AS raga, n_name AS tala FROM top JOIN customer ON c_custkey = track_id JOIN nation ON n_nationkey = c_nationkey",
+    "vector_distances": f"WITH p AS (SELECT b.vec_id AS query_id, a.vec_id, list_transform(range(1, 65), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))) AS g FROM embeddings a, embeddings b WHERE b.vec_id % {EVERY} = 0) SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(g, lambda x: x * x))), 5) AS euclidean, round(list_sum(list_transform(g, lambda x: x * x)), 5) AS sqeuclidean, round(list_sum(g), 5) AS cityblock, round(list_max(g), 5) AS chebyshev FROM p",
+    "match_costs": _pair_costs_sql() + " SELECT query_id, track_id, round(cost, 6) AS cost FROM costs",
+    "match_costs_by_columns": _pair_costs_sql() + " SELECT query_id, track_id, round(cost, 6) AS cost FROM costs",
+    "search_matches": _search_all_sql(whole=True),
     "search_all": _search_all_sql(),
     "search_gaps": _search_all_sql("track_id % 7 <> 3", "CASE WHEN c_custkey % 2 = 1 THEN c_name ELSE '' END", "CASE WHEN c_custkey % 3 > 0 THEN n_name ELSE '' END", "c_custkey % 11 <> 5"),
     "packed_words": f"WITH {_F0}, {_CENTS}, {_SAMPLES} SELECT track_id, frame_idx, CAST(nullif(sample, -32768) AS DOUBLE) AS cents FROM samples",

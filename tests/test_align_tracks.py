@@ -33,4 +33,4 @@ def test_whole_contours(spark, tmp_path):
 
 def test_without_a_voiced_query(spark, tmp_path):
     rows = {0: [None], 1: [100, 200]}
-    assert {tuple(r) for r in align_tracks(spark, events(spark, tmp_path, rows)).collect()} == {(0, None), (1, None)}
+    assert {tuple(r) for r in align_tracks(spark, events(spark, tmp_path, rows)).collect()} == {(0, 0, None), (0, 1, None)}
