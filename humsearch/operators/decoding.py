@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..shared import written
+from ..shared import spread, written
 
 TINY = np.finfo(float).tiny
 #: Log-probabilities are multiples of this; a sum stays exact up to 2^27, some 190,000 impossible steps or millions of likely ones.
@@ -179,7 +179,7 @@ def decoded_states(seen: DataFrame, n: int, transition_of: Callable[[int], np.nd
     late = (F.col("frame_idx") % block >= block - ahead) if ahead < block else F.lit(True)
     # the last frames of a block go before the next one as well; beyond the recording's end nothing follows them
     again = seen.where(late).select(*columns, (F.expr(f"frame_idx div {block}") + 1).alias("block"))
-    dealt = seen.select(*columns, own).union(again)
+    dealt = spread(seen.select(*columns, own).union(again), "audio_id", "block")
 
     def forward(group: pa.Table) -> pa.Table:
         k, early, rows = _block_rows(group, block)
@@ -268,5 +268,5 @@ def likeliest(sequences: DataFrame, transition: np.ndarray, least: float | None
         return pa.table({"series_id": group.column("series_id"), "step": group.column("step"), "state": pa.array(states, pa.int32()), "log_prob": pa.array(np.full(group.num_rows, log_prob))})
 
     narrow = sequences.select(F.col("series_id").cast("long").alias("series_id"), F.col("step").cast("int").alias("step"), F.col("probs").cast("array<double>").alias("probs"))
-    return narrow.groupBy("series_id").applyInArrow(run, "series_id long, step int, state int, log_prob double")
+    return spread(narrow, "series_id").groupBy("series_id").applyInArrow(run, "series_id long, step int, state int, log_prob double")
 

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..shared import spread
+
 _TINY = np.finfo(float).tiny
 
 
@@ -272,13 +274,20 @@ def viterbi(prob: np.ndarray, transition: np.ndarray, start: np.ndarray | None =
         move = np.where(transition >= least_transition, move, -np.inf)
         if np.isinf(move).all(0).any():
             raise ValueError("a state cannot be reached")
-    seen = np.log(prob.T + _TINY)
-    value = seen[0] + np.log((np.full(n, 1 / n) if start is None else start) + _TINY)
+    return _likeliest(np.log(prob.T + _TINY), move, np.log((np.full(n, 1 / n) if start is None else start) + _TINY))
+
+
+def _likeliest(seen: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
+    """``viterbi`` of log-probabilities, observations being steps x states."""
+    steps, n = seen.shape
+    value = seen[0] + start
     back = np.zeros((steps, n), np.uint16 if n <= 65536 else np.int32)
+    # a row for each state that is reached, so that its ways lie together
+    into = np.ascontiguousarray(move.T)
     for t in range(1, steps):
-        came = value[:, None] + move
-        back[t] = came.argmax(0)
-        value = seen[t] + came[back[t], np.arange(n)]
+        came = value[None, :] + into
+        back[t] = came.argmax(1)
+        value = seen[t] + came[np.arange(n), back[t]]
     states = np.zeros(steps, int)
     states[-1] = value.argmax()
     for t in range(steps - 1, 0, -1):
@@ -354,26 +363,29 @@ def decoded(seen: DataFrame, settings: PitchSettings, fill: float | None = None)
     from .decoding import pruned_viterbi
 
     s, n = settings, settings.n_bins()
-    moves: dict[int, np.ndarray] = {}
+    moves: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def decode(group: pa.Table) -> pa.Table:
         group = group.sort_by("frame_idx")
         steps, sr = group.num_rows, group.column("sr")[0].as_py()
         if sr not in moves:
-            moves[sr] = np.kron(loop_transition(2, 1 - s.switch_prob), local_transition(n, s.width(sr)))
+            matrix = np.kron(loop_transition(2, 1 - s.switch_prob), local_transition(n, s.width(sr)))
+            moves[sr] = matrix, np.log(matrix + _TINY)
         voiced = group.column("voiced_prob").to_numpy()
         prob = np.zeros((2 * n, steps))
         prob[n:] = (1 - voiced) / n
         for t, (a, b) in enumerate(zip(group.column("states").to_pylist(), group.column("probs").to_pylist(), strict=True)):
             prob[a, t] = np.minimum(b, 1)
         # both give the same states; lists of predecessors are faster where there are few of them
-        few = np.count_nonzero(moves[sr]) < moves[sr].size / 8
-        states, _ = pruned_viterbi(prob, moves[sr]) if few else viterbi(prob, moves[sr])
+        matrix, move = moves[sr]
+        few = np.count_nonzero(matrix) < matrix.size / 8
+        states, _ = pruned_viterbi(prob, matrix) if few else _likeliest(np.log(prob.T + _TINY), move, np.log(np.full(2 * n, 1 / (2 * n)) + _TINY))
         f0 = s.fmin * 2.0 ** ((states % n) / (12 * s.bins_per_semitone()))
         on = states < n
         return pa.table({"audio_id": group.column("audio_id"), "frame_idx": group.column("frame_idx"), "f0": pa.array([float(f) if v else fill for f, v in zip(f0, on, strict=True)], pa.float64()), "voiced": pa.array(on), "voiced_prob": pa.array(voiced)})
 
-    return seen.select("audio_id", "sr", "frame_idx", "states", "probs", "voiced_prob").groupBy("audio_id").applyInArrow(decode, "audio_id long, frame_idx int, f0 double, voiced boolean, voiced_prob double")
+    rows = spread(seen.select("audio_id", "sr", "frame_idx", "states", "probs", "voiced_prob"), "audio_id")
+    return rows.groupBy("audio_id").applyInArrow(decode, "audio_id long, frame_idx int, f0 double, voiced boolean, voiced_prob double")
 
 
 def decoded_in_blocks(seen: DataFrame, settings: PitchSettings, fill: float | None = None, block: int | None = None, ahead: int | None = None) -> DataFrame:
