@@ -342,8 +342,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     design = _design([r["buckets"] for r in taken] + [[]], bits)
     n = np.array([r["count"] for r in taken] + [max(1, sizes["none"]) * part], float)
     soft = model.posterior(((bits[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)) if model else np.full(len(bits), prior)
-    # where a row's label is known, that is its posterior
-    soft = np.array([p if r is None or r["label"] is None else r["label"] for p, r in zip(soft, [*taken, None], strict=True)])
     weights = fit_linear(design, soft, n)
 
     @F.pandas_udf(T.DoubleType())
