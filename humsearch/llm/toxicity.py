@@ -11,7 +11,7 @@
    dependences from how the voters vote together on all documents; documents
    that may be learned from count with their label. Sixteen voters have at most
    2 ** 16 vote patterns, so their counts are all that the driver sees.
-3. The posterior of each document (its label, where that may be learned from) is the soft label for a logistic classifier over
+3. The posterior of each document, labelled or not, is the soft label for a logistic classifier over
    the lexicons' entries found in a text and the votes, which gives the scores.
 """
 
