@@ -163,8 +163,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: one row for each row of ``docs``."""
-    p = plan(docs)
-    again = p.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    # a row's repeats are dealt out in pieces, which other tasks write
+    pieces = plan(docs).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(PIECE).cast("long")))).repartition("row_key", "piece")
+    again = pieces.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(PIECE).cast("long"), F.col("times") - F.col("piece")))))
     return again.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
