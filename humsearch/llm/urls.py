@@ -79,6 +79,28 @@ def alike(sets: DataFrame, least: float) -> list[list[str]]:
 _RULES = "rule_id long, items array<string>, size int, verdict string, confidence double, support double"
 
 
+def surest_below(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(items, below): the greatest confidence of any rule of a proper subset, for each
+    frequent item set that has one.
+
+    Every subset of a frequent set is frequent, so it is enough to look at the subsets of
+    one item less, size by size: their own rules and what lies below them.
+    """
+    own = rules.groupBy("items").agg(F.max("confidence").alias("own"))
+    table = keep(sets.join(own, "items", "left").withColumn("size", F.size("items")), "sure")
+    longest = table.agg(F.max("size")).first()[0] or 0
+    out, last = None, table.where("size = 1").select("items", F.col("own").alias("best"))
+    for size in range(2, longest + 1):
+        here = table.where(F.col("size") == size)
+        parts = here.select("items", "own", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.filter("items", lambda x, j: j != i))).alias("part"))
+        below = parts.join(last.select(F.col("items").alias("part"), "best"), "part").groupBy("items", "own").agg(F.max("best").alias("below"))
+        level = keep(below, "below")
+        last = level.select("items", F.greatest("own", "below").alias("best"))
+        found = level.where("below is not null").select("items", "below")
+        out = found if out is None else out.union(found)
+    return out if out is not None else table.where("false").select("items", F.col("own").alias("below"))
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Pruned rules (rule_id, items, size, verdict, confidence, support) from (items, verdict).
 
@@ -94,13 +116,15 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         return spark.createDataFrame([], _RULES)
     known = F.array(*[F.lit(x) for x in sorted(groups)])
     baskets = keep(labelled.select(F.concat(F.array_intersect("items", known), F.array(F.concat(F.lit(_VERDICT), "verdict"))).alias("items")), "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent")[0].startswith(_VERDICT) & ~F.exists("antecedent", lambda x: x.startswith(_VERDICT)))
-    rules = keep(found.select(F.array_sort("antecedent").alias("items"), F.size("antecedent").alias("size"), F.substring(F.col("consequent")[0], len(_VERDICT) + 1, 100).alias("verdict"), "confidence", "support"), "rules")
-    # the miner has found every subset of a rule's items, so exploding them is no more than it did
-    subsets = F.expr("transform(sequence(1, shiftleft(1, size) - 2), m -> filter(items, (x, i) -> shiftright(m, i) % 2 = 1))")
-    sure = rules.groupBy(F.col("items").alias("subset")).agg(F.max("confidence").alias("sure"))
-    beaten = rules.where("size > 1").select("items", "verdict", "confidence", F.explode(subsets).alias("subset")).join(sure, "subset").where("sure >= confidence").select("items", "verdict").distinct()
+    n = baskets.count()
+    model = FPGrowth(itemsCol="items", minSupport=support).fit(baskets)
+    said = lambda x: x.startswith(_VERDICT)
+    frequent = model.freqItemsets.select(F.array_sort(F.filter("items", lambda x: ~said(x))).alias("items"), F.get(F.filter("items", said), F.lit(0)).alias("said"), "freq")
+    frequent = keep(frequent.where(F.size("items") > 0), "frequent")
+    alone = frequent.where("said is null").select("items", F.col("freq").alias("of"))
+    held = frequent.where("said is not null").join(alone, "items").withColumn("confidence", F.col("freq") / F.col("of")).where(F.col("confidence") >= confidence)
+    rules = keep(held.select("items", F.size("items").alias("size"), F.substring("said", len(_VERDICT) + 1, 100).alias("verdict"), "confidence", (F.col("freq") / F.lit(n)).alias("support")), "rules")
+    beaten = rules.join(surest_below(alone.select("items"), rules), "items").where("below >= confidence").select("items", "verdict")
     left = rules.join(beaten, ["items", "verdict"], "left_anti")
     more = [g for g in groups.values() if len(g) > 1]
     if more:
