@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard.
 
 Equal vectors are indexed once, with the ids that share them. Distinct vectors
-are dealt by hash into as many shards as the cluster works on at once, or more
-where a shard would outgrow a task. A shard's graph is grown in one task by
+are dealt by hash into a number of shards that follows from the table alone: up to
+SHARDS, more where a shard would outgrow a task. A shard's graph is grown in one task by
 insertion: batches of points search the graph that stands so far for their
 neighbours and are linked into it. It is stored as flat neighbour arrays. All
 blocks of queries then stream past each shard, which is loaded once, and the
@@ -22,6 +22,8 @@ from .common import keep
 
 #: Rows of a shard: at least, so that small tables make few shards, and at most, for memory.
 LEAST_ROWS, MOST_ROWS = 4_096, 500_000
+#: Shards of a table that is large enough for them and small enough for MOST_ROWS.
+SHARDS = 64
 QUERY_BLOCK = 512
 #: Links of a node, and how far a search goes in a shard of LEAST_ROWS rows; in larger
 #: ones by the cube root of their number farther, which keeps recall.
@@ -195,6 +197,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine).distinct()
 
 
+def shard_count(n: int) -> int:
+    """Shards of an index of n vectors: LEAST_ROWS each until there are SHARDS of them,
+    which then grow, so that a query's work does not; past MOST_ROWS their number grows again."""
+    return max(1, min(SHARDS, -(-n // LEAST_ROWS)), -(-n // MOST_ROWS))
+
+
 _SHARD = "dim int, shard int, ids binary, least binary, vectors binary, nodes array<binary>, neighbours array<binary>"
 
 
@@ -257,8 +265,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, shards: int | Non
     rows but the query's own; vectors of another length are no candidates. Ties
     go to the smaller vec_id. Rows that are equal in id and vector count once; an
     id with several vectors makes as many queries, whose rows all carry it, and each
-    of its vectors is a candidate for the others. ``shards`` defaults to what the
-    cluster works on at once, within the bounds of a shard's rows.
+    of its vectors is a candidate for the others. ``shards`` defaults to a number that
+    follows from the number of distinct vectors alone, so any cluster finds the same.
     """
     rows = keep(usable(vectors), "vectors")
     # equal vectors form a class; the k + 1 least ids are all that a query can return of it
@@ -266,8 +274,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, shards: int | Non
     classes = keep(rows.groupBy("v").agg(F.min("vec_id").alias("least")).select(F.xxhash64("v", "least").alias("class_id"), "least", "v"), "classes")
     members = keep(rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r").join(classes.select("class_id", "v"), "v").select("class_id", "vec_id"), "members")
     n = max(1, classes.count())
-    parallel = shards or vectors.sparkSession.sparkContext.defaultParallelism
-    index = keep(build_index(classes, max(-(-n // MOST_ROWS), min(parallel, -(-n // LEAST_ROWS)))), "hnsw")
+    index = keep(build_index(classes, shards or shard_count(n)), "hnsw")
     queries = rows.where(F.col("vec_id") % every == 0).join(classes.select("class_id", "v"), "v").select(F.xxhash64("vec_id", "class_id").alias("query_key"), F.col("vec_id").alias("query_id"), F.col("class_id").alias("own"), "v")
     queries = keep(queries, "queries")
     found = search_index(index, queries.select("query_key", "v"), queries.count(), k + 1)

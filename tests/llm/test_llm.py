@@ -106,6 +106,11 @@ def test_neighbours_of_ties_and_doubled_ids(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
 
 
+def test_shards_follow_from_the_table_alone():
+    assert [ann.shard_count(n) for n in (0, 1, 4_096, 4_097, 51_282, 10**6, 32 * 10**6, 10**9)] == [1, 1, 1, 2, 13, 64, 64, 2_000]
+    assert max(n / ann.shard_count(n) for n in range(1, 5 * 10**7, 99_991)) <= ann.MOST_ROWS
+
+
 def test_graph_of_clusters_is_found_whole():
     rng = np.random.default_rng(2)
     x = np.concatenate([c + 0.01 * rng.standard_normal((150, 24)) for c in rng.standard_normal((40, 24))])
@@ -197,6 +202,28 @@ def test_rules_equal_all_item_sets(spark):
     assert got == pytest.approx(brute_rules(rows, 0.02, 0.6))
 
 
+def test_long_rules_are_pruned_by_size(spark):
+    # sixteen items, three of them left out of each row: sets of several items occur often
+    rng = np.random.default_rng(8)
+    names = [f"{x}=1" for x in "abcdefghijklmnop"]
+    rows = [([x for x in names if x not in set(rng.choice(names, 3, replace=False))], "block" if rng.random() < 0.7 else "allow") for _ in range(60)]
+    table = spark.createDataFrame(rows, "items array<string>, verdict string")
+    got = {(tuple(r["items"]), r["verdict"]): r["confidence"] for r in urls.mine(table, 0.3, 0.6).collect()}
+    held = {}
+    for items, v in rows:
+        for n in range(1, 8):
+            for c in combinations(items, n):
+                held.setdefault(c, Counter())[v] += 1
+    least = 0.3 * len(rows)
+    assert not any(n >= least for c, of in held.items() if len(c) == 7 for n in of.values())
+    rules = {(c, v): n / of.total() for c, of in held.items() for v, n in of.items() if n >= least and n >= 0.6 * of.total()}
+    sure = {}
+    for (c, _), x in rules.items():
+        sure[c] = max(x, sure.get(c, 0))
+    want = {k: x for k, x in rules.items() if not any(sure.get(t, -1) >= x for n in range(1, len(k[0])) for t in combinations(k[0], n))}
+    assert got == pytest.approx(want) and max(len(c) for c, _ in got) > 2
+
+
 def test_matching_rules(spark):
     rng = np.random.default_rng(4)
     sets = [sorted(x for x in "abcdefg" if rng.random() < 0.6) for _ in range(60)]
