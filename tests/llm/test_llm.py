@@ -562,6 +562,39 @@ def test_added_spans_come_from_the_trees(spark):
         assert got[2000 + k] == "", t
 
 
+def test_only_the_context_tells_equal_strings_apart(spark):
+    rng = np.random.default_rng(21)
+    name = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 9))))
+    group = lambda n: str(rng.integers(10 ** (n - 1), 10**n))
+    rows = []
+    for k in range(600):
+        phone = f"+{group(2)} {group(3)} {group(4)}"
+        said = ["at " + ".".join(str(x) for x in rng.integers(0, 256, 4)), "of " + luhn_number(rng), f"call {phone}", f"with {phone}"][k % 4]
+        other = [f"version {k % 9}.{k % 7}", f"order #{group(5)}", f'= "{group(6)}"', f"costs ${group(3)}", f"x{group(4)}y", f"{group(2)} things"][k % 6]
+        rows.append((k, f"words {name()} before {said} and {name()} after, {other}, then"))
+    card = luhn_number(rng)
+    dotted = ".".join(card[i : i + 4] for i in range(0, 16, 4))
+    told = {"10-20-30-40": ("host at {} and", "release version {} and"), dotted: ("paid with {} and", "order #{} and"), "555-123-4567": ("please call {} and", "words of {} and")}
+    for k, (said, (yes, no)) in enumerate(told.items()):
+        rows += [(1000 + k, yes.format(said)), (2000 + k, no.format(said))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(table).collect()}
+    for k, (said, (yes, _)) in enumerate(told.items()):
+        at = yes.index("{")
+        assert any(s.split(":")[1:] == [str(at), str(at + len(said))] for s in got[1000 + k].split(",")), said
+        assert got[2000 + k] == "", said
+    text = F.col("text")
+    spotted = table.select(F.md5(text).alias("fp"), pii.base_spans(text).alias("base"), pii.broad_spans(text).alias("broad"))
+    around = pii.contexts(table.select("text"), 600)
+    found = around.groupBy("how").agg(F.count("*").alias("n"), F.max("of").alias("of"), F.max("slot").alias("last")).collect()
+    assert {r["how"] for r in found} == {"joined", "marked", "numbered"} and all(r["n"] == r["of"] == r["last"] + 1 for r in found)
+    assert around.where("c_after = ' '").count() == 0  # numbers among plain words tell nothing
+    model, thresholds = pii.train(pii.examples(spotted, around))
+    weight = dict(zip(pii.FEATURES, model.featureImportances.toArray(), strict=True))
+    assert weight["cued"] > 0 and sum(weight[k] for k in ("bounded", "joined", "marked", "numbered")) > 0.05
+    assert set(thresholds) == set(pii.KINDS) and thresholds["email"] == 2.0  # no examples, hence nothing is added
+
+
 def test_many_matches_and_overlaps(spark):
     text = " ".join(f"u{k}@h.io" for k in range(3000))
     rows = spark.createDataFrame([(1, text), (1, text), (2, "a@b.co")], "doc_id long, text string")
