@@ -29,3 +29,10 @@ def test_precision_follows_the_numbers():
         for (a, b), cost, way in zip(sides, costs, ways, strict=True):
             full = dtw.align(a.T, b.T, warping=w)
             assert cost == full.cost[-1].min() and way.tolist() == full.path.tolist()
+
+
+def test_distances_side_by_side_without_a_shuffle(spark, sf_dir):
+    from humsearch.plans import queries
+
+    plan = queries.vector_distances(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
