@@ -55,11 +55,8 @@ BROAD = {
 #: What a text with a match of the broader generators holds in any case.
 HINTS = {"email": r"@|[\[(]at[\])]", "ip": "[0-9][.:-][0-9]", "card": "[0-9]{4}", "phone": "[0-9][ ./-][0-9]{3}|[)][ ./-][0-9]{3}"}
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,said:string,before:string,after:string>>"
-#: Expected number of examples the trees learn from and the threshold is set by, at most.
-SAMPLE_ROWS = 20_000
-#: Neighbourhoods of other numbers that examples are set into, at most for each way of telling,
-#: and the expected number of documents that they are looked for in, at most.
-CONTEXTS, CONTEXT_DOCS = 1_000, 20_000
+#: Neighbourhoods of other numbers that examples are set into, at most for each way of telling.
+CONTEXTS = 1_000
 PRECISION = 0.995
 LEAST_SCORE = 0.8
 FEATURES = ("length", "digits", "letters", "dots", "dashes", "spaces", "at", "plus", "groups", "prefixed", "letters_last", "luhn", "octets", "bounded", "joined", "marked", "numbered", "cued", "is_email", "is_ip", "is_card", "is_phone")
@@ -216,15 +213,14 @@ def _fails(c: Column) -> Column:
     return F.when(c["kind"] == "card", ~(n.between(16, 19) & luhn(said))).when(c["kind"] == "ip", ~octets(said, "[.:-]")).when(c["kind"] == "phone", ~n.between(8, 15)).otherwise(said.rlike("[0-9]$"))
 
 
-def contexts(rows: DataFrame, n: int) -> DataFrame:
+def contexts(rows: DataFrame, n: int | None = None) -> DataFrame:
     """(how, slot, of, c_before, c_after): what stands before and after numbers that no pattern
     and no generator touches, at most CONTEXTS for each way ``how`` that they speak against
-    personal data, numbered from 0 to ``of`` - 1, from a sample by hash of the n rows
-    (text). Neighbourhoods that tell nothing, such as plain words, or that announce
-    personal data are no counter-examples."""
-    share = F.lit(int(min(1.0, CONTEXT_DOCS / max(n, 1)) * 1_000_000))
+    personal data, numbered from 0 to ``of`` - 1, from all rows (text); their number ``n`` no
+    longer matters. Neighbourhoods that tell nothing, such as plain words, or that
+    announce personal data are no counter-examples."""
     touched = "|".join(f"(?:{p})" for k in KINDS for p in (BASE[k], BROAD[k]))
-    some = rows.where((F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < share) & F.col("text").rlike("[0-9]"))
+    some = rows.where(F.col("text").rlike("[0-9]"))
     found = some.select(F.explode(find(F.regexp_replace("text", touched, "\ufffc"), NUMBER, "number")).alias("c")).select("c.before", "c.after").where(~F.lower("before").rlike(CUES))
     ways = F.explode(F.filter(F.array(*[F.when(v > 0, F.lit(k)) for k, v in telling().items()]), lambda x: x.isNotNull()))
     place = F.pmod(F.xxhash64("before", "after"), F.lit(CONTEXTS)).cast("int").alias("place")
@@ -260,21 +256,25 @@ def examples(spotted: DataFrame, around: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame) -> tuple[GBTClassificationModel, dict[str, float]] | None:
-    """The trees and each kind's threshold, from examples; None unless both labels occur. A
-    sample bounded in expectation is learned from, equally of either label; rewritings
-    of one span are all learned from or all held back."""
+    """The trees and each kind's threshold, from all examples; None unless both labels occur. Examples
+    of the same features are one row that weighs as much as they do, and both labels
+    weigh the same; rewritings of one span are all learned from or all held back."""
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not (counts.get(0) and counts.get(1)):
         return None
-    cut = F.when(F.col("label") == 1, F.lit(SAMPLE_ROWS / 2 / counts[1])).otherwise(F.lit(SAMPLE_ROWS / 2 / counts[0]))
-    wide = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(rows.where(F.col("draw") < F.greatest(F.lit(10.0), 1e6 * cut))))
-    wide = keep(wide.withColumn("held", F.pmod(F.xxhash64("draw"), F.lit(5)) == 0).withColumn("label", F.col("label").cast("double")).select("kind", "features", "label", "held"), "pii-train")
+    held = F.pmod(F.xxhash64("draw"), F.lit(5)) == 0
+    same = features(rows).withColumn("held", held).groupBy("kind", "label", "held", *FEATURES).agg(F.count("*").alias("n"))
+    # the labels' weights add up to the same, the mean weight of an example being 1
+    share = {label: (counts[0] + counts[1]) / 2 / counts[label] for label in (0, 1)}
+    weight = F.col("n") * F.when(F.col("label") == 1, share[1]).otherwise(share[0])
+    wide = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(same)
+    wide = keep(wide.select("kind", "features", F.col("label").cast("double").alias("label"), "held", weight.alias("weight")), "pii-train")
     used = {r["label"] for r in wide.where(~F.col("held")).select("label").distinct().collect()}
     if len(used) < 2:
         return None
-    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7).fit(wide.where(~F.col("held")))
+    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7, weightCol="weight").fit(wide.where(~F.col("held")))
     # bins of one percent: at most a hundred and one for each kind
-    bins = model.transform(wide.where("held")).select("kind", F.floor(vector_to_array("probability")[1] * 100).cast("int").alias("bin"), "label").groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).orderBy("kind", F.col("bin").desc()).collect()
+    bins = model.transform(wide.where("held")).select("kind", F.floor(vector_to_array("probability")[1] * 100).cast("int").alias("bin"), "label", "weight").groupBy("kind", "bin").agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("good")).orderBy("kind", F.col("bin").desc()).collect()
     thresholds = {}
     for kind in KINDS:
         n = good = 0.0
@@ -304,7 +304,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"))
     spotted = keep(rows.select("doc_id", F.md5("text").alias("fp"), base_spans(F.col("text")).alias("base"), broad_spans(F.col("text")).alias("broad")), "pii")
     clash = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-    around = contexts(rows.select("text"), spotted.count())
+    around = contexts(rows.select("text"))
     trained = train(keep(examples(spotted, around), "pii-examples"))
     base = _order(F.col("base"))
     if trained is None:
