@@ -5,6 +5,7 @@ import pytest
 
 from humsearch.operators import pyin
 from humsearch.operators.decoding import Banded
+from humsearch.plans.queries import hummed_pitch
 
 
 @pytest.mark.parametrize("settings", [pyin.PitchSettings(fmin=80.0, fmax=800.0, frame_length=256, hop_length=128), pyin.PitchSettings(fmin=260.0, fmax=1900.0, frame_length=64, resolution=1.0, boltzmann=1.0, no_trough_prob=0.2)])
@@ -37,3 +38,9 @@ def test_band_is_the_whole_matrix():
             certain += 1
             assert got.tolist() == pyin.viterbi(prob, matrix)[0].tolist()
     assert certain > 100
+
+
+def test_recordings_are_dealt_out(spark, sf_dir):
+    """Keys of recordings fill a single small file; recordings are made in all tasks."""
+    plan = hummed_pitch(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(s_suppkey" in plan
